@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import best_fit_packing
 from .quality import quality_rules
+from .substrings import substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,5 +31,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_quality_rules, op9_best_fit_packing)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_quality_rules, op9_best_fit_packing, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}

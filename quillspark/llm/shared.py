@@ -26,6 +26,25 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many keys (8 bytes each) go to every executor to pick rows before a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def meeting(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", limit: int = BROADCAST_KEYS) -> DataFrame:
+    """``rows`` joined with ``few`` on a long key, shuffling only the rows that have a partner.
+
+    ``few`` must be cheap to read twice (a written table). Its distinct keys pick the
+    rows first if there are at most ``limit`` of them, which is counted; beyond that,
+    both sides are shuffled. ``how`` is inner, left_semi or left_anti.
+    """
+    keys = few.select(key).distinct()
+    if few.count() > limit and keys.count() > limit:
+        return rows.join(few, key, how)
+    if how != "inner":
+        return rows.join(F.broadcast(keys), key, how)
+    return rows.join(F.broadcast(keys), key, "left_semi").join(few, key)
+
+
 def components(links: DataFrame, nodes: str = "u v", what: str = "components") -> DataFrame:
     """(node, component): the least id that each linked node reaches, itself included.
 
