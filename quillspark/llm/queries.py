@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import best_fit_packing
 from .quality import quality_rules
+from .secrets import secret_scan
 from .substrings import substring_dedup
+from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +29,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -35,5 +45,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_quality_rules, op9_best_fit_packing, op10_substring_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_quality_rules, op5_secret_scan, op6_toxicity, op9_best_fit_packing, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
