@@ -16,35 +16,51 @@ import pyarrow as pa
 from .quality import ragged
 from .words import Words
 
-CACHED_WORDS = 200_000
+#: Words a worker remembers, the first that it meets; about 200 bytes each.
+CACHED_WORDS = 800_000
 
 
 @cache
 def tokenizer(path: str):
+    """(the tokenizer, a string that it always makes one id, that id)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    found = Tokenizer.from_file(path)
+    number, mark = min((i, t.content) for i, t in found.get_added_tokens_decoder().items() if t.special)
+    return found, mark, number
 
 
-_known: dict[str, dict[bytes, tuple[int, ...]]] = {}
+_known: dict[str, dict[bytes, bytes]] = {}
 
 
-def word_ids(path: str, words: list[bytes]) -> list[tuple[int, ...]]:
+def encoded(path: str, words: list[bytes]) -> list[bytes]:
+    """Each word's ids as little-endian 32-bit integers. Words go to the tokenizer as few long texts, each followed by a special token."""
+    found, mark, number = tokenizer(path)
+    out: list[bytes] = []
+    for at in range(0, len(words), 2000):
+        some = [w.decode("utf-8", "replace") for w in words[at : at + 2000]]
+        plain = [w if mark not in w else "" for w in some]
+        texts = ["".join(f"{w} {mark} " for w in plain[k : k + 100]) for k in range(0, len(plain), 100)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in found.encode_batch_fast(texts, add_special_tokens=False)])
+        cuts = np.r_[-1, np.flatnonzero(ids == number)]
+        raw = ids.tobytes()
+        own = [raw[4 * (a + 1) : 4 * b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+        for i, w in enumerate(some):
+            if mark in w:
+                own[i] = np.array(found.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        out += own
+    return out
+
+
+def word_ids(path: str, words: list[bytes]) -> list[bytes]:
     known = _known.setdefault(path, {})
-    missing = [w for w in words if w not in known]
-    fresh = {}
-    for at in range(0, len(missing), 20_000):
-        some = missing[at : at + 20_000]
-        got = tokenizer(path).encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-        fresh.update(zip(some, (tuple(e.ids) for e in got), strict=True))
-    out = [known.get(w) or fresh.get(w, ()) for w in words]
-    if len(known) + len(fresh) > CACHED_WORDS:
-        known.clear()
-    for w, ids in fresh.items():
-        if len(known) >= CACHED_WORDS:
-            break
-        known[w] = ids
+    out = [known.get(w) for w in words]
+    missing = [i for i, x in enumerate(out) if x is None]
+    for i, ids in zip(missing, encoded(path, [words[i] for i in missing]), strict=True):
+        out[i] = ids
+        if len(known) < CACHED_WORDS:
+            known[words[i]] = ids
     return out
 
 
@@ -52,8 +68,8 @@ def text_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, bounds): text i has ids[bounds[i]:bounds[i + 1]]."""
     words = Words(texts)
     ids = word_ids(path, words.unique.to_pylist())
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), np.uint32, sizes.sum())
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat = np.frombuffer(b"".join(ids), "<u4")
     starts = np.cumsum(sizes) - sizes
     per_word = sizes[words.codes]
     bounds = np.r_[0, np.cumsum(per_word)][words.bounds]
