@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embeddings import embedding_dedup
 from .packing import best_fit_packing
+from .pieces import sentencepiece_encode
 from .quality import quality_rules
 from .secrets import secret_scan
 from .substrings import substring_dedup
@@ -25,6 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), keep_ids=False).drop("ids")
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -45,5 +55,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_quality_rules, op5_secret_scan, op6_toxicity, op9_best_fit_packing, op10_substring_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_dedup, op4_quality_rules, op5_secret_scan, op6_toxicity, op9_best_fit_packing, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}

@@ -31,7 +31,7 @@ from .words import Words, per_slice, sliced, text_column
 
 #: Characters that are told apart; any other letter or digit is the last one.
 ALPHABET = "^abcdefghijklmnopqrstuvwxyzéèêçäöüßñóíáúàâîôû0?"
-ORDER, DECAY, STRETCH = 4, 0.6, 7
+ORDER, DECAY, STRETCH = 4, 0.5, 7
 #: Longer units are read as overlapping parts of so many characters.
 LONGEST = 24
 _SIZE = len(ALPHABET) + 1
@@ -121,22 +121,13 @@ def units_of(words: Words) -> tuple[list[str], list[np.ndarray]]:
     return list(number), texts
 
 
-def top_margins(words: Words, table: np.ndarray, bias: float) -> np.ndarray:
-    """Per text: its highest unit margin, the mean of the two highest, and the number of positive ones up to 3."""
+def suspicion(words: Words, table: np.ndarray, bias: float) -> np.ndarray:
+    """Per text: how many suspicious units it has, 0 to 3, each of the top three counted by a curve of its margin; and
+    the log of one more than its distinct units, as long texts have more units that look suspicious by chance."""
     units, texts = units_of(words)
-    margin = margins(units, table, bias)
-    out = np.full((len(texts), 3), [-3.0, -3.0, 0.0])
-    for i, own in enumerate(texts):
-        if len(own):
-            m = margin[own]
-            top = np.clip(np.partition(m, -2)[-2:] if len(m) > 2 else m, -3, 3)
-            out[i] = top.max(), top.mean(), min(3, (m > 0).sum())
-    return out
-
-
-def disguised(unit: str) -> list[str]:
-    """The unit with one character put in, at each inner place."""
-    return [unit[:i] + ("x", unit[i - 1], "0")[i % 3] + unit[i:] for i in range(1, len(unit))] if len(unit) > 4 else []
+    weight = 1 / (1 + np.exp(-6 * (margins(units, table, bias) - 0.2)))
+    amount = [np.partition(weight[own], -3)[-3:].sum() if len(own) > 3 else weight[own].sum() for own in texts]
+    return np.array([amount, [np.log1p(len(np.unique(own))) for own in texts]], float).T
 
 
 def fit_svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -179,7 +170,7 @@ def _unit_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 4000, max_clean: int = 8000, max_landmarks: int = 256, max_units: int = 20_000) -> Machine | None:
     """Fit on at most ``max_toxic`` and ``max_clean`` labelled rows that aren't held out, picked by a hash of the id.
 
-    The driver gets counts of at most ``max_units`` units, and three numbers for each of
+    The driver gets counts of at most ``max_units`` units, and two numbers for each of
     the sampled rows. None if there is nothing to tell apart.
     """
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
@@ -206,7 +197,6 @@ def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 4000, max_clea
     half = max_landmarks // 2
     landmarks = list(dict.fromkeys(positive[:half] + common[: half // 2] + mixed[: half // 2]))
     numbers, vectors = _landmark_vectors(landmarks)
-    positive += [v for u in positive[:half] for v in disguised(u)]
     units = positive + negative
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
     to_landmarks = _against(units, numbers, vectors)
@@ -215,10 +205,10 @@ def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 4000, max_clea
     good = value > 1e-6 * value.max()
     whiten = basis[:, good] / np.sqrt(value[good])
     w, bias = fit_svm(to_landmarks @ whiten, y, np.where(y > 0, 5.0 * max(1.0, len(negative) / len(positive) / 10), 5.0))
-    machine = Machine(numbers, (vectors @ (whiten @ w)).astype(np.float32), bias, np.zeros(4))
-    seen = sample.mapInArrow(_scoring(machine, ("toxic",)), "doc_id long, a double, b double, c double, toxic int")
-    rows = np.array([[r.a, r.b, r.c, r.toxic] for r in seen.orderBy(F.xxhash64("doc_id")).limit(max_toxic + max_clean).collect()])
-    machine.curve = fit_logistic(rows[:, :3], rows[:, 3])
+    machine = Machine(numbers, (vectors @ (whiten @ w)).astype(np.float32), bias, np.zeros(3))
+    seen = sample.mapInArrow(_scoring(machine, ("toxic",)), "doc_id long, amount double, extent double, toxic int")
+    rows = np.array([[r.amount, r.extent, r.toxic] for r in seen.orderBy(F.xxhash64("doc_id")).limit(max_toxic + max_clean).collect()])
+    machine.curve = fit_logistic(rows[:, :2], rows[:, 2])
     return machine
 
 
@@ -248,8 +238,8 @@ def _scoring(machine: Machine, more: tuple[str, ...] = ()):
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         if not tables:
             tables.append(machine.table())
-        top = top_margins(Words(part.column(1)), tables[0], machine.bias)
-        return pa.RecordBatch.from_arrays([part.column(0), *(pa.array(top[:, k]) for k in range(3)), *(part.column(2 + k) for k in range(len(more)))], names=["doc_id", "a", "b", "c", *more])
+        amount = suspicion(Words(part.column(1)), tables[0], machine.bias)
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(amount[:, 0]), pa.array(amount[:, 1]), *(part.column(2 + k) for k in range(len(more)))], names=["doc_id", "amount", "extent", *more])
 
     return per_slice(run)
 
@@ -267,7 +257,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     if machine is None:
         scored = read.select("doc_id", F.lit(0.0).alias("score"))
     else:
-        a, b, c, d = map(float, machine.curve)
-        margin = F.col("a") * a + F.col("b") * b + F.col("c") * c + d
-        scored = read.mapInArrow(_scoring(machine), "doc_id long, a double, b double, c double").select("doc_id", (1 / (1 + F.exp(-margin))).alias("score"))
+        slope, by_extent, start = map(float, machine.curve)
+        margin = F.col("amount") * slope + F.col("extent") * by_extent + start
+        scored = read.mapInArrow(_scoring(machine), "doc_id long, amount double, extent double").select("doc_id", (1 / (1 + F.exp(-margin))).alias("score"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
