@@ -207,12 +207,13 @@ def _digest(found: list[tuple[int, int, int]], rules: tuple[Rule, ...]) -> str:
     return ",".join(f"{rules[k].kind}:{start}:{end}" for start, k, end in sorted(found))
 
 
-def secret_scan(docs: DataFrame, more_rules: tuple[Rule, ...] = MORE_RULES, *, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secret_scan(docs: DataFrame, more_rules: tuple[Rule, ...] = MORE_RULES, *, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: counts, spans (code points, end exclusive), and the text with its spans replaced by ``mark``.
 
     Null and empty texts have no spans and keep their null or empty text. Spans are
     ordered by start, then kind as listed; base spans stay whatever else is found.
     Repeated rows are scanned each on their own. An empty table gives an empty result.
+    ``carry`` names columns to return besides.
     """
     rules = BASE_RULES + tuple(more_rules)
     n_base = len(BASE_RULES)
@@ -236,9 +237,11 @@ def secret_scan(docs: DataFrame, more_rules: tuple[Rule, ...] = MORE_RULES, *, m
                 pa.array([_digest(own, rules) for own in found]),
                 pa.array(map(len, found), pa.int64()),
                 pa.array(clean, pa.string()),
+                *part.columns[2:],
             ],
-            names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans", "clean_text"],
+            names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans", "clean_text", *carry],
         )
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long, clean_text string"
-    return text_column(docs, id_col, text_col).mapInArrow(per_slice(run), schema)
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return text_column(docs, id_col, text_col, *carry).mapInArrow(per_slice(run), schema)
