@@ -67,6 +67,10 @@ def _both(op: str, parts: list[Query]) -> Query:
     if op == "or" and True in parts:
         return True
     parts = [p for p in parts if p is not True]
+    if op == "or" and all(isinstance(p, str) or p[0] == "and" and all(isinstance(x, str) for x in p[1]) for p in parts):
+        # An alternative that demands all that another does, and more, adds nothing.
+        sets = [frozenset([p]) if isinstance(p, str) else frozenset(p[1]) for p in parts]
+        parts = [p for p, own in zip(parts, sets, strict=True) if not any(other < own for other in sets)]
     return True if not parts else parts[0] if len(parts) == 1 else (op, tuple(parts))
 
 

@@ -88,7 +88,7 @@ class Machine:
 
 def margins(units: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     """The margin of each unit; one too short for a subsequence has the bias alone."""
-    out = np.full(len(units), bias)
+    out = np.full(len(units), -np.inf)
     by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
     for i, u in enumerate(units):
         code = coded(u)
@@ -101,7 +101,7 @@ def margins(units: list[str], table: np.ndarray, bias: float) -> np.ndarray:
             some = own[at : at + 4096]
             number, weight = features(np.stack([x[1] for x in some]))
             np.maximum.at(out, [x[0] for x in some], table[number] @ weight.astype(np.float32) + bias)
-    return out
+    return np.where(np.isfinite(out), out, bias)
 
 
 def units_of(words: Words) -> tuple[list[str], list[np.ndarray]]:
