@@ -114,7 +114,7 @@ def _counted(threshold: float):
     return count
 
 
-def embedding_dedup(vectors: DataFrame, *, threshold: float = 0.98, passes: int = 12, window: int = 64, block: int = 1024, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def embedding_dedup(vectors: DataFrame, *, threshold: float = 0.98, passes: int = 12, window: int = 64, block: int = 256, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Only vectors of equal, non-null labels and equal widths are compared, by cosine in
