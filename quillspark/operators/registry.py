@@ -30,6 +30,13 @@ def summary(experts: DataFrame) -> DataFrame:
     return experts.select("slug", "topic", "persona_name", "description", "status", "source_count", "node_count", "relation_count", X.iso(F.col("created_at")).alias("created_at"))
 
 
+def details(experts: DataFrame, prefix: str = "expert", base: str = "storage") -> DataFrame:
+    """(slug, label, value): an expert's rows for display."""
+    rows = {"Status": F.col("status"), "Sources": F.col("source_count"), "Concepts": F.col("node_count"), "Relations": F.col("relation_count"), "Namespace": F.concat(F.lit(prefix + "-"), "slug"), "Path": F.concat(F.lit(base + "/"), "slug")}
+    shown = F.array(*(F.struct(F.lit(k).alias("label"), v.cast("string").alias("value")) for k, v in rows.items()))
+    return experts.select("slug", F.explode(shown).alias("r")).select("slug", "r.label", "r.value")
+
+
 def new_expert(topics: DataFrame, prefix: str = "expert", base: str = "storage") -> DataFrame:
     """Topics as experts being built. A topic without letters or digits has no slug and is refused."""
     slug = X.slug(F.col("topic"))

@@ -410,6 +410,35 @@ def sse_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spec.unionByName(legacy).select("mode", "conv_id", "turn", "line_no", "kind", F.md5("data").alias("data_md5"))
 
 
+@query
+def ui_detail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.details(experts(spark, sf_dir))
+
+
+@query
+def build_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.progress(experts(spark, sf_dir)).select("slug", "stage", "payload")
+
+
+def _reply_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each message as a reply sent line by line; those of the system break off at their second line."""
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n")).alias("k", "delta"))
+    deltas = told.withColumn("error", F.when((F.col("role") == "system") & (F.col("k") == 1), F.lit("broke off")))
+    return frames.reply_frames(deltas, ["conv_id", "turn"])
+
+
+@query
+def sse_reply_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reply_frames(spark, sf_dir).select("conv_id", "turn", "frame_no", F.md5("raw").alias("raw_md5"))
+
+
+@query
+def sse_client_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = frames.parsed(_reply_frames(spark, sf_dir), ["conv_id", "turn", "frame_no"])
+    out = frames.joined(lines, ["conv_id", "turn"], order="frame_no")
+    return out.select("conv_id", "turn", F.md5("text").alias("text_md5"), "ended", "error")
+
+
 @query
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.jobs import progress_stream

@@ -69,6 +69,9 @@ VIDEO = """asked as (select page_id, case page_id % 5 when 0 then 'https://video
  when 2 then 'https://video.example/embed/' || substring(md5(page_id::varchar), 1, 11) || '?t=1' when 3 then 'https://a.bc/' || substring(md5(page_id::varchar), 1, 10) else url end as video_url from pages)"""
 TRANSCRIPT = f"""joined as (select conv_id, string_agg(text, ' ' order by turn) as whole from conversations group by conv_id), spoken as (select conv_id, substring(whole, 1, 15000) as content from joined where length({strip('whole')}) >= 100)"""
 
+REPLIES = """p as (select conv_id, turn, role, string_split(text, chr(10)) as lines from conversations), n as (select conv_id, turn, role, lines, case when role = 'system' and len(lines) > 1 then 1 else len(lines) end as stop from p),
+sent as (select conv_id, turn, k, lines[k + 1] as data from (select *, unnest(range(0, stop)) as k from n) union all select conv_id, turn, stop, case when role = 'system' and len(lines) > 1 then '[ERROR] broke off' else '[DONE]' end from n)"""
+
 SQL = {
     "src_min_length_truncate": f"select doc_id, length(substring(text, 1, 12000)) as n, md5(substring(text, 1, 12000)) as content_md5 from documents where length({strip('text')}) >= 100",
     "src_title_fallback": f"""with p as (select page_id, url, regexp_extract(html, {lit(H.TITLE)}, 1) as page_title from pages), h as (select doc_id, coalesce(url, 'doc://' || doc_id) as url, case when doc_id % 5 = 0 then '' when doc_id % 5 = 1 then null else page_title end as given from documents left join p on page_id = doc_id)
@@ -131,6 +134,12 @@ array_to_string(list_transform(range(1, n_modules + 1), lambda i: '2'), ';') as
     "sse_parse": """with p as (select conv_id, turn, string_split(text, chr(10)) as lines from conversations), spec as (select 'spec' as mode, conv_id, turn, unnest(range(0, len(lines))) as line_no, lines from p),
 every as (select mode, conv_id, turn, line_no, lines[line_no + 1] as data from spec union all select 'legacy', conv_id, turn, i, case when i = 0 then lines[1] else substring(lines[i + 1], 7) end from (select conv_id, turn, lines, unnest(range(0, len(lines))) as i from p) where i = 0 or starts_with(lines[i + 1], 'data: '))
 select mode, conv_id, turn, line_no::int as line_no, case when data = '[DONE]' then 'done' when starts_with(data, '[ERROR]') then 'error' else 'data' end as kind, md5(data) as data_md5 from every""",
+    "ui_detail_rows": f"""with {VERSIONS} select slug, 'Status' as label, status as value from experts union all select slug, 'Sources', source_count::varchar from experts union all select slug, 'Concepts', node_count::varchar from experts
+union all select slug, 'Relations', relation_count::varchar from experts union all select slug, 'Namespace', 'expert-' || slug from experts union all select slug, 'Path', 'storage/' || slug from experts""",
+    "build_progress": f"""with {VERSIONS}, s as (select * from (values (1, 'sources'), (2, 'pages'), (3, 'papers'), (4, 'concepts'), (5, 'relations')) t(stage, what))
+select slug, stage::int as stage, stage || '/5 ' || what || ': ' || case stage when 4 then node_count when 5 then relation_count else source_count end as payload from experts cross join s""",
+    "sse_reply_frames": f"""with {REPLIES} select conv_id, turn, k::int as frame_no, md5('data: ' || data || chr(10) || chr(10)) as raw_md5 from sent""",
+    "sse_client_join": f"""with {REPLIES} select conv_id, turn, md5(coalesce(string_agg(data, '' order by k) filter (where data <> '[DONE]' and not starts_with(data, '[ERROR]')), '')) as text_md5, bool_or(data = '[DONE]') as ended, max(data) filter (where starts_with(data, '[ERROR]')) as error from sent group by conv_id, turn""",
     "stream_progress": """with f as (select 'u' || user_id as slug, case event_type when 'view' then 1 when 'signup' then 2 when 'click' then 3 when 'purchase' then 4 when 'error' then 5 end as stage, event_type from events)
 select slug, stage::int as stage, count(*) as n_frames, sum(length('data: ' || stage || '/5 ' || event_type) + 2)::bigint as n_chars from f where stage is not null group by slug, stage""",
     "stream_chat_state": """select conv_id, count(*) as n_messages, least(count(*), 20)::int as n_history, arg_max(role, turn) as last_role, md5(array_to_string(list_slice(list(role || ':' || text order by turn), -20, -1), '|')) as history_md5 from conversations group by conv_id""",

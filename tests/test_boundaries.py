@@ -236,3 +236,11 @@ def test_chat_stream_over_batches_equals_one(spark, tmp_path):
     twice = sorted(chat_stream(spark, str(tmp_path / "in"), folder).collect())
     assert twice == sorted(chat_stream(spark, str(tmp_path / "in")).collect())
     assert [(r.n_messages, r.n_history, r.last_role) for r in twice] == [(30, 20, "assistant")] * 3
+
+
+def test_settings(spark):
+    from quillspark.settings import settings
+
+    spark.conf.set("quillspark.top_k", "7")
+    assert settings(spark).top_k == 7 and settings(spark).history == 20
+    spark.conf.unset("quillspark.top_k")
