@@ -12,8 +12,9 @@ if they share one of their first shingles (the prefix filter), so:
    the one before it the nodes of their common beginning. The traversal keeps the
    overlap with the head at each depth, goes on from the shared node, and prunes a
    subtree as soon as what is left of the sets can't reach the threshold.
-4. Verified links give components. Classes that share a prefix shingle and are still in
-   different components are then compared too, so that no component stays apart.
+4. Verified links give components. Classes that share enough of their prefixes to be
+   similar and are still in different components are then compared too, so that no
+   component stays apart.
 
 Only prefixes are shuffled for all documents; whole sets only for candidates. Shingles
 that the sketch finds frequent are grouped by partial aggregation and joined back; the
@@ -28,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import components, meeting, written
@@ -194,11 +195,25 @@ def _walked(percent: int):
     return over
 
 
-def _verified(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of (head, doc_id) with fitting sizes, the links."""
-    size = sizes.select("doc_id", "n")
-    pairs = pairs.join(size, "doc_id").join(size.select(F.col("doc_id").alias("head"), F.col("n").alias("m")), "head")
-    pairs = written(pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select("head", "doc_id"), "set-pairs")
+def promising(n: str, m: str, shared: str, percent: int):
+    """Whether sets of ``n`` and ``m`` shingles can be similar if their prefixes share ``shared``.
+
+    Similar sets share at least ``a = percent (n + m) / (100 + percent)``. Take the set
+    whose prefix ends first in the global order: all of it that the other set also holds
+    up to there has been counted, and behind its prefix it has ``ceil(percent n / 100) - 1``
+    more. The larger set has the larger rest, so its rest bounds both cases.
+    """
+    need = F.ceil((F.col(n) + F.col(m)) * percent / F.lit(100 + percent))
+    rest = F.ceil(F.greatest(n, m) * percent / F.lit(100)) - 1
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.col(shared) >= F.greatest(F.lit(1), need - rest))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, level) -> DataFrame:
+    """Of (head, doc_id), the links, as (u, v)."""
+    pairs = written(pairs.select("head", "doc_id"), "set-pairs")
+    wanted = written(pairs.select("doc_id").union(pairs.select("head")).distinct(), "candidates")
+    sets = meeting(docs, wanted, "doc_id", how="left_semi").mapInArrow(_sets(width, level), "doc_id long, set binary").dropDuplicates(["doc_id"])
+    sets = written(sets, "sets")
     salts = pairs.groupBy("head").agg(F.ceil(F.count("*") / F.lit(TRIE_MEMBERS)).cast("int").alias("salts"))
     members = pairs.join(salts, "head").select("head", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), "doc_id").join(sets, "doc_id").select("head", "salt", "doc_id", "set")
     roots = salts.join(sets, salts["head"] == sets["doc_id"]).select("head", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("doc_id"), "set")
@@ -230,32 +245,28 @@ def jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 75, id_col:
     reps = meeting(read, others, "doc_id", how="left_anti")
     sizes = member_of.where("rep = doc_id").select("doc_id", "n").dropDuplicates(["doc_id"])
 
-    tokens = reps.mapInArrow(_prefixes(width, percent, level), "token long, doc_id long")
+    tokens = written(reps.mapInArrow(_prefixes(width, percent, level), "token long, doc_id long"), "prefixes")
     rare = tokens.where(F.shiftright("token", 60) == 0)
     hot = tokens.where(F.shiftright("token", 60) > 0)
-    from pyspark.sql import Window
-
     group = Window.partitionBy("token")
     rare = rare.select("token", "doc_id", F.min("doc_id").over(group).alias("head"), F.max("doc_id").over(group).alias("last")).where("head <> last")
     heads = hot.groupBy("token").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head <> last")
     both = written(rare.select("token", "doc_id", "head").union(hot.join(heads, "token").select("token", "doc_id", "head")), "shared-shingles")
 
-    first = both.where("doc_id <> head").select("head", "doc_id").distinct()
-    wanted = written(both.select("doc_id").distinct(), "candidates")
-    sets = meeting(reps, wanted, "doc_id", how="left_semi").mapInArrow(_sets(width, level), "doc_id long, set binary").dropDuplicates(["doc_id"])
-    sets = written(sets, "sets")
-    links = written(_verified(first, sizes, sets, percent), "links")
+    # Each with its heads: pairs that share enough of what has that head. What this misses is left to the next step.
+    first = both.where("doc_id <> head").groupBy("head", "doc_id").agg(F.count("*").alias("shared")).join(sizes, "doc_id")
+    first = first.join(sizes.select(F.col("doc_id").alias("head"), F.col("n").alias("m")), "head").where(promising("n", "m", "shared", percent))
+    links = written(_verified(first, reps, width, percent, level), "links")
     label = written(components(links), "labels")
 
-    # Pairs that share a prefix shingle, but no component yet.
-    named = both.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "head", F.coalesce("component", "doc_id").alias("label"))
-    named = named.join(sizes, "doc_id")
+    # All pairs that share enough of their prefixes, but no component yet.
+    named = both.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("label")).join(sizes, "doc_id")
     apart = named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
     named = written(named.join(apart, "token", "left_semi"), "apart")
-    left, right = named, named.select("token", F.col("doc_id").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("m"))
-    second = left.join(right, "token").where("doc_id > other and other <> head and label <> other_label").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-    second = second.select(F.col("other").alias("head"), "doc_id").distinct()
-    more = _verified(second, sizes, sets, percent)
+    other = named.select("token", F.col("doc_id").alias("head"), F.col("label").alias("head_label"), F.col("n").alias("m"))
+    fit = (F.col("doc_id") > F.col("head")) & (F.col("label") != F.col("head_label")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    second = named.join(other, (named["token"] == other["token"]) & fit).groupBy("head", "doc_id", "n", "m").agg(F.count("*").alias("shared"))
+    more = _verified(second.where(promising("n", "m", "shared", percent)), reps, width, percent, level)
     label = written(components(links.union(more)), "labels")
     return (
         member_of.join(label, member_of["rep"] == label["node"], "left")
