@@ -24,9 +24,9 @@ from .words import text_column
 
 
 def _split(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, no, line) of the lines long enough to be compared."""
+    """(doc_id, no, line, n) of the lines of ``n`` characters, long enough to be compared."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-    return lines.where(F.length("line") >= min_chars)
+    return lines.select("doc_id", "no", "line", F.length("line").alias("n")).where(F.col("n") >= min_chars)
 
 
 def _starts(length: Column, parts: int) -> list[Column]:
@@ -39,20 +39,22 @@ def _key(length: Column, k: int, segment: Column) -> Column:
     return F.xxhash64(length, F.lit(k), segment)
 
 
-def _index_keys(line: Column, parts: int) -> Column:
-    length = F.length(line)
+def _index_keys(line: Column, length: Column, parts: int) -> Column:
     at = _starts(length, parts)
     return F.array(*(_key(length, k, F.substring(line, at[k] + 1, at[k + 1] - at[k])) for k in range(parts)))
 
 
-def _probe_keys(line: Column, parts: int) -> Column:
-    """Keys under which lines within the threshold are indexed.
+def _probe_keys(line: Column, length: Column, parts: int) -> Column:
+    """Keys under which lines within the threshold are indexed; null for a place outside the line.
+
+    The length comes as a column of its own and nothing here is a lambda, so that the
+    keys are compiled code that reads the line once for each substring.
 
     For a line with ``more`` characters more than the indexed one, segment ``k`` (of
     k + 1 .. parts) can have moved by at most ``k`` to either side as seen from the left,
     and as seen from the right by at most ``parts - 1 - k`` around ``more``.
     """
-    length, keys = F.length(line), []
+    keys = []
     for more in range(-(parts - 1), parts):
         other = length - more
         at = _starts(other, parts)
@@ -63,7 +65,7 @@ def _probe_keys(line: Column, parts: int) -> Column:
                 size = at[k + 1] - at[k]
                 fits = (other >= parts) & (place >= 0) & (place + size <= length)
                 keys.append(F.when(fits, _key(other, k, F.substring(line, place + 1, size))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+    return F.array_distinct(F.array(*keys))
 
 
 def _near(pairs: DataFrame, docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
@@ -71,7 +73,7 @@ def _near(pairs: DataFrame, docs: DataFrame, threshold: int, min_chars: int) ->
     pairs = written(pairs, "line-pairs")
     wanted = pairs.select("doc_id", "no").union(pairs.select("other_doc", "other_no")).distinct()
     wanted = written(wanted, "line-ids")
-    texts = _split(meeting(docs, wanted.select("doc_id").distinct(), "doc_id", "left_semi"), min_chars).join(wanted, ["doc_id", "no"])
+    texts = _split(meeting(docs, wanted.select("doc_id").distinct(), "doc_id", "left_semi"), min_chars).drop("n").join(wanted, ["doc_id", "no"])
     texts = written(texts, "line-texts")
     others = texts.select(F.col("doc_id").alias("other_doc"), F.col("no").alias("other_no"), F.col("line").alias("other"))
     both = pairs.join(texts, ["doc_id", "no"]).join(others, ["other_doc", "other_no"])
@@ -83,14 +85,14 @@ def repeated_lines(docs: DataFrame, *, threshold: int = 1, min_chars: int = 20)
     parts = threshold + 1
     lines = _split(docs, min_chars)
     place = F.struct("doc_id", "no")
-    coded = lines.select(F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), place.alias("at"), _index_keys(F.col("line"), parts).alias("own"), _probe_keys(F.col("line"), parts).alias("probes"))
+    coded = lines.select(F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), place.alias("at"), _index_keys(F.col("line"), F.col("n"), parts).alias("own"), _probe_keys(F.col("line"), F.col("n"), parts).alias("probes"))
     first = coded.groupBy("h1", "h2").agg(F.min(F.struct("at", "own", "probes")).alias("f")).select("h1", "h2", "f.*")
     first = written(first, "first-lines")
     equal = lines.select(F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), "doc_id", "no")
     equal = equal.join(first.select("h1", "h2", "at"), ["h1", "h2"]).where(F.struct("doc_id", "no") != F.col("at")).select("doc_id", "no")
     index = first.select(F.explode("own").alias("key"), "at")
     heads = index.groupBy("key").agg(F.min("at").alias("head"))
-    probes = first.select(F.explode("probes").alias("key"), "at")
+    probes = first.select(F.explode("probes").alias("key"), "at").where("key is not null")
     # First against the first line of each entry.
     to_heads = probes.join(heads, "key").where("head < at")
     near = written(_near(to_heads.selectExpr("at.doc_id", "at.no", "head.doc_id other_doc", "head.no other_no").distinct(), docs, threshold, min_chars), "near-lines")
