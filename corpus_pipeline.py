@@ -36,7 +36,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go; every document stays."""
-    return rewritten(line_dedup(docs, carry=("lang", "source")), "kept_text")
+    return rewritten(line_dedup(docs, threshold=None, short=True, carry=("lang", "source")), "kept_text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

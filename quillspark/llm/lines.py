@@ -1,21 +1,37 @@
-"""Line dedup by a segment-partition edit join, in DataFrame functions only.
-
-A line is dropped if a line before it (by document, then place) is within
-``threshold`` edits. Lines of fewer than ``min_chars`` characters are neither dropped
-nor compared.
-
-Equal lines are found by hash alone. The first of each is split into ``threshold + 1``
-segments: any line within the threshold still holds one of them whole, at a place that
-differs by no more than the edits. So each line probes an index of (length, segment
-number, segment) with the substrings of its own that could be one of a line no longer
-than itself, and of a longer one. Candidates are first compared with the first line of
-an index entry alone; what that leaves undecided meets all lines of the entry, so a
-group of near copies of any size costs about one comparison for each line. Texts are
-read again for candidates only, and verified by a banded edit distance.
+"""Line dedup by edit joins, in DataFrame functions only.
+
+A line is dropped if a line before it (by document, then place) is within the edits
+allowed. With a number as ``threshold`` these are as many for every line; with
+``threshold=None`` they grow with the shorter line's length (``allowed``): 1 below 40
+characters, 2 below 120, then one for every 40 characters, without an upper end. Lines
+of fewer than ``min_chars`` characters aren't compared by edits; with ``short`` they are
+dropped if an equal line was before them, unless they are blank.
+
+Equal lines are found by hash alone. The first of each gets keys, such that two lines
+within the edits allowed always share one:
+
+* Up to 80 characters, or with a number as threshold: a line is split into one segment
+  more than the edits. Any near line still holds one of them whole, at a place that
+  differs by no more than the edits. So each line probes an index of (length, segment
+  number, segment) with the substrings of its own that could be one of a line no longer
+  than itself, and of a longer one.
+* From 80 characters on: an edit touches two neighbouring tokens at most, so four of the
+  runs of three tokens. Of ``t`` edits the ``4 t + 1`` first runs, in any one order, of
+  both lines must share one. They are ordered by how often a sample holds them, rarest
+  first; the order decides the work and not the result.
+* Longer lines with no more runs than that (few tokens, or always the same): disjoint
+  segments of 20 characters are indexed, and all substrings of 20 probe.
+
+Candidates are first compared with the first line of an index entry alone; what that
+leaves undecided meets all lines of the entry, so a group of near copies of any size
+costs about one comparison for each line. Texts are read again for candidates only, and
+verified by a banded edit distance.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +39,24 @@ from .shared import meeting, written
 from .words import text_column
 
 
-def _split(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, no, line, n) of the lines of ``n`` characters, long enough to be compared."""
+#: Characters for each edit allowed in long lines; from LONG characters on lines are joined by runs of tokens.
+SHARE, LONG = 40, 80
+#: A token ends with a character that is no letter, mark or digit, or that belongs to a script without spaces.
+TOKEN_END = r"(?<=[^\p{L}\p{M}\p{N}]|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+RUN, SEGMENT = 3, 20
+#: Cells of the sketch of frequencies, and the share of documents that it samples.
+CELLS, SAMPLED = 1 << 16, 16
+
+
+def allowed(n: Column) -> Column:
+    """The edits allowed for a line of ``n`` characters."""
+    return F.greatest(F.when(n < 40, 1).otherwise(2), F.floor(n / SHARE)).cast("int")
+
+
+def _split(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
+    """(doc_id, no, line, n) of the lines of ``n`` characters, long enough to be compared; with ``short`` also of the shorter ones that aren't blank."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-    return lines.select("doc_id", "no", "line", F.length("line").alias("n")).where(F.col("n") >= min_chars)
+    return lines.select("doc_id", "no", "line", F.length("line").alias("n")).where((F.col("n") >= min_chars) | (F.lit(short) & F.col("line").rlike(r"[^\x20\x09-\x0D]")))
 
 
 def _starts(length: Column, parts: int) -> list[Column]:
@@ -68,7 +98,53 @@ def _probe_keys(line: Column, length: Column, parts: int) -> Column:
     return F.array_distinct(F.array(*keys))
 
 
-def _near(pairs: DataFrame, docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+def _runs(line: Column) -> Column:
+    """Hashes of the runs of RUN tokens."""
+    # The array around the tokens binds them once for the inner function.
+    hashes = F.transform(
+        F.array(F.split(line, TOKEN_END, -1)),
+        lambda own: F.when(F.size(own) >= RUN, F.transform(F.sequence(F.lit(0), F.size(own) - RUN), lambda i: F.xxhash64(*(F.get(own, i + k) for k in range(RUN))))),
+    )
+    return F.array_distinct(F.coalesce(F.get(hashes, F.lit(0)), F.array().cast("array<bigint>")))
+
+
+def _sketch(docs: DataFrame) -> bytes:
+    """For each cell of hashes, the binary logarithm of how often a sample of the lines holds its runs."""
+    lines = _split(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0), LONG)
+    cells = lines.select(F.explode(_runs(F.col("line"))).alias("h")).groupBy(F.col("h").bitwiseAND(CELLS - 1).alias("cell")).count()
+    levels = bytearray(CELLS)
+    for cell, n in cells.collect():
+        levels[cell] = min(62, int(math.log2(n + 1)))
+    return bytes(levels)
+
+
+def _ordered(runs: Column, sketch: bytes) -> Column:
+    """Keys of the runs, rarest first: the level of the sketch above 57 bits of the hash."""
+    level = lambda h: F.ascii(F.substring(F.lit(sketch), h.bitwiseAND(CELLS - 1).cast("int") + 1, 1).cast("string")).cast("long")
+    return F.sort_array(F.transform(runs, lambda h: F.shiftleft(level(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
+
+
+def _keys(lines: DataFrame, docs: DataFrame, threshold: int | None, min_chars: int) -> DataFrame:
+    """h1, h2 and at of ``lines``, with the keys they are indexed by (``own``), those they probe, and those that do both (``runs``)."""
+    line, n, none = F.col("line"), F.col("n"), F.array().cast("array<bigint>")
+    if threshold is not None:
+        long_enough = n >= min_chars
+        own, probes = _index_keys(line, n, threshold + 1), _probe_keys(line, n, threshold + 1)
+        return lines.select("h1", "h2", "at", F.when(long_enough, own).otherwise(none).alias("own"), F.when(long_enough, probes).otherwise(none).alias("probes"), none.alias("runs"))
+    t = allowed(n)
+    runs = F.when((n >= LONG) & (n >= min_chars), _runs(line)).otherwise(none)
+    lines = lines.withColumn("runs", runs)
+    bare = (n >= LONG) & (n >= min_chars) & (F.size("runs") <= 4 * t)
+    part = lambda start: F.xxhash64(F.lit("part"), F.substring(line, start + 1, F.lit(SEGMENT)))
+    # One edit where the shorter line has fewer than 40 characters, two where it has fewer than LONG.
+    classes = [((n >= min_chars) & (n <= 40), 2), ((n >= max(40, min_chars)) & (n <= LONG + 1), 3)]
+    own = [F.when(c, _index_keys(line, n, parts)).otherwise(none) for c, parts in classes] + [F.when(bare, F.transform(F.sequence(F.lit(0), t), lambda k: part(k * SEGMENT))).otherwise(none)]
+    probes = [F.when(c, _probe_keys(line, n, parts)).otherwise(none) for c, parts in classes] + [F.when(bare, F.transform(F.sequence(F.lit(0), n - SEGMENT), part)).otherwise(none)]
+    ordered = F.slice(_ordered(F.col("runs"), _sketch(docs)), F.lit(1), 4 * t + 1)
+    return lines.select("h1", "h2", "at", F.array_distinct(F.concat(*own)).alias("own"), F.array_distinct(F.concat(*probes)).alias("probes"), ordered.alias("runs"))
+
+
+def _near(pairs: DataFrame, docs: DataFrame, threshold: int | None, min_chars: int) -> DataFrame:
     """Of (doc_id, no, other_doc, other_no), the lines that are within the threshold of the other line."""
     pairs = written(pairs, "line-pairs")
     wanted = pairs.select("doc_id", "no").union(pairs.select("other_doc", "other_no")).distinct()
@@ -77,22 +153,30 @@ def _near(pairs: DataFrame, docs: DataFrame, threshold: int, min_chars: int) ->
     texts = written(texts, "line-texts")
     others = texts.select(F.col("doc_id").alias("other_doc"), F.col("no").alias("other_no"), F.col("line").alias("other"))
     both = pairs.join(texts, ["doc_id", "no"]).join(others, ["other_doc", "other_no"])
-    return both.where(F.levenshtein("line", "other", threshold) >= 0).select("doc_id", "no").distinct()
+    if threshold is None:
+        both = both.withColumn("most", allowed(F.least(F.length("line"), F.length("other"))))
+        close = (F.abs(F.length("line") - F.length("other")) <= F.col("most")) & F.expr("levenshtein(line, other, most) >= 0")
+    else:
+        close = F.levenshtein("line", "other", threshold) >= 0
+    return both.where(close).select("doc_id", "no").distinct()
 
 
-def repeated_lines(docs: DataFrame, *, threshold: int = 1, min_chars: int = 20) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, threshold: int | None = 1, min_chars: int = 20, short: bool = False) -> DataFrame:
     """(doc_id, no): the lines to drop. ``docs`` has doc_id and text."""
-    parts = threshold + 1
-    lines = _split(docs, min_chars)
+    lines = _split(docs, min_chars, short).withColumns({"h1": F.xxhash64("line"), "h2": F.hash("line")})
     place = F.struct("doc_id", "no")
-    coded = lines.select(F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), place.alias("at"), _index_keys(F.col("line"), F.col("n"), parts).alias("own"), _probe_keys(F.col("line"), F.col("n"), parts).alias("probes"))
-    first = coded.groupBy("h1", "h2").agg(F.min(F.struct("at", "own", "probes")).alias("f")).select("h1", "h2", "f.*")
-    first = written(first, "first-lines")
-    equal = lines.select(F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), "doc_id", "no")
-    equal = equal.join(first.select("h1", "h2", "at"), ["h1", "h2"]).where(F.struct("doc_id", "no") != F.col("at")).select("doc_id", "no")
+    first = lines.groupBy("h1", "h2").agg(F.min(F.struct(place.alias("at"), "n", "line")).alias("f")).select("h1", "h2", "f.*")
+    first = written(_keys(first, docs, threshold, min_chars), "first-lines")
+    equal = lines.select("h1", "h2", "doc_id", "no").join(first.select("h1", "h2", "at"), ["h1", "h2"]).where(place != F.col("at")).select("doc_id", "no")
     index = first.select(F.explode("own").alias("key"), "at")
-    heads = index.groupBy("key").agg(F.min("at").alias("head"))
     probes = first.select(F.explode("probes").alias("key"), "at").where("key is not null")
+    if threshold is None:
+        # Most runs are of one line alone: keys are counted before any place is shipped.
+        runs = first.select(F.explode("runs").alias("key"), "at")
+        several = written(runs.groupBy("key").count().where("count > 1").select("key"), "shared-runs")
+        runs = written(meeting(runs, several, "key", "left_semi"), "runs")
+        index, probes = index.union(runs), probes.union(runs)
+    heads = index.groupBy("key").agg(F.min("at").alias("head"))
     # First against the first line of each entry.
     to_heads = probes.join(heads, "key").where("head < at")
     near = written(_near(to_heads.selectExpr("at.doc_id", "at.no", "head.doc_id other_doc", "head.no other_no").distinct(), docs, threshold, min_chars), "near-lines")
@@ -103,17 +187,18 @@ def repeated_lines(docs: DataFrame, *, threshold: int = 1, min_chars: int = 20)
     return equal.union(near).union(_near(to_rest, docs, threshold, min_chars))
 
 
-def line_dedup(docs: DataFrame, *, threshold: int = 1, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def line_dedup(docs: DataFrame, *, threshold: int | None = 1, min_chars: int = 20, short: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: n_lines, n_removed, and the text of the lines kept.
 
-    Null texts stay null and have no lines; empty and short lines always stay. Of equal
-    and near lines the first by (document, place) stays. Whether a line goes depends on
+    Null texts stay null and have no lines; blank lines below ``min_chars`` always stay, and
+    without ``short`` all below it. ``threshold=None`` lets the edits grow with the length.
+    Of equal and near lines the first by (document, place) stays. Whether a line goes depends on
     lines of the input alone, dropped or not. Rows that share an id lose lines at the same
     places. An empty table gives an empty result. ``carry`` names columns to return besides.
     """
     read = text_column(docs, id_col, text_col, *carry)
     usable = read.where("text is not null")
-    dropped = repeated_lines(usable, threshold=threshold, min_chars=min_chars)
+    dropped = repeated_lines(usable, threshold=threshold, min_chars=min_chars, short=short)
     dropped = written(dropped.groupBy("doc_id").agg(F.collect_set("no").alias("gone")), "dropped-lines")
     cut = meeting(read, dropped, "doc_id").select("doc_id", "text", "gone", *carry)
     whole = meeting(read, dropped, "doc_id", how="left_anti").select("doc_id", "text", F.array().cast("array<int>").alias("gone"), *carry)

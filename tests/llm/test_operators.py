@@ -298,6 +298,44 @@ def test_lines_at_each_threshold(spark, threshold):
     assert got == {d: (t,) for d, t in brute.lines(rows, threshold).items()}
 
 
+def test_lines_with_edits_by_length(spark, docs):
+    """All pairs, for lines on both sides of each bound: prose, one run of letters, and a script without spaces."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 9))) for _ in range(80)]
+    kinds = [lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))[:n], lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n)), lambda n: "".join(rng.choice("日本語学校東京大山川田") for _ in range(n)), lambda n: ("-|" * n)[:n]]
+    lines_of = []
+    for n in (3, 12, 20, 38, 40, 41, 79, 80, 82, 119, 121, 160, 330):
+        for kind in kinds:
+            base = kind(n)
+            lines_of += [base, base]
+            for edits in (1, 2, 3, n // 40, n // 40 + 1, n // 40 + 2):
+                own = list(base)
+                for _ in range(edits):
+                    at = rng.randrange(len(own))
+                    own[at : at + rng.choice((0, 1))] = rng.choice(("", "x", "é", " "))
+                lines_of.append("".join(own))
+    lines_of += ["", "   ", "   ", ""]
+    rng.shuffle(lines_of)
+    rows = {i: "\n".join(lines_of[7 * i : 7 * i + 7]) for i in range(-(-len(lines_of) // 7))}
+
+    def most(n):
+        return 0 if n < 20 else max(1 if n < 40 else 2, n // 40)
+
+    gone, before = set(), []
+    for d, t in rows.items():
+        for k, x in enumerate(t.split("\n")):
+            if any(o == x and x.strip() or brute.edits(o, x, min(most(len(o)), most(len(x)))) and min(len(o), len(x)) >= 20 for o in before):
+                gone.add((d, k))
+            before.append(x)
+    want = {d: ("\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone),) for d, t in rows.items()}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert by_id(lines.line_dedup(df, threshold=None, short=True), "kept_text") == want
+    # One edit and no short lines, as before, leaves more.
+    assert by_id(lines.line_dedup(df), "kept_text") != want
+    assert lines.line_dedup(df.limit(0), threshold=None, short=True).count() == 0
+    assert "Python" not in lines.line_dedup(docs, threshold=None, short=True)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lines_run_without_python(docs):
     told = lines.line_dedup(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in told and "Arrow" not in told
