@@ -1,11 +1,13 @@
-"""Embedding near-dedup by sorted projection passes.
+"""Embedding near-dedup by sorted projection passes and blocks against blocks.
 
 In each pass every vector gets a number of sign bits of random projections, drawn
 anew; the vectors of a label are ordered by them, and each is compared with a bounded
-window of its followers. Verified pairs of all passes are united into components.
-Each link lies within a component, so links are then counted per component, in
-blocks of vectors that never meet more than one other block at a time: a component of
-any size is spread over as many tasks as it has pairs of blocks, and no pair is emitted.
+window of its followers. Verified pairs of all passes are united into groups.
+Windows can miss links in dense groups, so then every vector meets every other of its
+label and width, in blocks that never meet more than one other block at a time: a label
+of any size is spread over as many tasks as it has pairs of blocks. A task counts the
+links of its vectors, and returns only links between groups that are still apart, of
+those a spanning forest. So the result is exact, and the passes only save links.
 """
 
 from __future__ import annotations
@@ -55,15 +57,16 @@ def _keyed(passes: int, seed: int):
     return over
 
 
+def _find(parent: dict[int, int], x: int) -> int:
+    while parent.setdefault(x, x) != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
 def _windowed(window: int, threshold: float):
     """Verified pairs of neighbours in the order of one partition. Of those, a spanning forest is enough."""
 
-    def find(parent: dict[int, int], x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: pa.RecordBatch | None = None
         for batch in batches:
@@ -85,7 +88,7 @@ def _windowed(window: int, threshold: float):
                         i, j = np.nonzero(own @ other.T >= threshold)
                         near = (j > i) & (j <= i + window) & (a + low + j >= old)
                         for x, y in zip(ids[a + low + i[near]].tolist(), ids[a + low + j[near]].tolist(), strict=True):
-                            u, v = find(parent, x), find(parent, y)
+                            u, v = _find(parent, x), _find(parent, y)
                             if u != v:
                                 parent[u] = v
                                 links.append((x, y))
@@ -96,20 +99,37 @@ def _windowed(window: int, threshold: float):
     return over
 
 
+#: Rows of a product that are held at once.
+TILE = 1024
+
+
 def _counted(threshold: float):
+    """Links of each vector (n) in one pair of blocks, and links between components not yet united (u, v with n = 0)."""
+
     def count(own: pd.DataFrame) -> pd.DataFrame:
+        side, ids, groups = own["side"].to_numpy(), own["vec_id"].to_numpy(), own["component"].to_numpy()
         units = _units(np.stack(own["embedding"].to_numpy()).astype(np.float64))
-        side, ids = own["side"].to_numpy(), own["vec_id"].to_numpy()
-        left, right = units[side == 0], units[side == 1]
-        links = np.zeros(len(own), np.int64)
-        if own["low"].iat[0] != own["high"].iat[0]:
-            near = left @ right.T >= threshold
-            links[side == 0], links[side == 1] = near.sum(1), near.sum(0)
-        else:
-            near = left @ left.T >= threshold
-            np.fill_diagonal(near, False)
-            links[side == 0] = near.sum(1)
-        return pd.DataFrame({"vec_id": ids, "n": links})
+        alone = own["low"].iat[0] == own["high"].iat[0]
+        left = np.flatnonzero(side == 0)
+        right = left if alone else np.flatnonzero(side == 1)
+        n, parent, links = np.zeros(len(own), np.int64), {}, []
+        for at in range(0, len(left), TILE):
+            rows = left[at : at + TILE]
+            near = units[rows] @ units[right].T >= threshold
+            if alone:
+                near[np.arange(len(rows)), at + np.arange(len(rows))] = False
+            else:
+                n[right] += near.sum(0)
+            n[rows] += near.sum(1)
+            i, j = np.nonzero(near & (groups[rows][:, None] != groups[right][None, :]))
+            apart = np.unique(np.stack([groups[rows[i]], groups[right[j]]], 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
+            for x, y in apart.tolist():
+                u, v = _find(parent, x), _find(parent, y)
+                if u != v:
+                    parent[u] = v
+                    links.append((x, y))
+        u, v = (np.array(x, np.int64) for x in zip(*links, strict=True)) if links else (np.zeros(0, np.int64),) * 2
+        return pd.DataFrame({"u": np.r_[ids, u], "v": np.r_[ids, v], "n": np.r_[n, np.zeros(len(u), np.int64)]})
 
     return count
 
@@ -134,18 +154,24 @@ def embedding_dedup(vectors: DataFrame, *, threshold: float = 0.98, passes: int
     order = ["pass", "label", "width", "key", "vec_id"]
     links = keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_windowed(window, threshold), "u long, v long")
     groups = written(components(links, what="vector-components"), "vector-groups")
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    members = usable.join(groups.join(sizes, "component"), F.col("vec_id") == F.col("node"))
+    # Labels of many vectors have larger blocks, so that each vector is sent a number of times that grows with the root.
+    number_of = F.ceil(F.least(F.count("*") / F.lit(block), F.greatest(F.lit(16), F.sqrt(F.count("*")) / 4))).cast("int")
+    sizes = usable.groupBy("label", "width").agg(number_of.alias("blocks"))
+    members = usable.join(sizes, ["label", "width"]).join(groups.withColumnRenamed("node", "vec_id"), "vec_id", "left").withColumn("component", F.coalesce("component", "vec_id"))
     members = members.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     # Block i meets each block j >= i once: as side 0 where it is the lower, as side 1 where it is the higher.
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("low"), F.greatest("own", j).alias("high"), (F.col("own") > j).cast("int").alias("side")))
-    dealt = members.select("vec_id", "component", "embedding", F.explode(meets).alias("m")).select("vec_id", "component", "embedding", "m.*")
-    counts = dealt.groupBy("component", "low", "high").applyInPandas(_counted(threshold), "vec_id long, n long")
-    counts = counts.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
+    dealt = members.select("vec_id", "label", "width", "component", "embedding", F.explode(meets).alias("m")).select("vec_id", "label", "width", "component", "embedding", "m.*")
+    met = written(dealt.groupBy("label", "width", "low", "high").applyInPandas(_counted(threshold), "u long, v long, n long"), "vector-counts")
+    counts = met.where("u = v").groupBy(F.col("u").alias("vec_id")).agg(F.sum("n").alias("n_links"))
+    # Groups that the windows left apart: their least ids are linked, and lead on to the least of all.
+    led = written(components(met.where("u <> v").select("u", "v"), what="vector-joins"), "vector-leads").select(F.col("node").alias("component_id"), F.col("component").alias("led"))
+    groups = usable.select("vec_id").join(groups.select(F.col("node").alias("vec_id"), "component"), "vec_id", "left").select("vec_id", F.coalesce("component", "vec_id").alias("component_id"))
+    groups = groups.join(led, "component_id", "left").select("vec_id", F.coalesce("led", "component_id").alias("component_id"))
     return (
         read.select("vec_id")
-        .join(groups.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+        .join(groups, "vec_id", "left")
         .join(counts, "vec_id", "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
         .withColumn("kept", F.col("vec_id") == F.col("component_id"))
     )

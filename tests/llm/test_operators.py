@@ -119,6 +119,24 @@ def test_embeddings(spark):
     assert embeddings.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_sparse_links_in_a_dense_group(spark):
+    """One label of near copies, of which only the closest pairs are links: windows alone lose some."""
+    rng = np.random.default_rng(11)
+    vectors = rng.standard_normal(64)[None, :] + 0.185 * rng.standard_normal((3000, 64))
+    units = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    near = units @ units.T
+    assert np.abs(near - 0.98).min() > 1e-12
+    near = near >= 0.98
+    np.fill_diagonal(near, False)
+    groups = brute.Groups()
+    for i, j in zip(*np.nonzero(near), strict=True):
+        groups.unite(int(i), int(j))
+    df = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, label int, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.embedding_dedup(df, passes=2, window=8).collect()}
+    assert got == {i: (int(near[i].sum()), groups.find(i)) for i in range(3000)}
+    assert 0 < near.sum() and len({c for _, c in got.values()}) > 1
+
+
 # 3
 
 
