@@ -181,6 +181,21 @@ def test_fertility_rejects_noise(spark):
     assert got[1][0] > got[2][0]
 
 
+def test_band_is_by_all_letters_of_the_text(spark):
+    english, russian = "The river was of the old town and the boats were by the shore. ", "Старый город стоит на берегу реки и каждое утро рыбаки выходят на лодках. "
+    rows = [english * 5 + russian * 100, russian * 5 + english * 100, "12345 67890 " * 300 + russian * 100, "12345 67890 " * 100, "日本語の学校は大きな川の岸辺にあります。 " * 60, "ქალაქი მდინარის პირას დგას. " * 60]
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(rows)], "doc_id long, text string, lang string")
+    assert by_id(quality.quality_rules(df, PIECES), "band") == {0: ("CYRILLIC",), 1: ("LATIN",), 2: ("CYRILLIC",), 3: ("other",), 4: ("CJK",), 5: ("other",)}
+
+
+def test_labelled_good_rows_stay_and_noise_goes(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.quality_rules(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), PIECES).join(labels, "doc_id").where("not base_failed")
+    good, bad = got.where("quality = 1"), got.where("quality = 0")
+    assert good.where("not kept").count() == 0 and good.count() > 100
+    assert bad.where("kept").count() <= 0.1 * bad.count()
+
+
 # 5
 
 
