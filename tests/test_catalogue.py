@@ -44,3 +44,11 @@ def test_entry(spark):
     out = __spark_entry__.entry(spark)
     assert out.columns == ["query_id", "slug", "system_prompt", "messages"]
     assert out.count() > 0
+
+
+def test_entry_asks_with_the_whole_text(spark):
+    import __spark_entry__
+
+    asked = catalogue.documents(spark, SF_DIR).where("doc_id % 20 = 0 and length(text) > 200").selectExpr("doc_id query_id", "text")
+    got = __spark_entry__.entry(spark).join(asked, "query_id")
+    assert got.where("element_at(messages, -1).content = text").count() == got.count() > 0
