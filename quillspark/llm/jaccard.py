@@ -4,21 +4,23 @@ Shingles have one global order: rare ones first, then by hash. How frequent a sh
 is comes from a sketch of fixed size over all documents. Two sets can be similar only
 if they share one of their first shingles (the prefix filter), so:
 
-1. Equal sets are one class, represented by its least document.
-2. Classes that share a prefix shingle are candidates. First each meets only the least
-   class of the shingle (its head), which takes as many comparisons as there are
-   classes, however large a group of near copies is.
-3. Candidates of one head form a trie: sorted by their ordered sets, each shares with
-   the one before it the nodes of their common beginning. The traversal keeps the
-   overlap with the head at each depth, goes on from the shared node, and prunes a
-   subtree as soon as what is left of the sets can't reach the threshold.
-4. Verified links give components. Classes that share enough of their prefixes to be
-   similar and are still in different components are then compared too, so that no
-   component stays apart.
+1. Equal sets are one class, represented by its least document. Shingles that the same
+   documents hold in their prefixes are one group.
+2. First each class meets only the least class of each of its groups (its head), which
+   takes as many comparisons as there are classes, however large a group of near copies
+   is. Verified links give components.
+3. Groups that still hold several components are joined by a trie each. Of each set the
+   prefix from the shared shingle on is stored in global order, every common beginning
+   once. All sets walk down the trie at once and share the overlap of each beginning; a
+   subtree is left as soon as all of it belongs to the set's component, or its sizes and
+   what remains of the sets can't reach the threshold. So a passage that many documents
+   share is read once, and what differs before it has used up what may differ.
+4. Pairs left are verified on whole sets, sorted below their head as another trie.
 
 Only prefixes are shuffled for all documents; whole sets only for candidates. Shingles
 that the sketch finds frequent are grouped by partial aggregation and joined back; the
-members of a hot head are dealt to as many tasks as they need, each with its own trie.
+members of a hot group or head are dealt to as many tasks as they need, in pairs of
+blocks, each with its own trie.
 """
 
 from __future__ import annotations
@@ -32,13 +34,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, meeting, written
+from .quality import ragged
+from .shared import components, forget, meeting, written
 from .words import Words, rolling, sliced, text_column
 
 SKETCH_BITS = 18
 _BLOCK = 4096
 #: Members of a head in one trie.
 TRIE_MEMBERS = 4096
+#: Sets that walk a trie at once.
+PROBES = 128
 
 
 def shingles(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -195,6 +200,141 @@ def _walked(percent: int):
     return over
 
 
+def _branches(width: int, percent: int, level):
+    """For each of a document's given tokens: the set's size, what stands before the token, and the prefix behind it."""
+
+    def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches):
+            docs, wanted, labels = part.column(0).to_numpy(), part.column(2), part.column(3).to_numpy()
+            for i, own in enumerate(shingles(part.column(1), width)):
+                first = ordered(own, level.value)[: prefix_size(len(own), percent)]
+                tokens = np.sort(wanted[i].values.to_numpy().view(np.uint64))
+                at = np.searchsorted(first, tokens)
+                big = first.astype(">u8")
+                for low in range(0, len(at), 256):
+                    some = at[low : low + 256]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(tokens[low : low + 256].view(np.int64)), pa.array(np.full(len(some), docs[i])), pa.array(np.full(len(some), labels[i])), pa.array(np.full(len(some), len(own), np.int64)), pa.array(some.astype(np.int64)), pa.array([big[k + 1 :].tobytes() for k in some.tolist()], pa.binary())],
+                        names=["token", "doc_id", "label", "n", "before", "path"],
+                    )
+
+    return over
+
+
+class Trie:
+    """Sorted paths of sets that share a token, each beginning stored once, with bounds of what lies below each node."""
+
+    def __init__(self, paths: list[np.ndarray], n: np.ndarray, rest: np.ndarray, label: np.ndarray):
+        """``rest``: how many tokens each set has behind the shared one."""
+        token, parent, depth, self.end = [np.zeros(1, np.uint64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], np.zeros(len(paths), np.int64)
+        before, nodes, count = np.zeros(0, np.uint64), np.zeros(1, np.int64), 1
+        for k, own in enumerate(paths):
+            limit = min(len(own), len(before))
+            differ = np.flatnonzero(own[:limit] != before[:limit])
+            shared = int(differ[0]) if len(differ) else limit
+            more = len(own) - shared
+            fresh = np.arange(count, count + more)
+            token.append(own[shared:])
+            parent.append(np.r_[nodes[shared], fresh[:-1]] if more else fresh)
+            depth.append(np.arange(shared + 1, len(own) + 1))
+            nodes, before, count = np.r_[nodes[: shared + 1], fresh], own, count + more
+            self.end[k] = nodes[-1]
+        self.token, self.parent, self.depth = map(np.concatenate, (token, parent, depth))
+        big = np.iinfo(np.int64).max
+        self.least, self.most, self.rest, self.low, self.high = np.full(count, big), np.zeros(count, np.int64), np.zeros(count, np.int64), np.full(count, big), np.full(count, -big)
+        for bound, value, by in ((self.least, n, np.minimum), (self.most, n, np.maximum), (self.rest, rest, np.maximum), (self.low, label, np.minimum), (self.high, label, np.maximum)):
+            by.at(bound, self.end, value)
+        order = np.argsort(self.depth, kind="stable")[::-1]
+        cuts = np.flatnonzero(np.diff(self.depth[order])) + 1
+        for some in np.split(order, cuts)[:-1]:
+            for bound, by in ((self.least, np.minimum), (self.most, np.maximum), (self.rest, np.maximum), (self.low, np.minimum), (self.high, np.maximum)):
+                by.at(bound, self.parent[some], bound[some])
+        self.rest -= self.depth
+        self.alphabet, self.code = np.unique(self.token, return_inverse=True)
+        self.children = np.argsort(self.parent[1:], kind="stable") + 1
+        self.starts = np.searchsorted(self.parent[self.children], np.arange(count + 1))
+        self.ends = np.argsort(self.end, kind="stable")
+        self.end_starts = np.searchsorted(self.end[self.ends], np.arange(count + 1))
+
+    @staticmethod
+    def _ranges(starts: np.ndarray, nodes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into nodes, value) of all values that belong to the nodes."""
+        sizes = starts[nodes + 1] - starts[nodes]
+        return np.repeat(np.arange(len(nodes)), sizes), values[ragged(starts[nodes], sizes)]
+
+    def near(self, paths: list[np.ndarray], n: np.ndarray, rest: np.ndarray, label: np.ndarray, percent: int) -> np.ndarray:
+        """Rows probe, path, overlap and tokens of the probe passed: sets of other labels that can still be similar at the end of a path."""
+        # Odd numbers are tokens of the trie, even ones lie between them; one sorted array for all probes.
+        wide = 2 * len(self.alphabet) + 2
+        flat = np.concatenate([*paths, np.zeros(0, np.uint64)])
+        place = np.searchsorted(self.alphabet, flat)
+        exact = self.alphabet[np.minimum(place, len(self.alphabet) - 1)] == flat
+        sizes = np.array([len(x) for x in paths], np.int64)
+        keys = np.repeat(np.arange(len(paths)), sizes) * wide + 2 * place + exact
+        starts = np.cumsum(sizes) - sizes
+        probe, node = np.arange(len(paths)), np.zeros(len(paths), np.int64)
+        overlap, passed = np.ones(len(paths), np.int64), np.zeros(len(paths), np.int64)
+        found: list[np.ndarray] = []
+        while len(node):
+            reach = overlap + np.minimum(rest[probe] - passed, self.rest[node])
+            good = reach * (100 + percent) >= percent * (n[probe] + self.least[node])
+            good &= (100 * self.most[node] >= percent * n[probe]) & (percent * self.least[node] <= 100 * n[probe])
+            good &= (self.low[node] != label[probe]) | (self.high[node] != label[probe])
+            probe, node, overlap, passed = probe[good], node[good], overlap[good], passed[good]
+            i, path = self._ranges(self.end_starts, node, self.ends)
+            found.append(np.stack([probe[i], path, overlap[i], passed[i]]))
+            i, below = self._ranges(self.starts, node, self.children)
+            probe, node, overlap = probe[i], below, overlap[i]
+            asked = probe * wide + 2 * self.code[node] + 1
+            at = np.searchsorted(keys, asked)
+            hit = (keys[np.minimum(at, len(keys) - 1)] == asked) & (at < len(keys)) if len(keys) else np.zeros(len(asked), bool)
+            overlap, passed = overlap + hit, at + hit - starts[probe]
+        return np.concatenate(found, 1)
+
+
+def _met(percent: int):
+    """Pairs of each block of a token's sets; rows come sorted by block, side and path."""
+
+    def pairs(own: list[tuple]) -> pa.RecordBatch | None:
+        doc, label, n, before = (np.array([r[k] for r in own], np.int64) for k in (1, 2, 3, 4))
+        paths = [np.frombuffer(r[5], ">u8").astype(np.uint64) for r in own]
+        rest, side = n - before - 1, np.array([r[0] for r in own])
+        alone = (side == 0).all()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if alone else 1))
+        if not len(left) or not len(right) or label.min() == label.max():
+            return None
+        trie = Trie([paths[k] for k in right], n[right], rest[right], label[right])
+        ends = np.array([len(x) for x in paths], np.int64)
+        u, v = [], []
+        for at in range(0, len(left), PROBES):
+            some = left[at : at + PROBES]
+            probe, path, overlap, passed = trie.near([paths[k] for k in some], n[some], rest[some], label[some], percent)
+            x, y = some[probe], right[path]
+            reach = overlap + np.minimum(rest[x] - passed, rest[y] - ends[y])
+            good = (reach * (100 + percent) >= percent * (n[x] + n[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (label[x] != label[y])
+            good &= ~alone | (label[x] < label[y])
+            u.append(doc[x[good]])
+            v.append(doc[y[good]])
+        u, v = np.concatenate(u), np.concatenate(v)
+        both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["head", "doc_id"])
+
+    def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for *block, side, doc, label, n, before, path in zip(*columns, strict=True):
+                if block != key:
+                    if own and (out := pairs(own)) is not None:
+                        yield out
+                    key, own = block, []
+                own.append((side, doc, label, n, before, path))
+        if own and (out := pairs(own)) is not None:
+            yield out
+
+    return over
+
+
 def promising(n: str, m: str, shared: str, percent: int):
     """Whether sets of ``n`` and ``m`` shingles can be similar if their prefixes share ``shared``.
 
@@ -209,7 +349,7 @@ def promising(n: str, m: str, shared: str, percent: int):
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, level) -> DataFrame:
-    """Of (head, doc_id), the links, as (u, v)."""
+    """Of (head, doc_id), the links, as a written table (u, v)."""
     pairs = written(pairs.select("head", "doc_id"), "set-pairs")
     wanted = written(pairs.select("doc_id").union(pairs.select("head")).distinct(), "candidates")
     sets = meeting(docs, wanted, "doc_id", how="left_semi").mapInArrow(_sets(width, level), "doc_id long, set binary").dropDuplicates(["doc_id"])
@@ -218,7 +358,27 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, level
     members = pairs.join(salts, "head").select("head", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), "doc_id").join(sets, "doc_id").select("head", "salt", "doc_id", "set")
     roots = salts.join(sets, salts["head"] == sets["doc_id"]).select("head", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("doc_id"), "set")
     order = ["head", "salt", F.col("doc_id").isNotNull(), "set"]
-    return members.union(roots).repartition("head", "salt").sortWithinPartitions(*order).mapInArrow(_walked(percent), "u long, v long")
+    links = written(members.union(roots).repartition("head", "salt").sortWithinPartitions(*order).mapInArrow(_walked(percent), "u long, v long"), "links")
+    forget(pairs, wanted, sets)
+    return links
+
+
+def _token_groups(tokens: DataFrame) -> DataFrame:
+    """(token, doc_id, head, times): documents by the prefix tokens that two of them share, head being the least.
+
+    Tokens held by the same documents say the same: the least of them stands for all ``times`` of them. Such
+    sets of documents are told apart by the least and the greatest of them and 112 bits of hashes.
+    """
+    rare = tokens.where(F.shiftright("token", 60) == 0)
+    hot = tokens.where(F.shiftright("token", 60) > 0)
+    # Sums besides the exclusive or, in which rows that repeat an id would vanish.
+    part = lambda *more: F.sum(F.shiftrightunsigned(F.xxhash64("doc_id", *more), 40))
+    what = {"head": F.min("doc_id"), "last": F.max("doc_id"), "one": F.bit_xor(F.xxhash64("doc_id")), "two": part(), "three": part(F.lit(1))}
+    group = Window.partitionBy("token")
+    rare = rare.select("token", "doc_id", *(x.over(group).alias(k) for k, x in what.items())).where("head <> last")
+    of_hot = hot.groupBy("token").agg(*(x.alias(k) for k, x in what.items())).where("head <> last")
+    rows = rare.union(hot.join(of_hot, "token").select(rare.columns))
+    return rows.groupBy("one", "two", "three", "head", "last", "doc_id").agg(F.min("token").alias("token"), F.count("*").alias("times")).select("token", "doc_id", "head", "times")
 
 
 def jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,9 +386,12 @@ def jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 75, id_col:
 
     A-Z are lower-cased. A text of fewer than ``width`` words is one shingle; null texts
     and texts without words have none and link with nothing. Documents link if their
-    intersection is at least ``percent`` of their union; a component is named by its least
-    document. Rows that repeat an id and text give repeated rows. An empty table gives an
-    empty result.
+    intersection is at least ``percent`` of their union (a tie links); a component is named
+    by its least document. Rows without an id are counted and link with nothing, so that
+    their component is null. Rows that repeat an id and text give repeated rows. A text of
+    any length is read whole. Other columns, whatever their names, are not read. An empty
+    table gives an empty result. Shingles are told apart by 60 bits of a hash, whole sets
+    by 128.
     """
     spark = docs.sparkSession
     read = text_column(docs, id_col, text_col)
@@ -237,38 +400,39 @@ def jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 75, id_col:
     for row in survey.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(_added, "block int, counts binary").collect():
         sketch[row.block * _BLOCK : (row.block + 1) * _BLOCK] = np.frombuffer(row.counts, np.int64)
     level = spark.sparkContext.broadcast(levels(sketch))
-    known = survey.where("doc_id is not null").select("doc_id", "n", "set_hash", "set_hash2")
+    known = survey.where("block is null").select("doc_id", "n", "set_hash", "set_hash2")
     # Equal sets: the least document stands for all.
-    classes = known.where("n > 0").groupBy("set_hash", "set_hash2").agg(F.min("doc_id").alias("rep"))
-    member_of = written(known.join(classes, ["set_hash", "set_hash2"], "left").select("doc_id", "n", "rep"), "classes")
-    others = member_of.where("rep is null or rep <> doc_id").select("doc_id").distinct()
-    reps = meeting(read, others, "doc_id", how="left_anti")
-    sizes = member_of.where("rep = doc_id").select("doc_id", "n").dropDuplicates(["doc_id"])
+    named = known.where("n > 0 and doc_id is not null")
+    classes = written(named.groupBy("set_hash", "set_hash2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times")).where("times > 1").drop("times"), "classes")
+    copies = written(named.join(classes, ["set_hash", "set_hash2"]).where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
+    sizes = meeting(named.select("doc_id", "n"), copies, "doc_id", how="left_anti").dropDuplicates(["doc_id"])
+    reps = meeting(read.where("doc_id is not null"), copies, "doc_id", how="left_anti")
 
     tokens = written(reps.mapInArrow(_prefixes(width, percent, level), "token long, doc_id long"), "prefixes")
-    rare = tokens.where(F.shiftright("token", 60) == 0)
-    hot = tokens.where(F.shiftright("token", 60) > 0)
-    group = Window.partitionBy("token")
-    rare = rare.select("token", "doc_id", F.min("doc_id").over(group).alias("head"), F.max("doc_id").over(group).alias("last")).where("head <> last")
-    heads = hot.groupBy("token").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head <> last")
-    both = written(rare.select("token", "doc_id", "head").union(hot.join(heads, "token").select("token", "doc_id", "head")), "shared-shingles")
-
-    # Each with its heads: pairs that share enough of what has that head. What this misses is left to the next step.
-    first = both.where("doc_id <> head").groupBy("head", "doc_id").agg(F.count("*").alias("shared")).join(sizes, "doc_id")
+    groups = written(_token_groups(tokens), "token-groups")
+    # Each with the head of its groups, if it shares enough with it. What this misses is left to the next step.
+    first = groups.where("doc_id <> head").groupBy("head", "doc_id").agg(F.sum("times").alias("shared")).join(sizes, "doc_id")
     first = first.join(sizes.select(F.col("doc_id").alias("head"), F.col("n").alias("m")), "head").where(promising("n", "m", "shared", percent))
-    links = written(_verified(first, reps, width, percent, level), "links")
+    forget(tokens)
+    links = _verified(first, reps, width, percent, level)
     label = written(components(links), "labels")
 
-    # All pairs that share enough of their prefixes, but no component yet.
-    named = both.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("label")).join(sizes, "doc_id")
-    apart = named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
-    named = written(named.join(apart, "token", "left_semi"), "apart")
-    other = named.select("token", F.col("doc_id").alias("head"), F.col("label").alias("head_label"), F.col("n").alias("m"))
-    fit = (F.col("doc_id") > F.col("head")) & (F.col("label") != F.col("head_label")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-    second = named.join(other, (named["token"] == other["token"]) & fit).groupBy("head", "doc_id", "n", "m").agg(F.count("*").alias("shared"))
-    more = _verified(second.where(promising("n", "m", "shared", percent)), reps, width, percent, level)
+    # Groups that still hold several components: a trie for each.
+    named = groups.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+    named = written(named, "labelled-groups")
+    apart = written(named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.ceil(F.count("*") / F.lit(TRIE_MEMBERS)).cast("int").alias("blocks")).where("a <> b").select("token", "blocks"), "apart")
+    of_doc = written(named.join(apart, "token").groupBy("doc_id", "label").agg(F.collect_set("token").alias("tokens")), "apart-documents")
+    branches = meeting(reps.dropDuplicates(["doc_id"]), of_doc, "doc_id").select("doc_id", "text", "tokens", "label")
+    branches = branches.mapInArrow(_branches(width, percent, level), "token long, doc_id long, label long, n long, before long, path binary").join(apart, "token")
+    branches = branches.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    # Block i meets each block j >= i once: as side 0 where it is the lower, as side 1 where it is the higher.
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("low"), F.greatest("own", j).alias("high"), (F.col("own") > j).cast("int").alias("side")))
+    dealt = branches.select("token", "doc_id", "label", "n", "before", "path", F.explode(meets).alias("m")).select("token", "m.low", "m.high", "m.side", "doc_id", "label", "n", "before", "path")
+    met = dealt.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "side", "path").mapInArrow(_met(percent), "head long, doc_id long").distinct()
+    more = _verified(met, reps, width, percent, level)
+    forget(groups, label, named, apart, of_doc)
     label = written(components(links.union(more)), "labels")
-    return (
-        member_of.join(label, member_of["rep"] == label["node"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    )
+    of_rep = copies.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    of_all = written(label.select(F.col("node").alias("doc_id"), "component").union(of_rep), "components")
+    forget(links, more, label)
+    return known.join(of_all, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
