@@ -10,11 +10,11 @@ if they share one of their first shingles (the prefix filter), so:
    takes as many comparisons as there are classes, however large a group of near copies
    is. Verified links give components.
 3. Groups that still hold several components are joined by a trie each. Of each set the
-   prefix from the shared shingle on is stored in global order, every common beginning
-   once. All sets walk down the trie at once and share the overlap of each beginning; a
-   subtree is left as soon as all of it belongs to the set's component, or its sizes and
-   what remains of the sets can't reach the threshold. So a passage that many documents
-   share is read once, and what differs before it has used up what may differ.
+   groups from the shared one on are stored in global order, every common beginning once
+   (shingles that no other set has in its prefix can't match, and need no node). Sets walk
+   down the trie together and share the overlap of each beginning; a subtree is left as
+   soon as all of it belongs to the set's component, or its sizes and what remains of the
+   prefixes can't reach the threshold.
 4. Pairs left are verified on whole sets, sorted below their head as another trie.
 
 Only prefixes are shuffled for all documents; whole sets only for candidates. Shingles
@@ -200,141 +200,139 @@ def _walked(percent: int):
     return over
 
 
-def _branches(width: int, percent: int, level):
-    """For each of a document's given tokens: the set's size, what stands before the token, and the prefix behind it."""
-
-    def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batches):
-            docs, wanted, labels = part.column(0).to_numpy(), part.column(2), part.column(3).to_numpy()
-            for i, own in enumerate(shingles(part.column(1), width)):
-                first = ordered(own, level.value)[: prefix_size(len(own), percent)]
-                tokens = np.sort(wanted[i].values.to_numpy().view(np.uint64))
-                at = np.searchsorted(first, tokens)
-                big = first.astype(">u8")
-                for low in range(0, len(at), 256):
-                    some = at[low : low + 256]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(tokens[low : low + 256].view(np.int64)), pa.array(np.full(len(some), docs[i])), pa.array(np.full(len(some), labels[i])), pa.array(np.full(len(some), len(own), np.int64)), pa.array(some.astype(np.int64)), pa.array([big[k + 1 :].tobytes() for k in some.tolist()], pa.binary())],
-                        names=["token", "doc_id", "label", "n", "before", "path"],
-                    )
-
-    return over
+def enough(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """How much two prefixes must share, see ``promising``."""
+    return np.maximum(1, -(-percent * (n + m) // (100 + percent)) + 1 + -percent * np.maximum(n, m) // 100)
 
 
 class Trie:
-    """Sorted paths of sets that share a token, each beginning stored once, with bounds of what lies below each node."""
+    """Sorted paths of sets that share a group, each beginning stored once, with bounds of what lies below each node.
 
-    def __init__(self, paths: list[np.ndarray], n: np.ndarray, rest: np.ndarray, label: np.ndarray):
-        """``rest``: how many tokens each set has behind the shared one."""
-        token, parent, depth, self.end = [np.zeros(1, np.uint64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], np.zeros(len(paths), np.int64)
-        before, nodes, count = np.zeros(0, np.uint64), np.zeros(1, np.int64), 1
-        for k, own in enumerate(paths):
+    A path has the groups of a set's prefix in global order; a group weighs as many shingles as it stands for.
+    """
+
+    def __init__(self, paths: list[np.ndarray], weights: list[np.ndarray], n: np.ndarray, label: np.ndarray):
+        token, weight, parent, depth, self.end = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], np.zeros(len(paths), np.int64)
+        before, nodes, count = np.zeros(0, np.int64), np.zeros(1, np.int64), 1
+        for k, (own, weigh) in enumerate(zip(paths, weights, strict=True)):
             limit = min(len(own), len(before))
             differ = np.flatnonzero(own[:limit] != before[:limit])
             shared = int(differ[0]) if len(differ) else limit
-            more = len(own) - shared
-            fresh = np.arange(count, count + more)
+            fresh = np.arange(count, count + len(own) - shared)
+            nodes = np.r_[nodes[: shared + 1], fresh]
             token.append(own[shared:])
-            parent.append(np.r_[nodes[shared], fresh[:-1]] if more else fresh)
+            weight.append(weigh[shared:])
+            parent.append(nodes[shared:-1])
             depth.append(np.arange(shared + 1, len(own) + 1))
-            nodes, before, count = np.r_[nodes[: shared + 1], fresh], own, count + more
+            before, count = own, count + len(fresh)
             self.end[k] = nodes[-1]
-        self.token, self.parent, self.depth = map(np.concatenate, (token, parent, depth))
+        token, self.weight, parent, depth = map(np.concatenate, (token, weight, parent, depth))
         big = np.iinfo(np.int64).max
+        total = np.array([w.sum() for w in weights], np.int64)
         self.least, self.most, self.rest, self.low, self.high = np.full(count, big), np.zeros(count, np.int64), np.zeros(count, np.int64), np.full(count, big), np.full(count, -big)
-        for bound, value, by in ((self.least, n, np.minimum), (self.most, n, np.maximum), (self.rest, rest, np.maximum), (self.low, label, np.minimum), (self.high, label, np.maximum)):
+        bounds = ((self.least, n, np.minimum), (self.most, n, np.maximum), (self.rest, total, np.maximum), (self.low, label, np.minimum), (self.high, label, np.maximum))
+        for bound, value, by in bounds:
             by.at(bound, self.end, value)
-        order = np.argsort(self.depth, kind="stable")[::-1]
-        cuts = np.flatnonzero(np.diff(self.depth[order])) + 1
-        for some in np.split(order, cuts)[:-1]:
-            for bound, by in ((self.least, np.minimum), (self.most, np.maximum), (self.rest, np.maximum), (self.low, np.minimum), (self.high, np.maximum)):
-                by.at(bound, self.parent[some], bound[some])
-        self.rest -= self.depth
-        self.alphabet, self.code = np.unique(self.token, return_inverse=True)
-        self.children = np.argsort(self.parent[1:], kind="stable") + 1
-        self.starts = np.searchsorted(self.parent[self.children], np.arange(count + 1))
+        order = np.argsort(depth, kind="stable")
+        levels_ = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)
+        for some in levels_[:0:-1]:
+            for bound, _, by in bounds:
+                by.at(bound, parent[some], bound[some])
+        read = np.zeros(count, np.int64)
+        for some in levels_[1:]:
+            read[some] = read[parent[some]] + self.weight[some]
+        #: What a set below can still add behind the node.
+        self.rest -= read
+        self.alphabet, self.code = np.unique(token, return_inverse=True)
+        self.children = np.argsort(parent[1:], kind="stable") + 1
+        self.starts = np.searchsorted(parent[self.children], np.arange(count + 1))
         self.ends = np.argsort(self.end, kind="stable")
         self.end_starts = np.searchsorted(self.end[self.ends], np.arange(count + 1))
 
     @staticmethod
-    def _ranges(starts: np.ndarray, nodes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _below(starts: np.ndarray, nodes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into nodes, value) of all values that belong to the nodes."""
         sizes = starts[nodes + 1] - starts[nodes]
         return np.repeat(np.arange(len(nodes)), sizes), values[ragged(starts[nodes], sizes)]
 
-    def near(self, paths: list[np.ndarray], n: np.ndarray, rest: np.ndarray, label: np.ndarray, percent: int) -> np.ndarray:
-        """Rows probe, path, overlap and tokens of the probe passed: sets of other labels that can still be similar at the end of a path."""
-        # Odd numbers are tokens of the trie, even ones lie between them; one sorted array for all probes.
+    def near(self, paths: list[np.ndarray], weights: list[np.ndarray], start: int, n: np.ndarray, label: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(probe, path, shared): sets of other labels that share a path's end with a probe within all bounds. ``start`` is shared by all."""
+        # Odd numbers are groups of the trie, even ones lie between them; one sorted array for all probes.
         wide = 2 * len(self.alphabet) + 2
-        flat = np.concatenate([*paths, np.zeros(0, np.uint64)])
+        flat, sizes = np.concatenate(paths), np.array([len(x) for x in paths], np.int64)
         place = np.searchsorted(self.alphabet, flat)
         exact = self.alphabet[np.minimum(place, len(self.alphabet) - 1)] == flat
-        sizes = np.array([len(x) for x in paths], np.int64)
-        keys = np.repeat(np.arange(len(paths)), sizes) * wide + 2 * place + exact
-        starts = np.cumsum(sizes) - sizes
+        keys = np.r_[np.repeat(np.arange(len(paths)), sizes) * wide + 2 * place + exact, len(paths) * wide]
+        read = np.r_[0, np.cumsum(np.concatenate(weights))]
+        whole = read[np.cumsum(sizes)]
         probe, node = np.arange(len(paths)), np.zeros(len(paths), np.int64)
-        overlap, passed = np.ones(len(paths), np.int64), np.zeros(len(paths), np.int64)
-        found: list[np.ndarray] = []
+        overlap, left = np.full(len(paths), start), whole - read[np.cumsum(sizes) - sizes]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(node):
-            reach = overlap + np.minimum(rest[probe] - passed, self.rest[node])
-            good = reach * (100 + percent) >= percent * (n[probe] + self.least[node])
-            good &= (100 * self.most[node] >= percent * n[probe]) & (percent * self.least[node] <= 100 * n[probe])
+            size, low, high = n[probe], self.least[node], self.most[node]
+            # The least that a size in low .. high asks for is asked at its ends; one less for rounding.
+            smaller = np.clip(np.maximum(low, percent * size // 100), None, size)
+            larger = np.clip(np.minimum(high, 100 * size // percent + 1), size, None)
+            asked = np.minimum(np.where(low <= size, enough(size, smaller, percent), 1 << 40), np.where(high >= size, enough(size, larger, percent), 1 << 40)) - 1
+            good = (overlap + np.minimum(left, self.rest[node]) >= asked) & (100 * high >= percent * size) & (percent * low <= 100 * size)
             good &= (self.low[node] != label[probe]) | (self.high[node] != label[probe])
-            probe, node, overlap, passed = probe[good], node[good], overlap[good], passed[good]
-            i, path = self._ranges(self.end_starts, node, self.ends)
-            found.append(np.stack([probe[i], path, overlap[i], passed[i]]))
-            i, below = self._ranges(self.starts, node, self.children)
-            probe, node, overlap = probe[i], below, overlap[i]
-            asked = probe * wide + 2 * self.code[node] + 1
-            at = np.searchsorted(keys, asked)
-            hit = (keys[np.minimum(at, len(keys) - 1)] == asked) & (at < len(keys)) if len(keys) else np.zeros(len(asked), bool)
-            overlap, passed = overlap + hit, at + hit - starts[probe]
-        return np.concatenate(found, 1)
+            probe, node, overlap = probe[good], node[good], overlap[good]
+            i, path = self._below(self.end_starts, node, self.ends)
+            found.append((probe[i], path, overlap[i]))
+            i, node = self._below(self.starts, node, self.children)
+            probe, overlap = probe[i], overlap[i]
+            wanted = probe * wide + 2 * self.code[node] + 1
+            at = np.searchsorted(keys, wanted)
+            hit = keys[at] == wanted
+            overlap, left = overlap + hit * self.weight[node], whole[probe] - read[at + hit]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _met(percent: int):
-    """Pairs of each block of a token's sets; rows come sorted by block, side and path."""
+    """Pairs of each block of a group's sets; rows come sorted by block, side and path."""
 
     def pairs(own: list[tuple]) -> pa.RecordBatch | None:
-        doc, label, n, before = (np.array([r[k] for r in own], np.int64) for k in (1, 2, 3, 4))
-        paths = [np.frombuffer(r[5], ">u8").astype(np.uint64) for r in own]
-        rest, side = n - before - 1, np.array([r[0] for r in own])
+        side, doc, label, n = (np.array([r[k] for r in own], np.int64) for k in range(4))
+        paths, weights = [np.array(r[5], np.int64) for r in own], [np.array(r[6], np.int64) for r in own]
         alone = (side == 0).all()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if alone else 1))
         if not len(left) or not len(right) or label.min() == label.max():
             return None
-        trie = Trie([paths[k] for k in right], n[right], rest[right], label[right])
-        ends = np.array([len(x) for x in paths], np.int64)
-        u, v = [], []
+        trie = Trie([paths[k] for k in right], [weights[k] for k in right], n[right], label[right])
+        found = []
         for at in range(0, len(left), PROBES):
             some = left[at : at + PROBES]
-            probe, path, overlap, passed = trie.near([paths[k] for k in some], n[some], rest[some], label[some], percent)
+            probe, path, shared = trie.near([paths[k] for k in some], [weights[k] for k in some], own[0][4], n[some], label[some], percent)
             x, y = some[probe], right[path]
-            reach = overlap + np.minimum(rest[x] - passed, rest[y] - ends[y])
-            good = (reach * (100 + percent) >= percent * (n[x] + n[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (label[x] != label[y])
+            good = (shared >= enough(n[x], n[y], percent)) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (label[x] != label[y])
             good &= ~alone | (label[x] < label[y])
-            u.append(doc[x[good]])
-            v.append(doc[y[good]])
-        u, v = np.concatenate(u), np.concatenate(v)
-        both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+            found.append(np.stack([doc[x[good]], doc[y[good]]]))
+        both = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["head", "doc_id"])
 
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = None, []
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
-            for *block, side, doc, label, n, before, path in zip(*columns, strict=True):
-                if block != key:
+            for row in zip(*columns, strict=True):
+                if row[:3] != key:
                     if own and (out := pairs(own)) is not None:
                         yield out
-                    key, own = block, []
-                own.append((side, doc, label, n, before, path))
+                    key, own = row[:3], []
+                own.append(row[3:])
         if own and (out := pairs(own)) is not None:
             yield out
 
     return over
 
 
+def lacking(n, m, percent: int):
+    n, m = (F.col(x) if isinstance(x, str) else x for x in (n, m))
+    need = F.ceil((n + m) * percent / F.lit(100 + percent))
+    rest = F.ceil(F.greatest(n, m) * percent / F.lit(100)) - 1
+    return F.greatest(F.lit(1), need - rest)
+
+
 def promising(n: str, m: str, shared: str, percent: int):
     """Whether sets of ``n`` and ``m`` shingles can be similar if their prefixes share ``shared``.
 
@@ -343,9 +341,7 @@ def promising(n: str, m: str, shared: str, percent: int):
     up to there has been counted, and behind its prefix it has ``ceil(percent n / 100) - 1``
     more. The larger set has the larger rest, so its rest bounds both cases.
     """
-    need = F.ceil((F.col(n) + F.col(m)) * percent / F.lit(100 + percent))
-    rest = F.ceil(F.greatest(n, m) * percent / F.lit(100)) - 1
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.col(shared) >= F.greatest(F.lit(1), need - rest))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.col(shared) >= lacking(n, m, percent))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, level) -> DataFrame:
@@ -418,19 +414,27 @@ def jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 75, id_col:
     label = written(components(links), "labels")
 
     # Groups that still hold several components: a trie for each.
-    named = groups.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+    named = groups.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(sizes, "doc_id").select("token", "times", "doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
     named = written(named, "labelled-groups")
-    apart = written(named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.ceil(F.count("*") / F.lit(TRIE_MEMBERS)).cast("int").alias("blocks")).where("a <> b").select("token", "blocks"), "apart")
-    of_doc = written(named.join(apart, "token").groupBy("doc_id", "label").agg(F.collect_set("token").alias("tokens")), "apart-documents")
-    branches = meeting(reps.dropDuplicates(["doc_id"]), of_doc, "doc_id").select("doc_id", "text", "tokens", "label")
-    branches = branches.mapInArrow(_branches(width, percent, level), "token long, doc_id long, label long, n long, before long, path binary").join(apart, "token")
-    branches = branches.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    apart = named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("sets")).where("a <> b").drop("a", "b")
+    apart = written(apart, "apart")
+    of_doc = named.join(apart.select("token"), "token").groupBy("doc_id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("token", F.col("times").cast("long").alias("times")))).alias("own"))
+    # From each group on, what the set still holds. Sets that can't share enough with a set of any size there is are left.
+    paths = of_doc.select("doc_id", "label", "n", F.posexplode("own").alias("k", "g"), "own").select("doc_id", "label", "n", "g.*", F.slice("own", F.col("k") + 2, F.greatest(F.lit(0), F.size("own") - F.col("k") - 1)).alias("path"))
+    paths = paths.select("token", "doc_id", "label", "n", "times", F.transform("path", lambda g: g["token"]).alias("path"), F.transform("path", lambda g: g["times"]).alias("weights"))
+    total = F.col("times") + F.aggregate("weights", F.lit(0).cast("long"), lambda a, b: a + b)
+    smaller, larger = F.least("n", F.greatest("least", F.floor(F.col("n") * percent / 100))), F.greatest("n", F.least("most", F.floor(F.col("n") * 100 / percent) + 1))
+    never = F.lit(1 << 40)
+    asked = F.least(F.when(F.col("least") <= F.col("n"), lacking("n", smaller, percent)).otherwise(never), F.when(F.col("most") >= F.col("n"), lacking("n", larger, percent)).otherwise(never)) - 1
+    branches = paths.join(apart, "token").where(total >= asked)
+    branches = branches.withColumn("blocks", F.ceil(F.col("sets") / TRIE_MEMBERS).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # Block i meets each block j >= i once: as side 0 where it is the lower, as side 1 where it is the higher.
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("low"), F.greatest("own", j).alias("high"), (F.col("own") > j).cast("int").alias("side")))
-    dealt = branches.select("token", "doc_id", "label", "n", "before", "path", F.explode(meets).alias("m")).select("token", "m.low", "m.high", "m.side", "doc_id", "label", "n", "before", "path")
+    rows = ["doc_id", "label", "n", "times", "path", "weights"]
+    dealt = branches.select("token", *rows, F.explode(meets).alias("m")).select("token", "m.low", "m.high", "m.side", *rows)
     met = dealt.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "side", "path").mapInArrow(_met(percent), "head long, doc_id long").distinct()
     more = _verified(met, reps, width, percent, level)
-    forget(groups, label, named, apart, of_doc)
+    forget(groups, label, named, apart)
     label = written(components(links.union(more)), "labels")
     of_rep = copies.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     of_all = written(label.select(F.col("node").alias("doc_id"), "component").union(of_rep), "components")

@@ -1,215 +1,213 @@
-"""Line dedup by edit joins, in DataFrame functions only.
-
-A line is dropped if a line before it (by document, then place) is within the edits
-allowed. With a number as ``threshold`` these are as many for every line; with
-``threshold=None`` they grow with the shorter line's length (``allowed``): 1 below 40
-characters, 2 below 120, then one for every 40 characters, without an upper end. Lines
-of fewer than ``min_chars`` characters aren't compared by edits; with ``short`` they are
-dropped if an equal line was before them, unless they are blank.
-
-Equal lines are found by hash alone. The first of each gets keys, such that two lines
-within the edits allowed always share one:
-
-* Up to 80 characters, or with a number as threshold: a line is split into one segment
-  more than the edits. Any near line still holds one of them whole, at a place that
-  differs by no more than the edits. So each line probes an index of (length, segment
-  number, segment) with the substrings of its own that could be one of a line no longer
-  than itself, and of a longer one.
-* From 80 characters on: an edit touches two neighbouring tokens at most, so four of the
-  runs of three tokens. Of ``t`` edits the ``4 t + 1`` first runs, in any one order, of
-  both lines must share one. They are ordered by how often a sample holds them, rarest
-  first; the order decides the work and not the result.
-* Longer lines with no more runs than that (few tokens, or always the same): disjoint
-  segments of 20 characters are indexed, and all substrings of 20 probe.
-
-Candidates are first compared with the first line of an index entry alone; what that
-leaves undecided meets all lines of the entry, so a group of near copies of any size
-costs about one comparison for each line. Texts are read again for candidates only, and
-verified by a banded edit distance.
+"""Line dedup by a segment-partition edit join, in DataFrame functions only.
+
+A line goes if a line before it (by document, then place) equals it, or is within the
+edits allowed. Edits count whole symbols: the words of a line that has at least
+``WORDS`` of them, otherwise its characters, as also in scripts that use no spaces. How
+many are allowed grows with the shorter line (``STEPS``): in words one from 8 on, two from
+24, three from 48; in characters from 20, 40 and 80.
+
+Equal lines are found by hash alone. The first of each is joined as follows:
+
+* A line with ``t`` edits allowed is indexed by its ``t + 1`` segments, under its length
+  and the segment's number. Any line within ``t`` edits and no shorter holds one of the
+  segments whole, and how far it can have moved follows from the segment's number and
+  both lengths. So each line probes the index with those substrings of its own, for each
+  length from its own down to as many symbols fewer as edits are allowed.
+* Each probe first meets the first line of an index entry alone (its head), which decides
+  most of a group of near copies by one comparison for each line.
+* What is still undecided meets the other lines of its entries, as far as their symbols'
+  parities allow: an edit changes at most two bits of 128. So of a hot entry only pairs
+  leave the join that are near or almost.
+
+Texts are read again for candidates only, and verified by a banded bit-parallel edit
+distance: for each number of edits, one bit for each diagonal of the band says whether
+it is reached, and all diagonals advance by one symbol at once.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import meeting, written
+from .shared import forget, meeting, written
 from .words import text_column
 
+#: Lines of at least so many words are compared by words, others by characters.
+WORDS = 8
+#: From how many symbols on one, two and three edits are allowed: words, characters.
+STEPS = ((8, 24, 48), (20, 40, 80))
+MOST = len(STEPS[0])
+SPACES = r"[\x20\x09-\x0D]"
 
-#: Characters for each edit allowed in long lines; from LONG characters on lines are joined by runs of tokens.
-SHARE, LONG = 40, 80
-#: A token ends with a character that is no letter, mark or digit, or that belongs to a script without spaces.
-TOKEN_END = r"(?<=[^\p{L}\p{M}\p{N}]|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
-RUN, SEGMENT = 3, 20
-#: Cells of the sketch of frequencies, and the share of documents that it samples.
-CELLS, SAMPLED = 1 << 16, 16
 
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, no, line) of the lines that aren't blank."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
+    return lines.where(F.length(F.translate("line", " \t\x0b\x0c\r", "")) > 0)
 
-def allowed(n: Column) -> Column:
-    """The edits allowed for a line of ``n`` characters."""
-    return F.greatest(F.when(n < 40, 1).otherwise(2), F.floor(n / SHARE)).cast("int")
 
+def _symbols(lines: DataFrame) -> DataFrame:
+    """With ``symbols``, ``by_word`` and their number ``n``."""
+    words = F.split("line", " ", -1)
+    lines = lines.withColumn("words", words)
+    # Three bytes a character on average: a script that uses no or few spaces.
+    by_word = (F.size("words") >= WORDS) & (F.octet_length("line") <= 2 * F.length("line"))
+    lines = lines.withColumn("by_word", by_word)
+    symbols = F.when(F.col("by_word"), F.col("words")).otherwise(F.filter(F.split("line", ""), lambda c: c != ""))
+    return lines.withColumn("symbols", symbols).drop("words").withColumn("n", F.size("symbols"))
 
-def _split(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
-    """(doc_id, no, line, n) of the lines of ``n`` characters, long enough to be compared; with ``short`` also of the shorter ones that aren't blank."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-    return lines.select("doc_id", "no", "line", F.length("line").alias("n")).where((F.col("n") >= min_chars) | (F.lit(short) & F.col("line").rlike(r"[^\x20\x09-\x0D]")))
+
+def allowed(n: Column, by_word: Column) -> Column:
+    """The edits allowed for a line of ``n`` symbols."""
+    steps = [F.when(by_word, w).otherwise(c) for w, c in zip(*STEPS, strict=True)]
+    return reduce(lambda a, b: a + b, ((n >= s).cast("int") for s in steps))
+
+
+def probes(t: int) -> list[tuple[int, int, int, int]]:
+    """(t, more, segment, shift): where a line of ``more`` more symbols can hold a segment of one with ``t`` edits allowed.
+
+    Seen from the left, segment ``k`` (from 0) has at most ``k`` edits before it if it is the
+    first whole one; seen from the right, at most ``t - k`` behind it.
+    """
+    return [(t, more, k, shift) for more in range(t + 1) for k in range(t + 1) for shift in range(max(-k, more - (t - k)), min(k, more + (t - k)) + 1)]
 
 
-def _starts(length: Column, parts: int) -> list[Column]:
-    """Where each segment of a line of ``length`` starts (from 0), and last its end: the later segments are longer."""
-    size, extra = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    return [F.lit(k) * size + F.greatest(F.lit(0), F.lit(k) - (F.lit(parts) - extra)) for k in range(parts)] + [length]
+def _places(n: Column, t: Column, k: Column) -> tuple[Column, Column]:
+    """(start from 0, length) of segment ``k`` of ``t + 1`` of a line of ``n`` symbols; the later ones are longer."""
+    size = F.floor(n / (t + 1)).cast("int")
+    short = t + 1 - n % (t + 1)
+    return k * size + F.greatest(F.lit(0), k - short), size + (k >= short).cast("int")
 
 
-def _key(length: Column, k: int, segment: Column) -> Column:
-    return F.xxhash64(length, F.lit(k), segment)
+def _keyed(lines: DataFrame) -> DataFrame:
+    """With the keys that each line is indexed by (``own``), and those that it probes."""
+    n, by_word, symbols = F.col("n"), F.col("by_word"), F.col("symbols")
+    key = lambda size, k, start, length: F.xxhash64(by_word, size, k, F.slice(symbols, start + 1, length))
 
+    def index(k: Column) -> Column:
+        start, length = _places(n, F.col("t"), k)
+        return key(n, k, start, length)
 
-def _index_keys(line: Column, length: Column, parts: int) -> Column:
-    at = _starts(length, parts)
-    return F.array(*(_key(length, k, F.substring(line, at[k] + 1, at[k + 1] - at[k])) for k in range(parts)))
+    def probe(s: Column) -> Column:
+        other = n - s["more"]
+        start, length = _places(other, s["t"], s["k"])
+        place = start + s["shift"]
+        return F.when((place >= 0) & (place + length <= n), key(other, s["k"], place, length))
 
+    specs = lambda rows: F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(r, ("t", "more", "k", "shift"), strict=True))) for r in rows))
+    every = [r for t in range(1, MOST + 1) for r in probes(t)]
+    # Most lines are as far from a step as edits can reach; the others look at each length on its own.
+    even = F.col("t") == allowed(n - MOST, by_word)
+    fitting = reduce(lambda c, t: c.when(even & (F.col("t") == t), specs(probes(t))), range(2, MOST + 1), F.when(even & (F.col("t") == 1), specs(probes(1))))
+    fitting = fitting.otherwise(F.filter(specs(every), lambda s: allowed(n - s["more"], by_word) == s["t"]))
+    lines = lines.withColumn("t", allowed(n, by_word)).where("t > 0").withColumn("specs", fitting)
+    return lines.select("doc_id", "no", F.transform(F.sequence(F.lit(0), F.col("t")), index).alias("own"), F.array_distinct(F.filter(F.transform("specs", probe), lambda h: h.isNotNull())).alias("probes"))
 
-def _probe_keys(line: Column, length: Column, parts: int) -> Column:
-    """Keys under which lines within the threshold are indexed; null for a place outside the line.
 
-    The length comes as a column of its own and nothing here is a lambda, so that the
-    keys are compiled code that reads the line once for each substring.
+def edit_distance(a: Column, b: Column) -> Column:
+    """The edits between two arrays of symbols, or null if more than ``MOST``.
 
-    For a line with ``more`` characters more than the indexed one, segment ``k`` (of
-    k + 1 .. parts) can have moved by at most ``k`` to either side as seen from the left,
-    and as seen from the right by at most ``parts - 1 - k`` around ``more``.
+    ``r[e]`` has bit ``d + MOST`` set if ``i`` symbols of ``a`` become ``i + d`` symbols of ``b`` by ``e`` edits. With
+    the next symbol of ``a``, a diagonal goes on where symbols match; an edit leads on along the diagonal
+    (replace), from the one above (delete) or, without a symbol of ``a``, to the next (insert).
     """
-    keys = []
-    for more in range(-(parts - 1), parts):
-        other = length - more
-        at = _starts(other, parts)
-        for k in range(parts):
-            low, high = max(-k, more - (parts - 1 - k)), min(k, more + (parts - 1 - k))
-            for shift in range(low, high + 1):
-                place = at[k] + shift
-                size = at[k + 1] - at[k]
-                fits = (other >= parts) & (place >= 0) & (place + size <= length)
-                keys.append(F.when(fits, _key(other, k, F.substring(line, place + 1, size))))
-    return F.array_distinct(F.array(*keys))
-
-
-def _runs(line: Column) -> Column:
-    """Hashes of the runs of RUN tokens."""
-    # The array around the tokens binds them once for the inner function.
-    hashes = F.transform(
-        F.array(F.split(line, TOKEN_END, -1)),
-        lambda own: F.when(F.size(own) >= RUN, F.transform(F.sequence(F.lit(0), F.size(own) - RUN), lambda i: F.xxhash64(*(F.get(own, i + k) for k in range(RUN))))),
-    )
-    return F.array_distinct(F.coalesce(F.get(hashes, F.lit(0)), F.array().cast("array<bigint>")))
-
-
-def _sketch(docs: DataFrame) -> bytes:
-    """For each cell of hashes, the binary logarithm of how often a sample of the lines holds its runs."""
-    lines = _split(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0), LONG)
-    cells = lines.select(F.explode(_runs(F.col("line"))).alias("h")).groupBy(F.col("h").bitwiseAND(CELLS - 1).alias("cell")).count()
-    levels = bytearray(CELLS)
-    for cell, n in cells.collect():
-        levels[cell] = min(62, int(math.log2(n + 1)))
-    return bytes(levels)
-
-
-def _ordered(runs: Column, sketch: bytes) -> Column:
-    """Keys of the runs, rarest first: the level of the sketch above 57 bits of the hash."""
-    level = lambda h: F.ascii(F.substring(F.lit(sketch), h.bitwiseAND(CELLS - 1).cast("int") + 1, 1).cast("string")).cast("long")
-    return F.sort_array(F.transform(runs, lambda h: F.shiftleft(level(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
-
-
-def _keys(lines: DataFrame, docs: DataFrame, threshold: int | None, min_chars: int) -> DataFrame:
-    """h1, h2 and at of ``lines``, with the keys they are indexed by (``own``), those they probe, and those that do both (``runs``)."""
-    line, n, none = F.col("line"), F.col("n"), F.array().cast("array<bigint>")
-    if threshold is not None:
-        long_enough = n >= min_chars
-        own, probes = _index_keys(line, n, threshold + 1), _probe_keys(line, n, threshold + 1)
-        return lines.select("h1", "h2", "at", F.when(long_enough, own).otherwise(none).alias("own"), F.when(long_enough, probes).otherwise(none).alias("probes"), none.alias("runs"))
-    t = allowed(n)
-    runs = F.when((n >= LONG) & (n >= min_chars), _runs(line)).otherwise(none)
-    lines = lines.withColumn("runs", runs)
-    bare = (n >= LONG) & (n >= min_chars) & (F.size("runs") <= 4 * t)
-    part = lambda start: F.xxhash64(F.lit("part"), F.substring(line, start + 1, F.lit(SEGMENT)))
-    # One edit where the shorter line has fewer than 40 characters, two where it has fewer than LONG.
-    classes = [((n >= min_chars) & (n <= 40), 2), ((n >= max(40, min_chars)) & (n <= LONG + 1), 3)]
-    own = [F.when(c, _index_keys(line, n, parts)).otherwise(none) for c, parts in classes] + [F.when(bare, F.transform(F.sequence(F.lit(0), t), lambda k: part(k * SEGMENT))).otherwise(none)]
-    probes = [F.when(c, _probe_keys(line, n, parts)).otherwise(none) for c, parts in classes] + [F.when(bare, F.transform(F.sequence(F.lit(0), n - SEGMENT), part)).otherwise(none)]
-    ordered = F.slice(_ordered(F.col("runs"), _sketch(docs)), F.lit(1), 4 * t + 1)
-    return lines.select("h1", "h2", "at", F.array_distinct(F.concat(*own)).alias("own"), F.array_distinct(F.concat(*probes)).alias("probes"), ordered.alias("runs"))
-
-
-def _near(pairs: DataFrame, docs: DataFrame, threshold: int | None, min_chars: int) -> DataFrame:
-    """Of (doc_id, no, other_doc, other_no), the lines that are within the threshold of the other line."""
-    pairs = written(pairs, "line-pairs")
-    wanted = pairs.select("doc_id", "no").union(pairs.select("other_doc", "other_no")).distinct()
-    wanted = written(wanted, "line-ids")
-    texts = _split(meeting(docs, wanted.select("doc_id").distinct(), "doc_id", "left_semi"), min_chars).drop("n").join(wanted, ["doc_id", "no"])
-    texts = written(texts, "line-texts")
-    others = texts.select(F.col("doc_id").alias("other_doc"), F.col("no").alias("other_no"), F.col("line").alias("other"))
-    both = pairs.join(texts, ["doc_id", "no"]).join(others, ["other_doc", "other_no"])
-    if threshold is None:
-        both = both.withColumn("most", allowed(F.least(F.length("line"), F.length("other"))))
-        close = (F.abs(F.length("line") - F.length("other")) <= F.col("most")) & F.expr("levenshtein(line, other, most) >= 0")
-    else:
-        close = F.levenshtein("line", "other", threshold) >= 0
-    return both.where(close).select("doc_id", "no").distinct()
-
-
-def repeated_lines(docs: DataFrame, *, threshold: int | None = 1, min_chars: int = 20, short: bool = False) -> DataFrame:
-    """(doc_id, no): the lines to drop. ``docs`` has doc_id and text."""
-    lines = _split(docs, min_chars, short).withColumns({"h1": F.xxhash64("line"), "h2": F.hash("line")})
+    width = (1 << (2 * MOST + 1)) - 1
+    match = lambda x, i: reduce(lambda m, d: m.bitwiseOR(F.when(x.eqNullSafe(F.when(i + d >= 0, F.get(b, i + d))), 1 << (d + MOST)).otherwise(0)), range(-MOST, MOST + 1), F.lit(0))
+
+    def step(state: Column, mask: Column) -> Column:
+        new: list[Column] = []
+        for e in range(MOST + 1):
+            reached = state[f"r{e}"].bitwiseAND(mask)
+            if e:
+                before = state[f"r{e - 1}"]
+                reached = reached.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(F.lit(width))
+            new.append(reached)
+        return F.struct(*(x.alias(f"r{e}") for e, x in enumerate(new)))
+
+    start = F.struct(*(F.lit(sum(1 << (d + MOST) for d in range(e + 1))).alias(f"r{e}") for e in range(MOST + 1)))
+    last = F.size(b) - F.size(a) + MOST
+    ends = lambda state: F.coalesce(*(F.when(F.call_function("shiftright", state[f"r{e}"], last).bitwiseAND(F.lit(1)) == 1, e) for e in range(MOST + 1)))
+    return F.when((last >= 0) & (last <= 2 * MOST), F.aggregate(F.transform(a, match), start, step, ends))
+
+
+def _parity(symbols: Column, half: int) -> Column:
+    """64 of 128 bits, each the parity of the symbols hashed to it."""
+    bits = F.filter(F.transform(symbols, lambda x: F.pmod(F.xxhash64(x), F.lit(128)).cast("int") - 64 * half), lambda b: (b >= 0) & (b < 64))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda p, b: p.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
+
+
+def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of (doc_id, no, other_doc, other_no), the later line of each pair that is within the edits allowed."""
+    others = texts.select(F.col("doc_id").alias("other_doc"), F.col("no").alias("other_no"), F.col("symbols").alias("other"))
+    both = pairs.join(texts.select("doc_id", "no", "symbols", "by_word"), ["doc_id", "no"]).join(others, ["other_doc", "other_no"])
+    close = both.where(edit_distance(F.col("symbols"), F.col("other")) <= allowed(F.least(F.size("symbols"), F.size("other")), F.col("by_word")))
+    later = F.greatest(F.struct("doc_id", "no"), F.struct(F.col("other_doc").alias("doc_id"), F.col("other_no").alias("no")))
+    return written(close.select(later.alias("l")).select("l.*").distinct(), "near-lines")
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, no): the lines to drop. ``docs`` has doc_id and text, neither null."""
     place = F.struct("doc_id", "no")
-    first = lines.groupBy("h1", "h2").agg(F.min(F.struct(place.alias("at"), "n", "line")).alias("f")).select("h1", "h2", "f.*")
-    first = written(_keys(first, docs, threshold, min_chars), "first-lines")
-    equal = lines.select("h1", "h2", "doc_id", "no").join(first.select("h1", "h2", "at"), ["h1", "h2"]).where(place != F.col("at")).select("doc_id", "no")
-    index = first.select(F.explode("own").alias("key"), "at")
-    probes = first.select(F.explode("probes").alias("key"), "at").where("key is not null")
-    if threshold is None:
-        # Most runs are of one line alone: keys are counted before any place is shipped.
-        runs = first.select(F.explode("runs").alias("key"), "at")
-        several = written(runs.groupBy("key").count().where("count > 1").select("key"), "shared-runs")
-        runs = written(meeting(runs, several, "key", "left_semi"), "runs")
-        index, probes = index.union(runs), probes.union(runs)
-    heads = index.groupBy("key").agg(F.min("at").alias("head"))
+    lines = _lines(docs).withColumns({"h1": F.xxhash64("line"), "h2": F.hash("line")})
+    first = lines.groupBy("h1", "h2").agg(F.min(F.struct(place.alias("at"), "line")).alias("f"), F.count("*").alias("times")).select("h1", "h2", "times", "f.at", "f.at.*", "f.line")
+    first = first.select("h1", "h2", "times", "doc_id", "no", "line")
+    keyed = _keyed(_symbols(first.select("doc_id", "no", "line")))
+    firsts = written(first.where("times > 1").select("h1", "h2", F.struct("doc_id", "no").alias("at")), "repeated-lines")
+    equal = lines.select("h1", "h2", "doc_id", "no").join(firsts, ["h1", "h2"]).where(place != F.col("at")).select("doc_id", "no")
+    keyed = written(keyed, "line-keys")
+    index = keyed.select(F.explode("own").alias("key"), "doc_id", "no")
+    heads = written(index.groupBy("key").agg(F.min(place).alias("head"), F.count("*").alias("lines")).select("key", "lines", F.col("head.doc_id").alias("other_doc"), F.col("head.no").alias("other_no")), "line-heads")
     # First against the first line of each entry.
-    to_heads = probes.join(heads, "key").where("head < at")
-    near = written(_near(to_heads.selectExpr("at.doc_id", "at.no", "head.doc_id other_doc", "head.no other_no").distinct(), docs, threshold, min_chars), "near-lines")
+    met = keyed.select(F.explode("probes").alias("key"), "doc_id", "no").join(heads, "key").where("doc_id <> other_doc or no <> other_no")
+    met = written(met, "line-probes")
+    to_heads = met.select("doc_id", "no", "other_doc", "other_no").distinct()
+    # Texts of all that meet: the lines that probe, and those of the entries probed.
+    entries = met.where("lines > 1").select("key").distinct()
+    rest = written(index.join(entries, "key").select("key", F.col("doc_id").alias("other_doc"), F.col("no").alias("other_no")), "line-entries")
+    wanted = met.select("doc_id", "no").union(met.select("other_doc", "other_no")).union(rest.select("other_doc", "other_no")).distinct()
+    wanted = written(wanted, "line-ids")
+    texts = _symbols(_lines(meeting(docs, wanted, "doc_id", "left_semi")).join(wanted, ["doc_id", "no"])).drop("line")
+    texts = written(texts.dropDuplicates(["doc_id", "no"]).withColumns({f"parity{k}": _parity(F.col("symbols"), k) for k in (0, 1)}), "line-texts")
+    near = _near(to_heads, texts)
     # What is still undecided meets the rest of its entries.
-    open_probes = to_heads.selectExpr("key", "at", "at.doc_id", "at.no").join(near, ["doc_id", "no"], "left_anti").select("key", "at", "doc_id", "no")
-    rest = index.withColumnRenamed("at", "other").join(heads, "key").where("other <> head").select("key", "other")
-    to_rest = open_probes.join(rest, "key").where("other < at").selectExpr("doc_id", "no", "other.doc_id other_doc", "other.no other_no").distinct()
-    return equal.union(near).union(_near(to_rest, docs, threshold, min_chars))
-
-
-def line_dedup(docs: DataFrame, *, threshold: int | None = 1, min_chars: int = 20, short: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: n_lines, n_removed, and the text of the lines kept.
-
-    Null texts stay null and have no lines; blank lines below ``min_chars`` always stay, and
-    without ``short`` all below it. ``threshold=None`` lets the edits grow with the length.
-    Of equal and near lines the first by (document, place) stays. Whether a line goes depends on
-    lines of the input alone, dropped or not. Rows that share an id lose lines at the same
-    places. An empty table gives an empty result. ``carry`` names columns to return besides.
+    sketch = texts.join(near.withColumn("gone", F.lit(True)), ["doc_id", "no"], "left").select("doc_id", "no", "n", "by_word", "parity0", "parity1", F.col("gone").isNull().alias("open"))
+    left = met.where("lines > 1").select("key", "doc_id", "no").join(sketch, ["doc_id", "no"])
+    right = rest.join(sketch.select(*(F.col(c).alias(f"other_{c}") for c in sketch.columns)).withColumnRenamed("other_doc_id", "other_doc"), ["other_doc", "other_no"])
+    behind = F.struct("other_doc", "other_no") < place
+    apart = sum(F.bit_count(F.col(f"parity{k}").bitwiseXOR(F.col(f"other_parity{k}"))) for k in (0, 1))
+    fit = F.when(behind, F.col("open")).otherwise(F.col("other_open")) & ((F.col("doc_id") != F.col("other_doc")) | (F.col("no") != F.col("other_no")))
+    fit = fit & (apart <= 2 * allowed(F.least("n", "other_n"), F.col("by_word")))
+    to_rest = left.join(right, "key").where(fit).select("doc_id", "no", "other_doc", "other_no").distinct()
+    more = _near(to_rest, texts)
+    gone = written(equal.union(near).union(more).groupBy("doc_id").agg(F.collect_set("no").alias("gone")), "dropped-lines")
+    forget(firsts, keyed, heads, met, rest, wanted, texts, near, more)
+    return gone
+
+
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, n_lines, n_removed, kept_text (the lines that stay), and the columns named in ``carry``.
+
+    Of equal and near lines the first by (document, place) stays; whether a line goes depends on
+    lines of the input alone, dropped or not, so that ties of place can't occur. Lines compared by
+    words and lines compared by characters aren't near to each other. Blank lines stay. Null texts stay null and have
+    no lines; an empty text has one blank line. Rows without an id stay whole and remove nothing
+    elsewhere. Rows that share an id lose lines at the same places. Lines and texts of any length are
+    compared whole. Other columns, whatever their names, are not read. An empty table gives an empty result.
     """
-    read = text_column(docs, id_col, text_col, *carry)
-    usable = read.where("text is not null")
-    dropped = repeated_lines(usable, threshold=threshold, min_chars=min_chars, short=short)
-    dropped = written(dropped.groupBy("doc_id").agg(F.collect_set("no").alias("gone")), "dropped-lines")
-    cut = meeting(read, dropped, "doc_id").select("doc_id", "text", "gone", *carry)
-    whole = meeting(read, dropped, "doc_id", how="left_anti").select("doc_id", "text", F.array().cast("array<int>").alias("gone"), *carry)
+    held = [f"carried_{k}" for k in range(len(carry))]
+    read = text_column(docs, id_col, text_col, *(F.col(c).alias(h) for c, h in zip(carry, held, strict=True)))
+    dropped = repeated_lines(read.select("doc_id", "text").where("doc_id is not null and text is not null"))
+    cut = meeting(read, dropped, "doc_id").select("doc_id", "text", "gone", *held)
+    whole = meeting(read, dropped, "doc_id", how="left_anti").select("doc_id", "text", F.array().cast("array<int>").alias("gone"), *held)
     every = F.split("text", "\n", -1)
-    out = cut.unionByName(whole)
-    kept = F.filter(every, lambda line, no: ~F.array_contains("gone", no))
-    out = out.select("doc_id", F.coalesce(F.size(every), F.lit(0)).cast("long").alias("n_lines"), kept.alias("kept"), F.col("text").isNull().alias("none"), *carry)
+    kept = F.when(F.size("gone") == 0, every).otherwise(F.filter(every, lambda line, no: ~F.array_contains("gone", no)))
+    out = cut.unionByName(whole).select("doc_id", F.coalesce(F.when(F.col("text").isNotNull(), F.size(every)), F.lit(0)).cast("long").alias("n_lines"), kept.alias("kept"), *held)
     return out.select(
         "doc_id",
-        F.when(F.col("none"), F.lit(0)).otherwise(F.col("n_lines")).cast("long").alias("n_lines"),
-        F.when(F.col("none"), F.lit(0)).otherwise(F.col("n_lines") - F.size("kept")).cast("long").alias("n_removed"),
-        F.when(~F.col("none"), F.array_join("kept", "\n")).alias("kept_text"),
-        *carry,
+        "n_lines",
+        F.coalesce(F.when(F.col("kept").isNotNull(), F.col("n_lines") - F.size("kept")), F.lit(0)).cast("long").alias("n_removed"),
+        F.array_join("kept", "\n").alias("kept_text"),
+        *(F.col(h).alias(c) for c, h in zip(carry, held, strict=True)),
     )

@@ -95,17 +95,30 @@ def edits(a, b, most):
     return row[-1] <= most
 
 
-def lines(texts, threshold=1, least=20):
-    """The text kept of each document. Lines that share neither half can't be one edit apart."""
-    order = [(d, n, x) for d in sorted(texts) if texts[d] is not None for n, x in enumerate(texts[d].split("\n")) if len(x) >= least]
-    gone, before = set(), []
+def symbols(line):
+    """(whether words are the symbols, the symbols)."""
+    by_word = line.split(" ")
+    return (True, by_word) if len(by_word) >= 8 and len(line.encode()) <= 2 * len(line) else (False, list(line))
+
+
+def edits_allowed(by_word, n):
+    return sum(n >= s for s in ((8, 24, 48) if by_word else (20, 40, 80)))
+
+
+def near_lines(a, b):
+    (wa, x), (wb, y) = symbols(a), symbols(b)
+    most = edits_allowed(wa, min(len(x), len(y)))
+    return a == b or wa == wb and most > 0 and edits(x, y, most)
+
+
+def lines(texts):
+    """The text kept of each document: every line against every line before it."""
+    order = [(d, n, x) for d in sorted(d for d in texts if d is not None) if texts[d] is not None for n, x in enumerate(texts[d].split("\n")) if x.strip(" \t\r\x0b\x0c")]
+    gone, before = set(), {}
     for d, n, x in order:
-        if any(o == x or (threshold > 1 or o[: len(o) // 2 - 1] == x[: len(o) // 2 - 1] or o[len(o) // 2 + 2 :] == x[-len(o[len(o) // 2 + 2 :]) :]) and abs(len(o) - len(x)) <= threshold and edits(o, x, threshold) for o in before):
+        if x in before or any(abs(len(o) - len(x)) <= 3 * max(map(len, o.split(" ") + x.split(" "))) + 3 and near_lines(o, x) for o in before):
             gone.add((d, n))
-        else:
-            before.append(x)
-            continue
-        before.append(x)
+        before[x] = None
     return {d: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in gone) for d, t in texts.items()}
 
 

@@ -275,9 +275,8 @@ def test_spaced_letters_are_a_unit():
 
 def test_jaccard(spark, odd, docs, texts):
     assert by_id(jaccard.jaccard_join(docs), "n_shingles", "component_id") == brute.jaccard(texts)
-    no_null = odd.where("doc_id is not null")
-    want = brute.jaccard({d: t for d, t in odd_texts().items() if d is not None})
-    assert by_id(jaccard.jaccard_join(no_null), "n_shingles", "component_id") == want
+    want = brute.jaccard({d: t for d, t in odd_texts().items() if d is not None}) | {None: (1, None)}
+    assert by_id(jaccard.jaccard_join(odd), "n_shingles", "component_id") == want
     assert jaccard.jaccard_join(odd.limit(0)).count() == 0
 
 
@@ -305,68 +304,113 @@ def test_trie_walk():
         assert walk.links(own) == jaccard.similar(len(own), len(head), both, 75)
 
 
+def test_trie_finds_what_all_pairs_find():
+    """Prefix overlaps by the trie against those of all pairs, with and without blocks of two sides."""
+    rng = np.random.default_rng(3)
+    weigh = rng.integers(1, 6, 60)
+    own = [np.unique(rng.integers(1, 60, rng.integers(0, 14))) for _ in range(150)]
+    own += [np.unique(np.r_[own[0], rng.integers(1, 60, 2)]) for _ in range(60)]
+    own = sorted(own, key=lambda x: x.tolist())
+    n, label, doc = rng.integers(60, 110, len(own)), rng.integers(0, 40, len(own)), rng.permutation(len(own))
+    for sides in (np.zeros(len(own), int), (np.arange(len(own)) % 3 == 0).astype(int)):
+        rows = [(7, 0, int(sides.any()), int(sides[i]), int(doc[i]), int(label[i]), int(n[i]), 2, x.tolist(), weigh[x].tolist()) for i, x in enumerate(own)]
+        rows.sort(key=lambda r: (r[3], r[8]))
+        names = ["token", "low", "high", "side", "doc_id", "label", "n", "times", "path", "weights"]
+        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[at : at + 50]]) for at in range(0, len(rows), 50)]
+        got = {(r["head"], r["doc_id"]) for b in jaccard._met(75)(batches) for r in b.to_pylist()}
+        want = set()
+        for a in rows:
+            for b in rows:
+                fits = a[3] < b[3] if sides.any() else a[4] < b[4]
+                shared = 2 + sum(w for t, w in zip(a[8], a[9], strict=True) if t in b[8])
+                if fits and a[5] != b[5] and 100 * min(a[6], b[6]) >= 75 * max(a[6], b[6]) and shared >= jaccard.enough(np.int64(a[6]), np.int64(b[6]), 75):
+                    want.add((min(a[4], b[4]), max(a[4], b[4])))
+        assert got == want and want
+
+
+def test_a_passage_in_many_short_documents(spark):
+    """Documents that share one passage and little else, some of them near copies, and rows without an id."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(45))
+    rows = {i: f"{' '.join(f'{i}x{k}' for k in range(rng.randrange(4, 22)))} {passage}" for i in range(300)}
+    rows |= {300 + i: rows[i] + " more" for i in range(0, 60, 3)}
+    df = spark.createDataFrame([*rows.items(), (None, passage), (None, None)], "doc_id long, text string")
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_join(df).collect()]
+    assert {d: (n, c) for d, n, c in got if d is not None} == brute.jaccard(rows)
+    assert sorted((n, c) for d, n, c in got if d is None) == [(0, None), (41, None)]
+
+
 # 8
 
 
 def test_lines(spark, odd, docs, texts):
     few = docs.where("doc_id < 60")
     assert by_id(lines.line_dedup(few), "kept_text") == {d: (t,) for d, t in brute.lines({d: t for d, t in texts.items() if d < 60}).items()}
-    no_null = odd.where("doc_id is not null")
-    assert by_id(lines.line_dedup(no_null), "kept_text") == {d: (t,) for d, t in brute.lines({d: t for d, t in odd_texts().items() if d is not None}).items()}
+    assert by_id(lines.line_dedup(odd), "kept_text") == {d: (t,) for d, t in brute.lines(odd_texts()).items()}
     assert lines.line_dedup(odd.limit(0)).count() == 0
+    carried = lines.line_dedup(odd.withColumns({c: F.lit(c) for c in ("gone", "no", "carried_0")}), carry=("gone", "no", "carried_0", "n_chars"))
+    assert carried.columns == ["doc_id", "n_lines", "n_removed", "kept_text", "gone", "no", "carried_0", "n_chars"]
+    assert carried.where("gone = 'gone' and no = 'no' and carried_0 = 'carried_0'").count() == odd.count()
+    rows = by_id(lines.line_dedup(odd), "n_lines", "n_removed")
+    assert rows[0] == (0, 0) and rows[1] == (1, 0) and rows[3] == (1, 0) and rows[4] == (1, 1) and rows[None] == (1, 0)
 
 
-@pytest.mark.parametrize("threshold", [1, 2, 3])
-def test_lines_at_each_threshold(spark, threshold):
-    rng = random.Random(threshold)
-    base = ["".join(rng.choice("abcde ") for _ in range(rng.randrange(20, 30))) for _ in range(6)]
-    rows = {}
-    for i in range(40):
-        own = list(rng.choice(base))
-        for _ in range(rng.randrange(0, threshold + 3)):
-            at = rng.randrange(len(own))
-            own[at : at + rng.choice((0, 1))] = rng.choice(("", "x", "é"))
-        rows[i] = "".join(own) + "\nshort"
-    got = by_id(lines.line_dedup(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), threshold=threshold), "kept_text")
-    assert got == {d: (t,) for d, t in brute.lines(rows, threshold).items()}
-
-
-def test_lines_with_edits_by_length(spark, docs):
-    """All pairs, for lines on both sides of each bound: prose, one run of letters, and a script without spaces."""
-    rng = random.Random(9)
+def near_rows(seed=9):
+    """Lines on both sides of each bound with edits of symbols: words, letters, a script without spaces, and the same words again and again."""
+    rng = random.Random(seed)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 9))) for _ in range(80)]
-    kinds = [lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))[:n], lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n)), lambda n: "".join(rng.choice("日本語学校東京大山川田") for _ in range(n)), lambda n: ("-|" * n)[:n]]
-    lines_of = []
-    for n in (3, 12, 20, 38, 40, 41, 79, 80, 82, 119, 121, 160, 330):
-        for kind in kinds:
-            base = kind(n)
-            lines_of += [base, base]
-            for edits in (1, 2, 3, n // 40, n // 40 + 1, n // 40 + 2):
+    kinds = [(lambda n: [rng.choice(vocabulary) for _ in range(n)], " ", (7, 8, 9, 23, 24, 26, 47, 48, 50, 90)), (lambda n: [rng.choice("0123456789abcdef") for _ in range(n)], "", (3, 19, 20, 21, 39, 40, 42, 80, 83)), (lambda n: [rng.choice("日本語学校東京大山川田") for _ in range(n)], "", (12, 20, 40, 81, 120)), (lambda n: (["a", "b"] * n)[:n], " ", (8, 24, 48))]
+    out = []
+    for make, space, sizes in kinds:
+        for n in sizes:
+            base = make(n)
+            out += [space.join(base)] * 2
+            for edits in (1, 1, 2, 2, 3, 3, 4):
                 own = list(base)
                 for _ in range(edits):
                     at = rng.randrange(len(own))
-                    own[at : at + rng.choice((0, 1))] = rng.choice(("", "x", "é", " "))
-                lines_of.append("".join(own))
-    lines_of += ["", "   ", "   ", ""]
-    rng.shuffle(lines_of)
-    rows = {i: "\n".join(lines_of[7 * i : 7 * i + 7]) for i in range(-(-len(lines_of) // 7))}
-
-    def most(n):
-        return 0 if n < 20 else max(1 if n < 40 else 2, n // 40)
-
-    gone, before = set(), []
-    for d, t in rows.items():
-        for k, x in enumerate(t.split("\n")):
-            if any(o == x and x.strip() or brute.edits(o, x, min(most(len(o)), most(len(x)))) and min(len(o), len(x)) >= 20 for o in before):
-                gone.add((d, k))
-            before.append(x)
-    want = {d: ("\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone),) for d, t in rows.items()}
-    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    assert by_id(lines.line_dedup(df, threshold=None, short=True), "kept_text") == want
-    # One edit and no short lines, as before, leaves more.
-    assert by_id(lines.line_dedup(df), "kept_text") != want
-    assert lines.line_dedup(df.limit(0), threshold=None, short=True).count() == 0
-    assert "Python" not in lines.line_dedup(docs, threshold=None, short=True)._jdf.queryExecution().executedPlan().toString()
+                    own[at : at + rng.choice((0, 1))] = rng.choice(([], ["x"], ["é"], ["日"], ["z"]))
+                out.append(space.join(own))
+    out += ["", "   ", "   ", "", "hot head " + " ".join(vocabulary[:20])]
+    # One segment that very many lines share, all else being different.
+    out += [" ".join(vocabulary[:30] + [rng.choice(vocabulary) for _ in range(30)]) for _ in range(60)]
+    rng.shuffle(out)
+    return {i: "\n".join(out[7 * i : 7 * i + 7]) for i in range(-(-len(out) // 7))}
+
+
+@pytest.mark.parametrize("seed", [9, 10])
+def test_near_lines_equal_all_pairs(spark, seed):
+    rows = near_rows(seed)
+    got = by_id(lines.line_dedup(spark.createDataFrame(list(rows.items()), "doc_id long, text string")), "kept_text")
+    assert got == {d: (t,) for d, t in brute.lines(rows).items()}
+
+
+def test_bit_parallel_edit_distance(spark):
+    rng = random.Random(6)
+    pairs = [([rng.choice("abc") for _ in range(rng.randrange(0, 12))], [rng.choice("abc") for _ in range(rng.randrange(0, 12))]) for _ in range(400)]
+    got = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, a array<string>, b array<string>").select("i", lines.edit_distance(F.col("a"), F.col("b")).alias("e")).collect()
+    for r in got:
+        a, b = pairs[r.i]
+        assert r.e == next((e for e in range(lines.MOST + 1) if brute.edits(a, b, e)), None)
+
+
+def test_a_near_line_always_probes_the_index(spark):
+    """Whatever is inserted, deleted or replaced, one segment stays whole at a place that is probed."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(300):
+        base = [str(rng.randrange(5)) for _ in range(rng.choice((8, 9, 23, 24, 25, 47, 48, 49, 60)))]
+        own = list(base)
+        for _ in range(brute.edits_allowed(True, len(base))):
+            at = rng.randrange(len(own))
+            own[at : at + rng.choice((0, 1))] = rng.choice(([], ["x"]))
+        if brute.near_lines(" ".join(base), " ".join(own)) and base != own:
+            rows += [(i, 0, " ".join(base)), (i, 1, " ".join(own))]
+    keys = {(r.doc_id, r.no): (r.n, set(r.own), set(r.probes)) for r in lines._keyed(lines._symbols(spark.createDataFrame(rows, "doc_id long, no int, line string"))).join(lines._symbols(spark.createDataFrame(rows, "doc_id long, no int, line string")).select("doc_id", "no", "n"), ["doc_id", "no"]).collect()}
+    assert len(rows) > 300
+    for i in {r[0] for r in rows}:
+        short, long = sorted((keys[i, 0], keys[i, 1]), key=lambda x: x[0])
+        assert short[1] & long[2]
 
 
 def test_lines_run_without_python(docs):
