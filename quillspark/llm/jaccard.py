@@ -42,8 +42,10 @@ SKETCH_BITS = 18
 _BLOCK = 4096
 #: Members of a head in one trie.
 TRIE_MEMBERS = 4096
-#: Sets that walk a trie at once.
-PROBES = 128
+#: Groups on a path. Sets that are still alike then are compared as a whole.
+NAMED = 16
+#: Sets walk a trie together as long as they have so many partners in all, or one alone.
+PARTNERS = 1 << 20
 
 
 def shingles(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -114,12 +116,13 @@ def prefix_size(n: int, percent: int) -> int:
 def _prefixes(width: int, percent: int, level):
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):
-            ids, tokens, docs = part.column(0).to_numpy(), [], []
+            ids, tokens, docs, places = part.column(0).to_numpy(), [], [], []
             for doc, own in zip(ids, shingles(part.column(1), width), strict=True):
                 first = ordered(own, level.value)[: prefix_size(len(own), percent)]
                 tokens.append(first.view(np.int64))
                 docs.append(np.full(len(first), doc))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(docs))], names=["token", "doc_id"])
+                places.append(np.arange(len(first), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, docs, places)], names=["token", "doc_id", "place"])
 
     return over
 
@@ -206,43 +209,48 @@ def enough(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 class Trie:
-    """Sorted paths of sets that share a group, each beginning stored once, with bounds of what lies below each node.
+    """Sorted paths of sets, each beginning stored once, with bounds of what lies below each node.
 
-    A path has the groups of a set's prefix in global order; a group weighs as many shingles as it stands for.
+    A path starts with a number that stands for the group its sets share, and goes on with the other groups of the
+    set's prefix in global order; a group weighs as many shingles as it stands for.
     """
 
-    def __init__(self, paths: list[np.ndarray], weights: list[np.ndarray], n: np.ndarray, label: np.ndarray):
-        token, weight, parent, depth, self.end = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], np.zeros(len(paths), np.int64)
-        before, nodes, count = np.zeros(0, np.int64), np.zeros(1, np.int64), 1
-        for k, (own, weigh) in enumerate(zip(paths, weights, strict=True)):
-            limit = min(len(own), len(before))
-            differ = np.flatnonzero(own[:limit] != before[:limit])
-            shared = int(differ[0]) if len(differ) else limit
-            fresh = np.arange(count, count + len(own) - shared)
-            nodes = np.r_[nodes[: shared + 1], fresh]
-            token.append(own[shared:])
-            weight.append(weigh[shared:])
-            parent.append(nodes[shared:-1])
-            depth.append(np.arange(shared + 1, len(own) + 1))
-            before, count = own, count + len(fresh)
-            self.end[k] = nodes[-1]
-        token, self.weight, parent, depth = map(np.concatenate, (token, weight, parent, depth))
-        big = np.iinfo(np.int64).max
-        total = np.array([w.sum() for w in weights], np.int64)
+    def __init__(self, paths: list[list[int]], weights: list[list[int]], total: np.ndarray, n: np.ndarray, reach: np.ndarray, label: np.ndarray):
+        """``total``: what all groups of a set weigh, those behind the end of its path included."""
+        token, weight, parent, depth, end, before, nodes = [0], [0], [0], [0], [], [], [0]
+        for own, weigh in zip(paths, weights, strict=True):
+            shared, limit = 0, min(len(own), len(before))
+            while shared < limit and own[shared] == before[shared]:
+                shared += 1
+            del nodes[shared + 1 :]
+            parent.append(nodes[-1])
+            nodes.extend(range(len(token), len(token) + len(own) - shared))
+            parent.extend(nodes[shared + 1 : -1])
+            if shared == len(own):
+                parent.pop()
+            token.extend(own[shared:])
+            weight.extend(weigh[shared:])
+            depth.extend(range(shared + 1, len(own) + 1))
+            end.append(nodes[-1])
+            before = own
+        token, self.weight, parent, depth, self.end = (np.array(x, np.int64) for x in (token, weight, parent, depth, end))
+        count, big = len(token), np.iinfo(np.int64).max
         self.least, self.most, self.rest, self.low, self.high = np.full(count, big), np.zeros(count, np.int64), np.zeros(count, np.int64), np.full(count, big), np.full(count, -big)
-        bounds = ((self.least, n, np.minimum), (self.most, n, np.maximum), (self.rest, total, np.maximum), (self.low, label, np.minimum), (self.high, label, np.maximum))
+        self.reach = np.zeros(count, np.int64)
+        bounds = ((self.reach, reach, np.maximum), (self.least, n, np.minimum), (self.most, n, np.maximum), (self.rest, total, np.maximum), (self.low, label, np.minimum), (self.high, label, np.maximum))
         for bound, value, by in bounds:
             by.at(bound, self.end, value)
         order = np.argsort(depth, kind="stable")
-        levels_ = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)
-        for some in levels_[:0:-1]:
+        layers = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)
+        for some in layers[:0:-1]:
             for bound, _, by in bounds:
                 by.at(bound, parent[some], bound[some])
         read = np.zeros(count, np.int64)
-        for some in levels_[1:]:
+        for some in layers[1:]:
             read[some] = read[parent[some]] + self.weight[some]
         #: What a set below can still add behind the node.
         self.rest -= read
+        self.behind = total - read[self.end]
         self.alphabet, self.code = np.unique(token, return_inverse=True)
         self.children = np.argsort(parent[1:], kind="stable") + 1
         self.starts = np.searchsorted(parent[self.children], np.arange(count + 1))
@@ -255,80 +263,99 @@ class Trie:
         sizes = starts[nodes + 1] - starts[nodes]
         return np.repeat(np.arange(len(nodes)), sizes), values[ragged(starts[nodes], sizes)]
 
-    def near(self, paths: list[np.ndarray], weights: list[np.ndarray], start: int, n: np.ndarray, label: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(probe, path, shared): sets of other labels that share a path's end with a probe within all bounds. ``start`` is shared by all."""
+    def near(self, paths: list[list[int]], weights: list[list[int]], total: np.ndarray, n: np.ndarray, reach: np.ndarray, label: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(probe, path, share): sets of the same first group and other labels, and the most that they can share with a probe."""
         # Odd numbers are groups of the trie, even ones lie between them; one sorted array for all probes.
         wide = 2 * len(self.alphabet) + 2
-        flat, sizes = np.concatenate(paths), np.array([len(x) for x in paths], np.int64)
+        sizes = np.array([len(x) for x in paths], np.int64)
+        flat = np.fromiter((t for x in paths for t in x), np.int64, sizes.sum())
         place = np.searchsorted(self.alphabet, flat)
         exact = self.alphabet[np.minimum(place, len(self.alphabet) - 1)] == flat
         keys = np.r_[np.repeat(np.arange(len(paths)), sizes) * wide + 2 * place + exact, len(paths) * wide]
-        read = np.r_[0, np.cumsum(np.concatenate(weights))]
-        whole = read[np.cumsum(sizes)]
-        probe, node = np.arange(len(paths)), np.zeros(len(paths), np.int64)
-        overlap, left = np.full(len(paths), start), whole - read[np.cumsum(sizes) - sizes]
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        read = np.r_[0, np.cumsum(np.fromiter((t for x in weights for t in x), np.int64, sizes.sum()))]
+        begin = np.cumsum(sizes) - sizes
+        probe = np.arange(len(paths))
+        # To the probe's own group.
+        groups = self.children[: self.starts[1]]
+        number = {int(self.alphabet[c]): int(g) for c, g in zip(self.code[groups], groups, strict=True)}
+        node = np.array([number.get(x[0], 0) for x in paths], np.int64)
+        probe = probe[node > 0]
+        node = node[node > 0]
+        whole = read[begin] + total
+        overlap, left = self.weight[node], whole[probe] - read[begin[probe] + 1]
+        found = [(np.zeros(0, np.int64),) * 3]
         while len(node):
             size, low, high = n[probe], self.least[node], self.most[node]
             # The least that a size in low .. high asks for is asked at its ends; one less for rounding.
             smaller = np.clip(np.maximum(low, percent * size // 100), None, size)
             larger = np.clip(np.minimum(high, 100 * size // percent + 1), size, None)
             asked = np.minimum(np.where(low <= size, enough(size, smaller, percent), 1 << 40), np.where(high >= size, enough(size, larger, percent), 1 << 40)) - 1
-            good = (overlap + np.minimum(left, self.rest[node]) >= asked) & (100 * high >= percent * size) & (percent * low <= 100 * size)
+            good = (overlap + np.minimum(left, self.rest[node]) >= asked) & ((100 + percent) * np.minimum(reach[probe], self.reach[node]) >= percent * (size + np.minimum(size, smaller))) & (100 * high >= percent * size) & (percent * low <= 100 * size)
             good &= (self.low[node] != label[probe]) | (self.high[node] != label[probe])
-            probe, node, overlap = probe[good], node[good], overlap[good]
+            probe, node, overlap, left = probe[good], node[good], overlap[good], left[good]
             i, path = self._below(self.end_starts, node, self.ends)
-            found.append((probe[i], path, overlap[i]))
+            found.append((probe[i], path, overlap[i] + np.minimum(left[i], self.behind[path])))
             i, node = self._below(self.starts, node, self.children)
             probe, overlap = probe[i], overlap[i]
             wanted = probe * wide + 2 * self.code[node] + 1
             at = np.searchsorted(keys, wanted)
             hit = keys[at] == wanted
-            overlap, left = overlap + hit * self.weight[node], whole[probe] - read[at + hit]
+            left = whole[probe] - read[at + hit]
+            # Behind the end of a path that isn't whole anything can match.
+            hit |= (at == begin[probe] + sizes[probe]) & (left > 0)
+            overlap = overlap + hit * self.weight[node]
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _met(percent: int):
-    """Pairs of each block of a group's sets; rows come sorted by block, side and path."""
-
-    def pairs(own: list[tuple]) -> pa.RecordBatch | None:
-        side, doc, label, n = (np.array([r[k] for r in own], np.int64) for k in range(4))
-        paths, weights = [np.array(r[5], np.int64) for r in own], [np.array(r[6], np.int64) for r in own]
-        alone = (side == 0).all()
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if alone else 1))
-        if not len(left) or not len(right) or label.min() == label.max():
-            return None
-        trie = Trie([paths[k] for k in right], [weights[k] for k in right], n[right], label[right])
-        found = []
-        for at in range(0, len(left), PROBES):
-            some = left[at : at + PROBES]
-            probe, path, shared = trie.near([paths[k] for k in some], [weights[k] for k in some], own[0][4], n[some], label[some], percent)
+    """Pairs of each block of a group's sets; rows come sorted by block, side and path. Small blocks are taken together."""
+
+    def pairs(own: list[tuple]) -> pa.RecordBatch:
+        side, doc, label, n, reach, total = (np.array([r[k] for r in own], np.int64) for k in range(1, 7))
+        block = np.array([r[0] for r in own], np.int64)
+        paths, weights = [[-r[0], *r[8]] for r in own], [[r[7], *r[9]] for r in own]
+        # A block with one side meets itself.
+        alone = np.bincount(block, side)[block] == 0
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(alone | (side == 1))
+        found = [np.zeros((2, 0), np.int64)]
+        trie = Trie([paths[k] for k in right], [weights[k] for k in right], total[right], n[right], reach[right], label[right])
+        # As many probes at once as have so many partners.
+        meets = np.cumsum(np.bincount(block[right], minlength=block.max() + 1)[block[left]])
+        for some in np.split(left, np.unique(np.searchsorted(meets, np.arange(PARTNERS, meets[-1] + 1, PARTNERS)))):
+            probe, path, shared = trie.near([paths[k] for k in some], [weights[k] for k in some], total[some], n[some], reach[some], label[some], percent)
             x, y = some[probe], right[path]
             good = (shared >= enough(n[x], n[y], percent)) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (label[x] != label[y])
-            good &= ~alone | (label[x] < label[y])
+            good &= (~alone[x] | (label[x] < label[y])) & ((100 + percent) * np.minimum(reach[x], reach[y]) >= percent * (n[x] + n[y]))
             found.append(np.stack([doc[x[good]], doc[y[good]]]))
         both = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["head", "doc_id"])
 
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own = None, []
+        key, number, own = None, 0, []
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for row in zip(*columns, strict=True):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:3] != key:
-                    if own and (out := pairs(own)) is not None:
-                        yield out
-                    key, own = row[:3], []
-                own.append(row[3:])
-        if own and (out := pairs(own)) is not None:
-            yield out
+                    if len(own) >= TRIE_MEMBERS:
+                        yield pairs(own)
+                        number, own = 0, []
+                    key, number = row[:3], number + 1
+                own.append((number, *row[3:]))
+        if own:
+            yield pairs(own)
 
     return over
 
 
+def needed(n, m, percent: int):
+    """How much sets of ``n`` and ``m`` shingles must share."""
+    n, m = (F.col(x) if isinstance(x, str) else x for x in (n, m))
+    return F.ceil((n + m) * percent / F.lit(100 + percent))
+
+
 def lacking(n, m, percent: int):
+    """How much of that their prefixes must share, see ``promising``."""
     n, m = (F.col(x) if isinstance(x, str) else x for x in (n, m))
-    need = F.ceil((n + m) * percent / F.lit(100 + percent))
+    need = needed(n, m, percent)
     rest = F.ceil(F.greatest(n, m) * percent / F.lit(100)) - 1
     return F.greatest(F.lit(1), need - rest)
 
@@ -360,7 +387,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, level
 
 
 def _token_groups(tokens: DataFrame) -> DataFrame:
-    """(token, doc_id, head, times): documents by the prefix tokens that two of them share, head being the least.
+    """(token, doc_id, head, place, times): documents by the prefix tokens that two of them share, head being the least, place how many of its tokens come before.
 
     Tokens held by the same documents say the same: the least of them stands for all ``times`` of them. Such
     sets of documents are told apart by the least and the greatest of them and 112 bits of hashes.
@@ -371,10 +398,10 @@ def _token_groups(tokens: DataFrame) -> DataFrame:
     part = lambda *more: F.sum(F.shiftrightunsigned(F.xxhash64("doc_id", *more), 40))
     what = {"head": F.min("doc_id"), "last": F.max("doc_id"), "one": F.bit_xor(F.xxhash64("doc_id")), "two": part(), "three": part(F.lit(1))}
     group = Window.partitionBy("token")
-    rare = rare.select("token", "doc_id", *(x.over(group).alias(k) for k, x in what.items())).where("head <> last")
+    rare = rare.select("token", "doc_id", "place", *(x.over(group).alias(k) for k, x in what.items())).where("head <> last")
     of_hot = hot.groupBy("token").agg(*(x.alias(k) for k, x in what.items())).where("head <> last")
     rows = rare.union(hot.join(of_hot, "token").select(rare.columns))
-    return rows.groupBy("one", "two", "three", "head", "last", "doc_id").agg(F.min("token").alias("token"), F.count("*").alias("times")).select("token", "doc_id", "head", "times")
+    return rows.groupBy("one", "two", "three", "head", "last", "doc_id").agg(F.min("token").alias("token"), F.min("place").alias("place"), F.count("*").alias("times")).select("token", "doc_id", "head", "place", "times")
 
 
 def jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -404,33 +431,37 @@ def jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 75, id_col:
     sizes = meeting(named.select("doc_id", "n"), copies, "doc_id", how="left_anti").dropDuplicates(["doc_id"])
     reps = meeting(read.where("doc_id is not null"), copies, "doc_id", how="left_anti")
 
-    tokens = written(reps.mapInArrow(_prefixes(width, percent, level), "token long, doc_id long"), "prefixes")
+    tokens = written(reps.mapInArrow(_prefixes(width, percent, level), "token long, doc_id long, place int"), "prefixes")
     groups = written(_token_groups(tokens), "token-groups")
     # Each with the head of its groups, if it shares enough with it. What this misses is left to the next step.
-    first = groups.where("doc_id <> head").groupBy("head", "doc_id").agg(F.sum("times").alias("shared")).join(sizes, "doc_id")
-    first = first.join(sizes.select(F.col("doc_id").alias("head"), F.col("n").alias("m")), "head").where(promising("n", "m", "shared", percent))
+    first = groups.where("doc_id <> head").groupBy("head", "doc_id").agg(F.sum("times").alias("shared"), F.min("place").alias("place")).join(sizes, "doc_id")
+    first = first.join(sizes.select(F.col("doc_id").alias("head"), F.col("n").alias("m")), "head").where(promising("n", "m", "shared", percent) & (F.col("n") - F.col("place") >= needed("n", "m", percent)))
     forget(tokens)
     links = _verified(first, reps, width, percent, level)
     label = written(components(links), "labels")
 
     # Groups that still hold several components: a trie for each.
-    named = groups.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(sizes, "doc_id").select("token", "times", "doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
+    named = groups.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(sizes, "doc_id").select("token", "times", "place", "doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
     named = written(named, "labelled-groups")
     apart = named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("sets")).where("a <> b").drop("a", "b")
     apart = written(apart, "apart")
-    of_doc = named.join(apart.select("token"), "token").groupBy("doc_id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("token", F.col("times").cast("long").alias("times")))).alias("own"))
-    # From each group on, what the set still holds. Sets that can't share enough with a set of any size there is are left.
+    of_doc = named.join(apart.select("token"), "token").groupBy("doc_id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("token", F.col("times").cast("long").alias("times"), "place"))).alias("own"))
+    # From each group on, what the set still holds. What comes before is lost to all that meet first there; sets that
+    # then can't share enough with a set of any size there is are left.
     paths = of_doc.select("doc_id", "label", "n", F.posexplode("own").alias("k", "g"), "own").select("doc_id", "label", "n", "g.*", F.slice("own", F.col("k") + 2, F.greatest(F.lit(0), F.size("own") - F.col("k") - 1)).alias("path"))
-    paths = paths.select("token", "doc_id", "label", "n", "times", F.transform("path", lambda g: g["token"]).alias("path"), F.transform("path", lambda g: g["times"]).alias("weights"))
-    total = F.col("times") + F.aggregate("weights", F.lit(0).cast("long"), lambda a, b: a + b)
+    paths = paths.select("token", "doc_id", "label", "n", (F.col("n") - F.col("place")).alias("reach"), "times", F.transform("path", lambda g: g["token"]).alias("path"), F.transform("path", lambda g: g["times"]).alias("weights"))
+    # All that it still holds counts, the next groups are named: those are enough to tell most sets apart.
+    weighed = F.aggregate("weights", F.lit(0).cast("long"), lambda a, b: a + b)
+    paths = paths.select("token", "doc_id", "label", "n", "reach", (F.col("times") + weighed).alias("total"), "times", F.slice("path", 1, NAMED).alias("path"), F.slice("weights", 1, NAMED).alias("weights"))
+    total = F.col("total")
     smaller, larger = F.least("n", F.greatest("least", F.floor(F.col("n") * percent / 100))), F.greatest("n", F.least("most", F.floor(F.col("n") * 100 / percent) + 1))
     never = F.lit(1 << 40)
     asked = F.least(F.when(F.col("least") <= F.col("n"), lacking("n", smaller, percent)).otherwise(never), F.when(F.col("most") >= F.col("n"), lacking("n", larger, percent)).otherwise(never)) - 1
-    branches = paths.join(apart, "token").where(total >= asked)
+    branches = paths.join(apart, "token").where((total >= asked) & (F.col("reach") >= needed("n", F.least("n", smaller), percent)))
     branches = branches.withColumn("blocks", F.ceil(F.col("sets") / TRIE_MEMBERS).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # Block i meets each block j >= i once: as side 0 where it is the lower, as side 1 where it is the higher.
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("low"), F.greatest("own", j).alias("high"), (F.col("own") > j).cast("int").alias("side")))
-    rows = ["doc_id", "label", "n", "times", "path", "weights"]
+    rows = ["doc_id", "label", "n", "reach", "total", "times", "path", "weights"]
     dealt = branches.select("token", *rows, F.explode(meets).alias("m")).select("token", "m.low", "m.high", "m.side", *rows)
     met = dealt.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "side", "path").mapInArrow(_met(percent), "head long, doc_id long").distinct()
     more = _verified(met, reps, width, percent, level)

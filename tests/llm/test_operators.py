@@ -312,19 +312,24 @@ def test_trie_finds_what_all_pairs_find():
     own += [np.unique(np.r_[own[0], rng.integers(1, 60, 2)]) for _ in range(60)]
     own = sorted(own, key=lambda x: x.tolist())
     n, label, doc = rng.integers(60, 110, len(own)), rng.integers(0, 40, len(own)), rng.permutation(len(own))
+    place = rng.integers(0, 14, len(own))
     for sides in (np.zeros(len(own), int), (np.arange(len(own)) % 3 == 0).astype(int)):
-        rows = [(7, 0, int(sides.any()), int(sides[i]), int(doc[i]), int(label[i]), int(n[i]), 2, x.tolist(), weigh[x].tolist()) for i, x in enumerate(own)]
-        rows.sort(key=lambda r: (r[3], r[8]))
-        names = ["token", "low", "high", "side", "doc_id", "label", "n", "times", "path", "weights"]
-        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[at : at + 50]]) for at in range(0, len(rows), 50)]
+        columns = ["token", "low", "high", "side", "doc_id", "label", "n", "reach", "total", "times", "path", "weights"]
+        rows = [dict(zip(columns, (7, 0, int(sides.any()), int(sides[i]), int(doc[i]), int(label[i]), int(n[i]), int(n[i] - place[i]), 2 + int(weigh[x].sum()), 2, x.tolist(), weigh[x].tolist()), strict=True)) for i, x in enumerate(own)]
+        rows.sort(key=lambda r: (r["side"], r["path"]))
+        batches = [pa.RecordBatch.from_pylist(rows[at : at + 50]) for at in range(0, len(rows), 50)]
         got = {(r["head"], r["doc_id"]) for b in jaccard._met(75)(batches) for r in b.to_pylist()}
+        # Paths cut short leave more pairs, and lose none.
+        short = [pa.RecordBatch.from_pylist(sorted(({**r, "path": r["path"][:3], "weights": r["weights"][:3]} for r in rows), key=lambda r: (r["side"], r["path"])))]
+        assert got <= {(r["head"], r["doc_id"]) for b in jaccard._met(75)(short) for r in b.to_pylist()}
         want = set()
         for a in rows:
             for b in rows:
-                fits = a[3] < b[3] if sides.any() else a[4] < b[4]
-                shared = 2 + sum(w for t, w in zip(a[8], a[9], strict=True) if t in b[8])
-                if fits and a[5] != b[5] and 100 * min(a[6], b[6]) >= 75 * max(a[6], b[6]) and shared >= jaccard.enough(np.int64(a[6]), np.int64(b[6]), 75):
-                    want.add((min(a[4], b[4]), max(a[4], b[4])))
+                fits = a["side"] < b["side"] if sides.any() else a["doc_id"] < b["doc_id"]
+                shared = 2 + sum(w for t, w in zip(a["path"], a["weights"], strict=True) if t in b["path"])
+                fits = fits and a["label"] != b["label"] and 100 * min(a["n"], b["n"]) >= 75 * max(a["n"], b["n"])
+                if fits and shared >= jaccard.enough(np.int64(a["n"]), np.int64(b["n"]), 75) and 175 * min(a["reach"], b["reach"]) >= 75 * (a["n"] + b["n"]):
+                    want.add((min(a["doc_id"], b["doc_id"]), max(a["doc_id"], b["doc_id"])))
         assert got == want and want
 
 
