@@ -1,25 +1,31 @@
 """SentencePiece encoding and decoding as shortest paths of a weighted transducer.
 
-The transducer is compiled from the model: the normaliser (its character rules, the
-mark for spaces, the mark put before a text), an arc for each piece, and for each
-character without a piece the arcs of its bytes. Composed with an input, an arc leads
-from one character position to another. In a unigram model an arc weighs minus its
-piece's score. In a byte-pair model the merges decide: a path is a merge result exactly
-if each two neighbouring pieces are what merging their joined text gives, so an arc
-after a piece that it doesn't follow has infinite weight; one path of finite weight is
-left, and the tropical shortest path is it.
-
-Inputs are cut where no piece can reach across: before marks for spaces. Distinct parts are composed once per slice in sorted order,
-so that parts with a common beginning share its states.
+The transducer is compiled from the model. The normaliser (the mark put before a text, the
+mark that stands for a space) is composed with the pieces at once: an arc of a piece reads what
+the normaliser would make the piece of, a space where the piece has a mark. A character without
+a piece has the arcs of its bytes. One automaton over all arcs is walked along an input, and
+gives the arcs that end at each character position, the longest first.
+
+In a unigram model an arc weighs minus its piece's score. In a byte-pair model the merges
+decide: a path is a merge result exactly if each two neighbouring pieces are what merging their
+joined text gives, so an arc after a piece that it doesn't follow has infinite weight. Merging
+gives every beginning of a text one result, so of the arcs to a position one at most is finite, and
+the first found is the minimum.
+
+Inputs are cut where no arc can reach across: before spaces, and between characters that no
+piece has side by side. Each distinct part of a slice is composed once, and remembered by the worker.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -27,8 +33,10 @@ from .quality import ragged
 from .words import per_slice, text_column
 
 SPACE = "▁"
-#: Remembered parts per worker; about 200 bytes each.
-REMEMBERED = 300_000
+#: Characters of the parts that a worker remembers before it lets go of those it hasn't met since half of that.
+REMEMBERED = 3_000_000
+#: Pairs of pieces of which a worker knows whether one may follow the other; about 100 bytes each.
+PAIRS = 2_000_000
 
 
 class Transducer:
@@ -52,24 +60,40 @@ class Transducer:
         self.unknown = next((i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN), 0)
         self.text = [b"" if p.type == kinds.CONTROL else bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.replace(SPACE, " ").encode() for p in model.pieces]
         self.longest = max(map(len, self.number))
-        alone = "".join(sorted({p for p in self.number if len(p) == 1} - {SPACE}))
+        self.alone = {p for p in self.number if len(p) == 1} | {" "} if SPACE in self.number else {p for p in self.number if len(p) == 1}
         inner = any(SPACE in p.lstrip(SPACE) for p in self.number)
-        letters = f"[{regex.escape(alone, special_only=False)}]" if alone else "(?!)"
-        #: Runs that no piece reaches out of; a model with marks inside pieces is not cut at them.
-        self.runs = regex.compile(r".+" if inner or not self.escape else f"{SPACE}*[^{SPACE}]+|{SPACE}+", regex.DOTALL)
-        self.known_chars = regex.compile(f"(?:{SPACE}|{letters})+|.", regex.DOTALL)
-        self.follows: dict[tuple[int, int], bool] = {}
+        #: Whether every part starts with a space, and none has one behind its first other character.
+        self.plain = self.prefix and self.escape and not inner and not self.charsmap and not self.trim
+        self.runs = re.compile(r".+" if inner or not self.escape else " *[^ ]+| +", re.DOTALL)
+        self.known_chars = regex.compile(f"(?:[{regex.escape(''.join(sorted(self.alone)), special_only=False)}])+|." if self.alone else ".", regex.DOTALL)
+        self.follows: dict[int, bool] = {}
         self.piece_of = {i: p for p, i in self.number.items()}
+        #: Parts met lately and before, with their ids.
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.held = 0
+        self.compile()
+
+    def compile(self) -> None:
+        """The automaton of all arcs, by what they read."""
+        self.size = {i: len(p) for p, i in self.number.items()}
+        #: Neighbouring characters of arcs.
+        self.joins = {x[k : k + 2] for p in self.number for x in (p.replace(SPACE, " ") if self.escape else p,) for k in range(len(x) - 1)}
+        self.arcs = ahocorasick.Automaton()
+        for p, i in self.number.items():
+            self.arcs.add_word(p.replace(SPACE, " ") if self.escape else p, i)
+        self.arcs.make_automaton()
 
     def normalised(self, text: str) -> str:
+        """What the automaton reads: spaces where the normaliser puts marks."""
         if self.charsmap:
-            return self.charsmap(text)
+            text = self.charsmap(text)
+            return text.replace(SPACE, " ") if self.escape else text
         if self.trim:
-            text = regex.sub(" +", " ", text.strip(" "))
-        if self.prefix and text:
-            text = " " + text
-        return text.replace(" ", SPACE) if self.escape else text
+            text = re.sub(" +", " ", text.strip(" "))
+        if self.escape:
+            text = text.replace(SPACE, " ")
+        return " " + text if self.prefix and text else text
 
     def merged(self, text: str) -> list[str]:
         """What merging gives: always the pair whose union scores best, the leftmost of equals."""
@@ -87,70 +111,107 @@ class Transducer:
         return own
 
     def may_follow(self, a: int, b: int) -> bool:
-        found = self.follows.get((a, b))
-        if found is None:
-            x, y = self.piece_of[a], self.piece_of[b]
-            if len(self.follows) > 400_000:
-                self.follows.clear()
-            found = self.follows[a, b] = self.merged(x + y) == [x, y]
+        x, y = self.piece_of[a], self.piece_of[b]
+        if len(self.follows) >= PAIRS:
+            self.follows.clear()
+        found = self.follows[a << 32 | b] = self.merged(x + y) == [x, y]
         return found
 
-    def shortest(self, parts: list[str]) -> list[tuple[int, ...]]:
-        """The best path of each part of known characters; parts should come sorted."""
-        out, before = [], ""
-        # At each position: (weight so far, last piece, where it starts). The end of a shared beginning is where to go on.
-        states: list[tuple[float, int, int] | None] = [(0.0, -1, 0)]
-        number, longest, merges = self.number, self.longest, self.merges
-        for text in parts:
-            shared = 0
-            limit = min(len(before), len(text))
-            while shared < limit and before[shared] == text[shared]:
-                shared += 1
-            del states[shared + 1 :]
-            for end in range(shared + 1, len(text) + 1):
-                best = None
-                for start in range(max(0, end - longest), end):
-                    state = states[start]
-                    if state is None:
-                        continue
-                    n = number.get(text[start:end])
-                    if n is None:
-                        continue
-                    if merges:
-                        if state[1] < 0 or self.may_follow(state[1], n):
-                            best = (state[0] - self.score[n], n, start)
-                            break
-                    elif best is None or state[0] - self.score[n] < best[0]:
-                        best = (state[0] - self.score[n], n, start)
-                states.append(best)
-            before = text
-            path, at = [], len(text)
-            while at:
-                state = states[at]
-                path.append(state[1])
-                at = state[2]
-            out.append(tuple(reversed(path)))
-        return out
+    def shortest(self, text: str) -> tuple[int, ...]:
+        """The best path of a part whose characters all have pieces."""
+        size, path, at = self.size, [], len(text)
+        last: list[int | None] = [None] * (at + 1)
+        if self.merges:
+            follows = self.follows
+            for end, n in self.arcs.iter(text):
+                end += 1
+                if last[end] is None:
+                    before = end - size[n]
+                    if before:
+                        a = last[before]
+                        if a is None:
+                            continue
+                        finite = follows.get(a << 32 | n)
+                        if finite is None:
+                            finite = self.may_follow(a, n)
+                        if not finite:
+                            continue
+                    last[end] = n
+        else:
+            weight = [0.0] + [float("inf")] * at
+            for end, n in self.arcs.iter(text):
+                own = weight[end + 1 - size[n]] - self.score[n]
+                if own < weight[end + 1]:
+                    weight[end + 1], last[end + 1] = own, n
+        while at:
+            n = last[at]
+            path.append(n)
+            at -= size[n]
+        return tuple(path[::-1])
 
     def fallback(self, char: str) -> tuple[int, ...]:
         return tuple(self.bytes[b] for b in char.encode()) if self.bytes else (self.unknown,)
 
+    def path(self, part: str) -> tuple[int, ...]:
+        """The ids of a part, cut where no arc goes from one character to the next."""
+        joins, a, out = self.joins, 0, ()
+        for i in range(1, len(part)):
+            if part[i - 1 : i + 1] not in joins:
+                out += self.remembered(part[a:i], self.whole)
+                a = i
+        return out + self.remembered(part[a:], self.whole) if a else self.whole(part)
+
+    def whole(self, part: str) -> tuple[int, ...]:
+        if self.alone.issuperset(part):
+            return self.shortest(part)
+        return tuple(i for x in self.known_chars.findall(part) for i in (self.shortest(x) if x[0] in self.alone else self.fallback(x)))
+
+    def remembered(self, part: str, find) -> tuple[int, ...]:
+        ids = self.known.get(part)
+        if ids is None:
+            ids = self.older.get(part)
+            if ids is None:
+                ids = find(part)
+            self.known[part] = ids
+            self.held += len(part)
+            if self.held > REMEMBERED:
+                self.known, self.older, self.held = {}, self.known, 0
+        return ids
+
     def paths(self, parts: list[str]) -> list[tuple[int, ...]]:
-        """The ids of each part, in the order given."""
-        out = {p: self.known[p] for p in parts if p in self.known}
-        missing = sorted({p for p in parts if p not in out})
-        cut = [self.known_chars.findall(p) for p in missing]
-        whole = sorted({x for own in cut for x in own if x[0] in self.number})
-        best = dict(zip(whole, self.shortest(whole), strict=True))
-        for p, own in zip(missing, cut, strict=True):
-            ids = best[own[0]] if len(own) == 1 and own[0] in best else tuple(i for x in own for i in (best.get(x) or self.fallback(x)))
-            out[p] = ids
-            if len(self.known) < REMEMBERED:
-                self.known[p] = ids
-        return [out[p] for p in parts]
+        """The ids of each part."""
+        return [self.remembered(p, self.path) for p in parts]
+
+    def cut(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct parts, the parts of all texts as indexes, how many each text has)."""
+        if self.plain:
+            words = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), SPACE, " "), " ")
+            counts, flat = pc.list_value_length(words).to_numpy().astype(np.int64), words.flatten()
+            bounds = np.r_[0, np.cumsum(counts)]
+            # Only single spaces: each word with the space before it. Other texts are cut below.
+            odd = np.add.reduceat(pc.equal(flat, "").to_numpy(zero_copy_only=False).astype(np.int64), bounds[:-1]) > 0 if len(flat) else np.zeros(0, bool)
+            stays = np.repeat(~odd, counts)
+            coded = flat.filter(pa.array(stays)).dictionary_encode()
+            parts, codes = [" " + w for w in coded.dictionary.to_pylist()], np.zeros(len(flat), np.int64)
+            codes[stays] = coded.indices.to_numpy()
+            if not odd.any():
+                return parts, codes, counts
+        else:
+            odd, bounds, codes, counts, parts = np.ones(len(texts), bool), np.arange(len(texts) + 1), np.zeros(len(texts), np.int64), np.ones(len(texts), np.int64), []
+        number = {p: i for i, p in enumerate(parts)}
+        own = [codes[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        for i in np.flatnonzero(odd):
+            text = texts[i].as_py()
+            own[i] = np.array([number.setdefault(p, len(number)) for p in self.runs.findall(self.normalised(text))] if text else [], np.int64)
+        return list(number), np.concatenate([*own, np.zeros(0, np.int64)]), np.array([len(x) for x in own], np.int64)
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids in self.paths(self.runs.findall(self.normalised(text))) for i in ids]
+        parts, codes, _ = self.cut(pa.array([text], pa.string()))
+        paths = self.paths(parts)
+        return [i for c in codes for i in paths[c]]
+
+    def spelt(self, ids) -> str:
+        return b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that aren't UTF-8 become the replacement character."""
@@ -167,37 +228,31 @@ def sentencepiece_encode(docs: DataFrame, model_file: str, *, id_col: str = "doc
     """One row per input row: n_tokens, n_bytes (tokens that are bytes), ids_crc32 (little-endian 32-bit ids), round_trip, and ids.
 
     ``round_trip`` says that decoding the ids gives the normalised text back. Null and
-    empty texts have no ids. Repeated rows are encoded each on their own; an empty table
+    empty texts have no ids. Repeated rows are encoded each on their own, rows without an id too.
+    A text of any length is read whole. Of equally good paths (unigram models) the one whose last piece
+    is longer is taken. Other columns, whatever their names, are not read. An empty table
     gives an empty result. ``keep_ids=False`` leaves the ids null.
     """
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         t = transducer(model_file)
-        normal = [t.normalised(x) if x else "" for x in part.column(1).to_pylist()]
-        number: dict[str, int] = {}
-        codes, counts = [], []
-        for x in normal:
-            own = t.runs.findall(x)
-            counts.append(len(own))
-            codes += [number.setdefault(p, len(number)) for p in own]
-        paths = t.paths(list(number))
+        parts, codes, counts = t.cut(part.column(1))
+        paths = t.paths(parts)
+        # Parts end with whole characters, so a text comes back exactly if all its parts do.
+        lost = np.fromiter((t.spelt(ids) != p for p, ids in zip(parts, paths, strict=True)), bool, len(parts))
         sizes = np.fromiter(map(len, paths), np.int64, len(paths))
         flat = np.fromiter((i for x in paths for i in x), np.uint32, sizes.sum())
-        starts, codes = np.cumsum(sizes) - sizes, np.array(codes, np.int64)
-        ids = flat[ragged(starts[codes], sizes[codes])].astype("<u4")
-        bounds = np.r_[0, np.cumsum(sizes[codes])][np.r_[0, np.cumsum(counts)]].astype(np.int64)
+        starts, per_part = np.cumsum(sizes) - sizes, sizes[codes]
+        ids = flat[ragged(starts[codes], per_part)].astype("<u4")
+        ends = np.cumsum(counts)
+        bounds, losses = np.r_[0, np.cumsum(per_part)][np.r_[0, ends]], np.r_[0, np.cumsum(lost[codes])][np.r_[0, ends]]
         is_byte = np.zeros(len(t.text), bool)
         is_byte[list(t.bytes.values())] = True
         n_bytes = np.diff(np.r_[0, np.cumsum(is_byte[ids])][bounds])
         lengths = np.diff(bounds)
-        crc, good = [], []
-        for i, x in enumerate(normal):
-            own = ids[bounds[i] : bounds[i + 1]]
-            crc.append(zlib.crc32(own.tobytes()))
-            plain = x.replace(SPACE, " ") if t.escape else x
-            good.append(t.decode(own.tolist()) == (plain[1:] if t.prefix and plain[:1] == " " else plain))
-        kept = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32))) if keep_ids else pa.nulls(len(normal), pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(crc, pa.int64()), pa.array(good), kept], names=["doc_id", "n_tokens", "n_bytes", "ids_crc32", "round_trip", "ids"])
+        crc = [zlib.crc32(ids[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+        kept = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32))) if keep_ids else pa.nulls(part.num_rows, pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.diff(losses) == 0), kept], names=["doc_id", "n_tokens", "n_bytes", "ids_crc32", "round_trip", "ids"])
 
     return text_column(docs, id_col, text_col).mapInArrow(per_slice(run), "doc_id long, n_tokens long, n_bytes long, ids_crc32 long, round_trip boolean, ids array<int>")
 

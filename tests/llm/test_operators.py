@@ -77,8 +77,9 @@ def test_pieces_equal_the_library():
 
 def test_unigram_paths_are_shortest():
     own = pieces.Transducer(PIECES)
-    own.merges, own.number, own.longest = False, {"a": 1, "b": 2, "ab": 3, "ba": 4, "aba": 5}, 3
+    own.merges, own.number = False, {"a": 1, "b": 2, "ab": 3, "ba": 4, "aba": 5}
     own.score = {1: -1.0, 2: -1.5, 3: -1.7, 4: -0.5, 5: -3.0}
+    own.compile()
 
     def best(text):
         if not text:
@@ -86,7 +87,20 @@ def test_unigram_paths_are_shortest():
         return max((own.score[own.number[text[:k]]] + best(text[k:]) for k in range(1, 4) if text[:k] in own.number), default=-1e9)
 
     for text in ("ab", "aba", "abab", "babab", "aabbaabab"):
-        assert sum(own.score[i] for i in own.shortest([text])[0]) == pytest.approx(best(text))
+        assert sum(own.score[i] for i in own.shortest(text)) == pytest.approx(best(text))
+
+
+def test_pieces_are_the_same_whatever_a_worker_remembers(monkeypatch):
+    library, own = sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces.Transducer(PIECES)
+    monkeypatch.setattr(pieces, "REMEMBERED", 200)
+    monkeypatch.setattr(pieces, "PAIRS", 20)
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(("river", "stone,", "éà", "x1.", "日本", "", "a\tb", "▁q")) for _ in range(60)) for _ in range(40)]
+    parts, codes, counts = own.cut(pa.array([*texts, None, ""]))
+    paths, at = own.paths(parts), 0
+    for text, n in zip([*texts, "", ""], counts, strict=True):
+        assert [i for c in codes[at : at + n] for i in paths[c]] == library.encode(text)
+        at += n
 
 
 def test_encode_and_decode(spark, odd, docs):
