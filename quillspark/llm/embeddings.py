@@ -36,6 +36,8 @@ def _rows(column: pa.Array) -> np.ndarray:
 
 
 def _units(rows: np.ndarray) -> np.ndarray:
+    """Scaled by the largest component first, so that squares of any finite vector neither overflow nor vanish."""
+    rows = rows / np.abs(rows).max(1, keepdims=True)
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
 
 
@@ -45,7 +47,7 @@ def _keyed(passes: int, seed: int):
             widths = np.asarray(batch.column(3))
             for width in np.unique(widths):
                 part = batch.filter(pa.array(widths == width))
-                vectors = _rows(part.column(2))
+                vectors = _units(_rows(part.column(2)))
                 for k in range(passes):
                     bits = vectors @ _planes(seed + k, int(width)) > 0
                     key = bits @ (np.int64(1) << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64))
@@ -104,10 +106,10 @@ TILE = 1024
 
 
 def _counted(threshold: float):
-    """Links of each vector (n) in one pair of blocks, and links between components not yet united (u, v with n = 0)."""
+    """Links of each vector (n) to other vectors, ``times`` for each that stands for several, in one pair of blocks, and links between components not yet united (u, v with n = 0)."""
 
     def count(own: pd.DataFrame) -> pd.DataFrame:
-        side, ids, groups = own["side"].to_numpy(), own["vec_id"].to_numpy(), own["component"].to_numpy()
+        side, ids, groups, times = own["side"].to_numpy(), own["vec_id"].to_numpy(), own["component"].to_numpy(), own["times"].to_numpy()
         units = _units(np.stack(own["embedding"].to_numpy()).astype(np.float64))
         alone = own["low"].iat[0] == own["high"].iat[0]
         left = np.flatnonzero(side == 0)
@@ -119,8 +121,8 @@ def _counted(threshold: float):
             if alone:
                 near[np.arange(len(rows)), at + np.arange(len(rows))] = False
             else:
-                n[right] += near.sum(0)
-            n[rows] += near.sum(1)
+                n[right] += times[rows] @ near
+            n[rows] += near @ times[right]
             i, j = np.nonzero(near & (groups[rows][:, None] != groups[right][None, :]))
             apart = np.unique(np.stack([groups[rows[i]], groups[right[j]]], 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
             for x, y in apart.tolist():
@@ -138,40 +140,46 @@ def embedding_dedup(vectors: DataFrame, *, threshold: float = 0.98, passes: int
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Only vectors of equal, non-null labels and equal widths are compared, by cosine in
-    double precision. Vectors that are null, empty, zero, or hold null, NaN or infinite
-    components link with nothing, and are kept. Ids are taken as unique; rows that repeat
-    an id with an equal vector give repeated rows that link as one. An empty table gives
-    an empty result.
+    double precision; a cosine of the threshold itself links. Vectors that are null, empty, zero, or hold null, NaN
+    or infinite components link with nothing, and are kept, as are rows without an id, whose component is null.
+    Rows that repeat an id are one vector, the least by label and components if they differ, and
+    give repeated rows. Vectors of any magnitude and width are taken whole. Other columns, whatever their names,
+    are not read. An empty table gives an empty result. Equal vectors, told by 128 bits of hashes, are compared once.
     """
     kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
     whole = vectors.schema[label_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
     label = F.col(label_col).cast("long") if whole else F.xxhash64(label_col)
     read = vectors.select(F.col(id_col).cast("long").alias("vec_id"), label.alias("label"), F.col(label_col).isNotNull().alias("labelled"), F.col(vector_col).cast(kind).alias("embedding"))
-    number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e150)
-    usable = read.where("labelled and size(embedding) > 0").where(F.forall("embedding", number) & F.exists("embedding", lambda x: F.abs(x) > 1e-150))
-    usable = usable.select("vec_id", "label", "embedding", F.size("embedding").alias("width")).dropDuplicates(["vec_id"])
-    keyed = usable.mapInArrow(_keyed(passes, seed), f"pass int, label long, width int, key long, vec_id long, embedding {kind}")
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    usable = read.where("vec_id is not null and labelled and size(embedding) > 0").where(F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0))
+    usable = usable.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.*")
+    usable = usable.select("*", F.size("embedding").alias("width"), F.xxhash64("label", "embedding").alias("h1"), F.xxhash64(F.lit(1), "label", "embedding").alias("h2"))
+    # Equal vectors: the least stands for all of them.
+    classes = usable.groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "label", "width", "embedding")).alias("v"), F.count("*").alias("times")).select("h1", "h2", "v.*", "times")
+    classes = written(classes, "vector-classes")
+    keyed = classes.select("vec_id", "label", "embedding", "width").mapInArrow(_keyed(passes, seed), f"pass int, label long, width int, key long, vec_id long, embedding {kind}")
     order = ["pass", "label", "width", "key", "vec_id"]
     links = keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_windowed(window, threshold), "u long, v long")
     groups = written(components(links, what="vector-components"), "vector-groups")
     # Labels of many vectors have larger blocks, so that each vector is sent a number of times that grows with the root.
     number_of = F.ceil(F.least(F.count("*") / F.lit(block), F.greatest(F.lit(16), F.sqrt(F.count("*")) / 4))).cast("int")
-    sizes = usable.groupBy("label", "width").agg(number_of.alias("blocks"))
-    members = usable.join(sizes, ["label", "width"]).join(groups.withColumnRenamed("node", "vec_id"), "vec_id", "left").withColumn("component", F.coalesce("component", "vec_id"))
+    sizes = classes.groupBy("label", "width").agg(number_of.alias("blocks"))
+    members = classes.join(sizes, ["label", "width"]).join(groups.withColumnRenamed("node", "vec_id"), "vec_id", "left").withColumn("component", F.coalesce("component", "vec_id"))
     members = members.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     # Block i meets each block j >= i once: as side 0 where it is the lower, as side 1 where it is the higher.
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("low"), F.greatest("own", j).alias("high"), (F.col("own") > j).cast("int").alias("side")))
-    dealt = members.select("vec_id", "label", "width", "component", "embedding", F.explode(meets).alias("m")).select("vec_id", "label", "width", "component", "embedding", "m.*")
+    dealt = members.select("vec_id", "label", "width", "component", "times", "embedding", F.explode(meets).alias("m")).select("vec_id", "label", "width", "component", "times", "embedding", "m.*")
     met = written(dealt.groupBy("label", "width", "low", "high").applyInPandas(_counted(threshold), "u long, v long, n long"), "vector-counts")
-    counts = met.where("u = v").groupBy(F.col("u").alias("vec_id")).agg(F.sum("n").alias("n_links"))
+    counts = met.where("u = v").groupBy(F.col("u").alias("vec_id")).agg(F.sum("n").alias("n"))
     # Groups that the windows left apart: their least ids are linked, and lead on to the least of all.
     led = written(components(met.where("u <> v").select("u", "v"), what="vector-joins"), "vector-leads").select(F.col("node").alias("component_id"), F.col("component").alias("led"))
-    groups = usable.select("vec_id").join(groups.select(F.col("node").alias("vec_id"), "component"), "vec_id", "left").select("vec_id", F.coalesce("component", "vec_id").alias("component_id"))
-    groups = groups.join(led, "component_id", "left").select("vec_id", F.coalesce("led", "component_id").alias("component_id"))
+    found = classes.select("h1", "h2", "vec_id", "times").join(groups.select(F.col("node").alias("vec_id"), "component"), "vec_id", "left").select("h1", "h2", "vec_id", "times", F.coalesce("component", "vec_id").alias("component_id"))
+    found = found.join(led, "component_id", "left").join(counts, "vec_id").select("h1", "h2", F.coalesce("led", "component_id").alias("component_id"), (F.col("n") + F.col("times") - 1).alias("n_links"))
+    found = written(found, "vector-links")
+    of_each = usable.select("vec_id", "h1", "h2").join(found, ["h1", "h2"]).select("vec_id", "component_id", "n_links")
     return (
         read.select("vec_id")
-        .join(groups, "vec_id", "left")
-        .join(counts, "vec_id", "left")
+        .join(of_each, "vec_id", "left")
         .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-        .withColumn("kept", F.col("vec_id") == F.col("component_id"))
+        .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     )

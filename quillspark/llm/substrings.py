@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import meeting, written
+from .shared import forget, meeting, written
 from .words import Words, rolling, sliced, text_column
 
 #: Another odd multiplier, so that windows and runs are hashed independently.
@@ -146,9 +146,11 @@ def repeated_windows(docs: DataFrame, base: int, levels: int) -> tuple[DataFrame
     with a smaller id needs no search: all of it is repeated.
     """
     window = base * 2
-    runs = docs.mapInArrow(_runs(base, window), "run long, value long, doc_id long, place int")
-    repeated = runs.groupBy("run").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low <> high").select("run", "low")
+    # Both are tables, so that the join has a shuffle of its own for each and adaptive execution can split a hot run.
+    runs = written(docs.mapInArrow(_runs(base, window), "run long, value long, doc_id long, place int"), "runs")
+    repeated = written(runs.groupBy("run").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low <> high").select("run", "low"), "repeated-runs")
     places = written(runs.join(repeated, "run").where("place >= 0 or doc_id > low").select("doc_id", "place"), "places")
+    forget(runs, repeated)
     copies = written(places.where("place < 0").select("doc_id").distinct(), "copies")
     places = places.where("place >= 0").join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     places = written(places, "places")
@@ -175,7 +177,7 @@ def substring_dedup(docs: DataFrame, *, base: int = 25, levels: int = 1, id_col:
     words at the same starts. An empty table gives an empty result.
     """
     read = text_column(docs, id_col, text_col)
-    starts, copies = repeated_windows(read, base, levels)
+    starts, copies = repeated_windows(read.where("doc_id is not null"), base, levels)
     starts = starts.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     none = F.lit(None).cast("array<int>")
     marks = starts.select("doc_id", F.lit(False).alias("copy"), "starts").unionByName(copies.select("doc_id", F.lit(True).alias("copy"), none.alias("starts")))

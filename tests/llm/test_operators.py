@@ -133,6 +133,13 @@ def test_embeddings(spark):
     assert embeddings.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_vectors_of_any_magnitude_equal_ones_and_no_id(spark):
+    rows = [(1, 1, [1e160, 0.0]), (2, 1, [1e-160, 0.0]), (3, 1, [5e-324, 0.0]), (4, 1, [1.7e308, 1.7e308]), (5, 1, [3.0, 3.0]), (6, 1, [3.0, 3.0]), (7, 1, [3.0, 3.0]), (7, 1, [3.0, 3.0]), (None, 1, [3.0, 3.0]), (None, None, None), (9, 1, [0.0, -1.0]), (9, 1, [0.0, 1.0])]
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.embedding_dedup(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()]
+    want = [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 3, 4, True), (5, 3, 4, False), (6, 3, 4, False), (7, 3, 4, False), (7, 3, 4, False), (9, 0, 9, True), (9, 0, 9, True), (None, 0, None, True), (None, 0, None, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_sparse_links_in_a_dense_group(spark):
     """One label of near copies, of which only the closest pairs are links: windows alone lose some."""
     rng = np.random.default_rng(11)
@@ -488,6 +495,10 @@ def test_substrings(odd, docs, texts, base, levels):
 
 
 def test_substrings_of_odd_rows(odd):
-    no_null = odd.where("doc_id is not null")
-    assert by_id(substrings.substring_dedup(no_null), "n_words", "n_removed", "kept_sha256") == brute.substrings({d: t for d, t in odd_texts().items() if d is not None})
+    got = by_id(substrings.substring_dedup(odd), "n_words", "n_removed", "kept_sha256")
+    assert got.pop(None)[:2] == (2, 0)
+    assert got == brute.substrings({d: t for d, t in odd_texts().items() if d is not None})
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = by_id(substrings.substring_dedup(odd.sparkSession.createDataFrame([(None, long), (5, long), (3, long)], "doc_id long, text string")), "n_removed")
+    assert rows == {None: (0,), 5: (80,), 3: (0,)}
     assert substrings.substring_dedup(odd.limit(0)).count() == 0
