@@ -269,26 +269,54 @@ def test_toxicity(spark, insulted, odd):
     got = toxicity.toxicity(docs, labels).join(labels, "doc_id")
     assert got.where("held_out and predicted <> toxic").count() == 0 and got.where("held_out").count() > 40
     machine = toxicity.train(docs, labels)
-    margin = dict(zip(w := ["numbskull", "numbxskull", "block-head", "blockheads", "river", "stones"], toxicity.margins([toxicity.unit_of(x) for x in w], machine.table(), machine.bias), strict=True))
+    margin = dict(zip(w := ["numbskull", "numbxskull", "block-head", "blockheads", "river", "stones"], toxicity.unit_values([toxicity.unit_of(x) for x in w], machine.table()), strict=True))
     assert min(margin[x] for x in w[:4]) > max(margin[x] for x in w[4:])
     rows = toxicity.toxicity(odd, labels).collect()
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
     assert toxicity.toxicity(odd.limit(0), labels).count() == 0
-    assert toxicity.toxicity(odd, labels.limit(0)).where("score <> 0").count() == 0
-
-
-def test_kernel_table_equals_the_kernel(insulted):
-    machine_table = np.zeros(toxicity._SIZE**toxicity.ORDER, np.float32)
-    numbers, vectors = toxicity._landmark_vectors(["blockhead", "river"])
-    machine_table[numbers] = vectors @ np.array([0.7, -0.2])
-    for unit in ("blockheads", "bloxckhead", "rivers", "abc"):
-        want = 0.7 * toxicity.kernel(unit, "blockhead") - 0.2 * toxicity.kernel(unit, "river")
-        assert toxicity.margins([unit], machine_table, 0.0)[0] == pytest.approx(want, abs=1e-5)
+    assert {r.score for r in toxicity.toxicity(odd, labels.limit(0)).collect()} == {0.25}
+    one = toxicity.toxicity(docs, labels.where("toxic = 1")).collect()
+    assert {r.predicted for r in one} == {1} and len({r.score for r in one}) == 1
+
+
+def test_sentence_margins_equal_the_kernel_expansion(insulted):
+    """The table's margin of a sentence is that of its best unit: the weighted sum of the unit's kernel with every landmark."""
+    rng = np.random.default_rng(4)
+    landmarks = ["blockhead", "river", "numbskull", "windows"]
+    numbers, vectors = toxicity._landmark_vectors(landmarks)
+    weights = np.array([0.7, -0.2, 0.4, -0.6])
+    table = np.zeros(toxicity._SIZE**toxicity.ORDER, np.float32)
+    table[numbers] = vectors @ weights
+    vocabulary = ["blockheads", "bloxckhead", "rivers", "abc", "a", "winter", "numb", "é1!", "n", "u", "m", "b", "blockheadblockheadblockheadriver"]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(1, 50))) + "." for _ in range(50)]
+    own = toxicity.sentences_of(words.Words(pa.array(texts)))
+    values = toxicity.unit_values(own.units, table)
+    got = np.full(len(own.text), -np.inf)
+    np.maximum.at(got, own.sentence, values[own.unit])
+    for k in range(len(own.text)):
+        units = [own.units[u] for u in own.unit[own.sentence == k]]
+        want = max(sum(w * toxicity.kernel(u, m) for w, m in zip(weights, landmarks, strict=True)) if len(u) >= 3 else 0.0 for u in units)
+        assert got[k] == pytest.approx(want, abs=1e-4)
+
+
+def test_sentences():
+    own = toxicity.sentences_of(words.Words(pa.array(["One two. Three", None, "w " * 40 + "end!", "x"])))
+    assert own.text.tolist() == [0, 0, 2, 2, 3]
+    assert [own.units[u] for u in own.unit[own.sentence == 0]] == ["one", "two"]
+    assert "w" * 23 in own.units and all(len(u) < toxicity.LONGEST for u in own.units)
+
+
+def test_held_out_accuracy(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.toxicity(docs, labels).where("held_out").join(labels, "doc_id").select("score", "toxic").toPandas()
+    rank = got["score"].rank()
+    toxic = got["toxic"] == 1
+    area = (rank[toxic].sum() - toxic.sum() * (toxic.sum() + 1) / 2) / (toxic.sum() * (~toxic).sum())
+    assert area > 0.95
 
 
 def test_spaced_letters_are_a_unit():
-    units, texts = toxicity.units_of(words.Words(pa.array(["you i d i o t now"])))
-    assert "idiot" in [units[i] for i in texts[0]]
+    assert "idiot" in toxicity.sentences_of(words.Words(pa.array(["you i d i o t now"]))).units
 
 
 # 7
