@@ -4,7 +4,7 @@ A line goes if a line before it (by document, then place) equals it, or is withi
 edits allowed. Edits count whole symbols: the words of a line that has at least
 ``WORDS`` of them, otherwise its characters, as also in scripts that use no spaces. How
 many are allowed grows with the shorter line (``STEPS``): in words one from 8 on, two from
-24, three from 48; in characters from 20, 40 and 80.
+24; in characters from 20 and 40.
 
 Equal lines are found by hash alone. The first of each is joined as follows:
 
@@ -36,16 +36,15 @@ from .words import text_column
 
 #: Lines of at least so many words are compared by words, others by characters.
 WORDS = 8
-#: From how many symbols on one, two and three edits are allowed: words, characters.
-STEPS = ((8, 24, 48), (20, 40, 80))
+#: From how many symbols on one, two, ... edits are allowed: words, characters.
+STEPS = ((8, 24), (20, 40))
 MOST = len(STEPS[0])
-SPACES = r"[\x20\x09-\x0D]"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, no, line) of the lines that aren't blank."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-    return lines.where(F.length(F.translate("line", " \t\x0b\x0c\r", "")) > 0)
+    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def _symbols(lines: DataFrame) -> DataFrame:
@@ -65,45 +64,41 @@ def allowed(n: Column, by_word: Column) -> Column:
     return reduce(lambda a, b: a + b, ((n >= s).cast("int") for s in steps))
 
 
-def probes(t: int) -> list[tuple[int, int, int, int]]:
-    """(t, more, segment, shift): where a line of ``more`` more symbols can hold a segment of one with ``t`` edits allowed.
+def probes(t: int, more: int) -> list[tuple[int, int]]:
+    """(segment, shift): where a line of ``more`` more symbols can hold a segment of one with ``t`` edits allowed.
 
     Seen from the left, segment ``k`` (from 0) has at most ``k`` edits before it if it is the
-    first whole one; seen from the right, at most ``t - k`` behind it.
+    first whole one; seen from the right, at most ``t - k`` behind it. So it always lies inside the line.
     """
-    return [(t, more, k, shift) for more in range(t + 1) for k in range(t + 1) for shift in range(max(-k, more - (t - k)), min(k, more + (t - k)) + 1)]
-
-
-def _places(n: Column, t: Column, k: Column) -> tuple[Column, Column]:
-    """(start from 0, length) of segment ``k`` of ``t + 1`` of a line of ``n`` symbols; the later ones are longer."""
-    size = F.floor(n / (t + 1)).cast("int")
-    short = t + 1 - n % (t + 1)
-    return k * size + F.greatest(F.lit(0), k - short), size + (k >= short).cast("int")
+    return [(k, shift) for k in range(t + 1) for shift in range(max(-k, more - (t - k)), min(k, more + (t - k)) + 1)]
 
 
 def _keyed(lines: DataFrame) -> DataFrame:
-    """With the keys that each line is indexed by (``own``), and those that it probes."""
+    """``lines`` with the keys that each is indexed by (``own``), and those that it probes."""
     n, by_word, symbols = F.col("n"), F.col("by_word"), F.col("symbols")
-    key = lambda size, k, start, length: F.xxhash64(by_word, size, k, F.slice(symbols, start + 1, length))
-
-    def index(k: Column) -> Column:
-        start, length = _places(n, F.col("t"), k)
-        return key(n, k, start, length)
-
-    def probe(s: Column) -> Column:
-        other = n - s["more"]
-        start, length = _places(other, s["t"], s["k"])
-        place = start + s["shift"]
-        return F.when((place >= 0) & (place + length <= n), key(other, s["k"], place, length))
-
-    specs = lambda rows: F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(r, ("t", "more", "k", "shift"), strict=True))) for r in rows))
-    every = [r for t in range(1, MOST + 1) for r in probes(t)]
-    # Most lines are as far from a step as edits can reach; the others look at each length on its own.
-    even = F.col("t") == allowed(n - MOST, by_word)
-    fitting = reduce(lambda c, t: c.when(even & (F.col("t") == t), specs(probes(t))), range(2, MOST + 1), F.when(even & (F.col("t") == 1), specs(probes(1))))
-    fitting = fitting.otherwise(F.filter(specs(every), lambda s: allowed(n - s["more"], by_word) == s["t"]))
-    lines = lines.withColumn("t", allowed(n, by_word)).where("t > 0").withColumn("specs", fitting)
-    return lines.select("doc_id", "no", F.transform(F.sequence(F.lit(0), F.col("t")), index).alias("own"), F.array_distinct(F.filter(F.transform("specs", probe), lambda h: h.isNotNull())).alias("probes"))
+    none = F.array().cast("array<bigint>")
+    # Of a line of ``more`` symbols fewer: the edits allowed, and where its segments start, the later ones being longer.
+    for more in range(MOST + 1):
+        t = allowed(n - more, by_word)
+        size, short = F.floor((n - more) / (t + 1)).cast("int"), t + 1 - (n - more) % (t + 1)
+        lines = lines.withColumns({f"t{more}": t, f"size{more}": size, f"short{more}": short})
+    for more in range(MOST + 1):
+        starts = F.array(*(F.lit(k) * F.col(f"size{more}") + F.greatest(F.lit(0), F.lit(k) - F.col(f"short{more}")) for k in range(MOST + 2)))
+        lines = lines.withColumn(f"starts{more}", starts)
+
+    def keys(more: int, places: list[tuple[int, int]]) -> Column:
+        starts = F.col(f"starts{more}")
+        at = lambda s: F.get(starts, s["k"])
+        specs = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(k + 1).alias("next"), F.lit(shift + 1).alias("shift")) for k, shift in places))
+        return F.transform(specs, lambda s: F.xxhash64(by_word, n - more, s["k"], F.slice(symbols, at(s) + s["shift"], F.get(starts, s["next"]) - at(s))))
+
+    def chosen(more: int, places) -> Column:
+        cases = [(F.col(f"t{more}") == t, keys(more, places(t))) for t in range(max(1, more), MOST + 1)]
+        return reduce(lambda c, x: c.when(*x), cases[1:], F.when(*cases[0])).otherwise(none)
+
+    probing = F.concat(*(chosen(more, lambda t, more=more: probes(t, more)) for more in range(MOST + 1)))
+    own = chosen(0, lambda t: [(k, 0) for k in range(t + 1)])
+    return lines.select("doc_id", "no", "h1", "h2", own.alias("own"), F.array_distinct(probing).alias("probes"))
 
 
 def edit_distance(a: Column, b: Column) -> Column:
@@ -151,12 +146,14 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, no): the lines to drop. ``docs`` has doc_id and text, neither null."""
     place = F.struct("doc_id", "no")
     lines = _lines(docs).withColumns({"h1": F.xxhash64("line"), "h2": F.hash("line")})
-    first = lines.groupBy("h1", "h2").agg(F.min(F.struct(place.alias("at"), "line")).alias("f"), F.count("*").alias("times")).select("h1", "h2", "times", "f.at", "f.at.*", "f.line")
-    first = first.select("h1", "h2", "times", "doc_id", "no", "line")
-    keyed = _keyed(_symbols(first.select("doc_id", "no", "line")))
-    firsts = written(first.where("times > 1").select("h1", "h2", F.struct("doc_id", "no").alias("at")), "repeated-lines")
-    equal = lines.select("h1", "h2", "doc_id", "no").join(firsts, ["h1", "h2"]).where(place != F.col("at")).select("doc_id", "no")
-    keyed = written(keyed, "line-keys")
+    # A document's place among all as one number, so that the first of equal lines is found by a hash aggregation.
+    number = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("no")
+    firsts = lines.select("h1", "h2", number.alias("place")).groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("times")).where("times > 1")
+    firsts = written(firsts.drop("times"), "repeated-lines")
+    keyed = _keyed(_symbols(lines)).join(firsts, ["h1", "h2"], "left")
+    table = written(keyed.select("doc_id", "no", "own", "probes", (F.col("place") != number).alias("again")), "line-keys")
+    equal = table.where("again").select("doc_id", "no")
+    keyed = table.where("again is null or not again")
     index = keyed.select(F.explode("own").alias("key"), "doc_id", "no")
     heads = written(index.groupBy("key").agg(F.min(place).alias("head"), F.count("*").alias("lines")).select("key", "lines", F.col("head.doc_id").alias("other_doc"), F.col("head.no").alias("other_no")), "line-heads")
     # First against the first line of each entry.
@@ -182,7 +179,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     to_rest = left.join(right, "key").where(fit).select("doc_id", "no", "other_doc", "other_no").distinct()
     more = _near(to_rest, texts)
     gone = written(equal.union(near).union(more).groupBy("doc_id").agg(F.collect_set("no").alias("gone")), "dropped-lines")
-    forget(firsts, keyed, heads, met, rest, wanted, texts, near, more)
+    forget(firsts, table, heads, met, rest, wanted, texts, near, more)
     return gone
 
 

@@ -102,7 +102,7 @@ def symbols(line):
 
 
 def edits_allowed(by_word, n):
-    return sum(n >= s for s in ((8, 24, 48) if by_word else (20, 40, 80)))
+    return sum(n >= s for s in ((8, 24) if by_word else (20, 40)))
 
 
 def near_lines(a, b):

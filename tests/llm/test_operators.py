@@ -460,7 +460,8 @@ def test_a_near_line_always_probes_the_index(spark):
             own[at : at + rng.choice((0, 1))] = rng.choice(([], ["x"]))
         if brute.near_lines(" ".join(base), " ".join(own)) and base != own:
             rows += [(i, 0, " ".join(base)), (i, 1, " ".join(own))]
-    keys = {(r.doc_id, r.no): (r.n, set(r.own), set(r.probes)) for r in lines._keyed(lines._symbols(spark.createDataFrame(rows, "doc_id long, no int, line string"))).join(lines._symbols(spark.createDataFrame(rows, "doc_id long, no int, line string")).select("doc_id", "no", "n"), ["doc_id", "no"]).collect()}
+    table = lines._symbols(spark.createDataFrame(rows, "doc_id long, no int, line string").withColumns({"h1": F.lit(1), "h2": F.lit(2)}))
+    keys = {(r.doc_id, r.no): (r.n, set(r.own), set(r.probes)) for r in lines._keyed(table).join(table.select("doc_id", "no", "n"), ["doc_id", "no"]).collect()}
     assert len(rows) > 300
     for i in {r[0] for r in rows}:
         short, long = sorted((keys[i, 0], keys[i, 1]), key=lambda x: x[0])
