@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import ERRORS
+
 #: Modules by difficulty; any other has six. Fixed values.
 MODULES = {"beginner": 4, "intermediate": 6, "advanced": 8}
 OTHER_MODULES, DESCRIPTION_CHARS, PROMPT_TITLES = 6, 500, 8
@@ -50,6 +52,19 @@ def rendered(plans: DataFrame) -> DataFrame:
     return plans.withColumn("markdown", F.concat(F.lit("# "), F.col("topic"), F.lit("\n\nWhat is coming.\n\n"), body, F.lit("\n\n# Conclusion\n\nThat was it.")))
 
 
+def deltas(courses: DataFrame, split, markdown: str = "markdown") -> DataFrame:
+    """(slug, difficulty, k, delta): a course's pieces from 0; joined, they are its Markdown. ``split`` makes an array of a text column."""
+    return courses.select("slug", "difficulty", F.posexplode(split(F.col(markdown))).alias("k", "delta"))
+
+
+def plain_text(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, text) of pieces (keys, k, delta, error): joined in order as plain text, without frames; a piece with an error
+    is the last, and what went wrong stands for it. A course has a few dozen pieces."""
+    listed = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "delta", "error"))).alias("l"), F.min(F.when(F.col("error").isNotNull(), F.col("k"))).alias("stop"))
+    sent = F.transform(F.filter("l", lambda x: F.col("stop").isNull() | (x["k"] <= F.col("stop"))), lambda x: F.when(x["error"].isNotNull(), F.concat(F.lit(ERRORS["course"]), x["error"])).otherwise(x["delta"]))
+    return listed.select(*keys, F.array_join(sent, "").alias("text"))
+
+
 def parsed(courses: DataFrame, markdown: str = "markdown") -> DataFrame:
     """Markdown as a course: title, introduction, modules (title, summary, key_concepts, content, citations), conclusion."""
     whole = F.split(F.col(markdown), "\n\n# Conclusion\n\n", 2)

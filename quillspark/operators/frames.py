@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DONE, ERROR = "[DONE]", "[ERROR]"
+#: What goes before an error told in the stream itself, by kind of stream. Fixed values.
+ERRORS = {"chat": "[ERROR] ", "build": "ERROR: ", "course": "\n\n**Error:** "}
 
 
 def frame(payload: Column, mode: str = "spec") -> Column:

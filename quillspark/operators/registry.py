@@ -17,6 +17,11 @@ def latest(versions: DataFrame) -> DataFrame:
     return picked.select("slug", "l.version", *(f"l.{c}" for c in rest), "first_version")
 
 
+def present(experts: DataFrame) -> DataFrame:
+    """Without entries that say nothing: one without a status counts as missing."""
+    return experts.where("status is not null")
+
+
 def get(experts: DataFrame, slug: str) -> DataFrame:
     return experts.where(F.col("slug") == slug)
 

@@ -16,6 +16,7 @@ from ..functions import html as H
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import chat, courses, frames, graph, registry, retrieval
+from ..providers import Providers, paragraphs
 from ..sources import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,6 +266,15 @@ def ctx_assemble_3000(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", F.length("context").alias("n"), F.md5("context").alias("context_md5"))
 
 
+@query
+def chat_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is answered to each query from its context."""
+    context = retrieval.assembled(_hit_texts(spark, sf_dir))
+    asked = _vectors(spark, sf_dir).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("what is "), F.col("vec_id").cast("string")).alias("question"))
+    answer = Providers().answer(F.coalesce("context", F.lit("")), F.col("question"))
+    return asked.join(context, "query_id", "left").select("query_id", answer.alias("answer")).select("query_id", F.length("answer").alias("n"), F.md5("answer").alias("answer_md5"))
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").withColumn("slug", F.concat(F.lit("expert-"), (F.col("conv_id") % 5).cast("string")))
 
@@ -388,6 +398,15 @@ def course_parse_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("slug", "difficulty", F.col("course.title").alias("title"), F.size(m).alias("n_modules"), F.array_join(F.transform(m, lambda x: x["title"]), ";").alias("module_titles"), F.array_join(F.transform(m, lambda x: F.size(x["key_concepts"]).cast("string")), ";").alias("concept_counts"), F.col("course.conclusion").alias("conclusion"))
 
 
+@query
+def course_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Courses streamed a paragraph at a time; custom ones break off at their third."""
+    pieces = courses.deltas(courses.rendered(_plan(spark, sf_dir)), paragraphs)
+    broken = pieces.withColumn("error", F.when((F.col("difficulty") == "custom") & (F.col("k") == 2), "broke off"))
+    out = courses.plain_text(broken, ["slug", "difficulty"])
+    return out.select("slug", "difficulty", F.length("text").alias("n"), F.md5("text").alias("text_md5"))
+
+
 @query
 def ui_preview160(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = F.when(F.col("doc_id") % 9 == 0, F.lit("")).otherwise(F.col("text"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import chat, graph, registry, retrieval
+from ..operators import chat, courses, frames, graph, registry, retrieval
 from ..operators.courses import persona_prompt, title_prompt
 from ..providers import Providers
+from ..settings import settings
 from ..sources import ingest
 from ..sources.store import Store
 
@@ -17,19 +18,20 @@ def build_experts(store: Store, topics: DataFrame, sources: DataFrame, crawls: D
 
     ``sources`` and ``papers`` have the columns of source documents, ``crawls`` (url,
     title, content). All experts are built by one set of jobs. ``mode`` says whether a
-    rebuilt expert's vectors are added to what is there or replace it. If a job fails, the
-    experts are marked failed and the error is raised. Gives the registry's latest rows.
+    rebuilt expert's vectors are added to what is there or replace it. What a build tells goes to table
+    ``progress``. If a job fails, the experts are marked failed, a last frame says why, and the error is raised.
+    Limits come from the session's settings. Gives the registry's latest rows.
     """
-    providers = providers or Providers()
+    providers, said = providers or Providers(), settings(store.spark)
     known = registry.latest(store.read("expert_versions"))
-    wanted = registry.new_expert(topics)
+    wanted = registry.new_expert(topics, said.namespace_prefix, said.storage)
     action = registry.to_build(wanted, known)
     building = wanted.join(action.where("action <> 'skip'").select("slug"), "slug", "left_semi").withColumn("created_at", F.current_timestamp())
     store.append("expert_versions", building.withColumn("version", F.lit(2 * version).cast("long")))
     building = store.read("expert_versions").where(F.col("version") == 2 * version)
     try:
         mine = sources.join(building.select("slug"), "slug", "left_semi")
-        found = ingest.enriched(mine.where(F.col("rank") <= ingest.MAX_SOURCES), crawls)
+        found = ingest.enriched(mine.where(F.col("rank") <= said.max_sources), crawls)
         last = found.groupBy("slug").agg(F.max("rank").alias("last"))
         more = papers.where(F.col("rank") <= ingest.PAPERS).join(last, "slug").withColumn("rank", (F.col("rank") + F.col("last")).cast("int"))
         store.append("sources", ingest.all_sources(found.select(ingest.SOURCE_COLUMNS), more.select(ingest.SOURCE_COLUMNS)))
@@ -37,21 +39,68 @@ def build_experts(store: Store, topics: DataFrame, sources: DataFrame, crawls: D
         docs = ingest.indexable(every).select("slug", F.xxhash64("slug", "rank").alias("doc_id"), F.col("content").alias("text"), ingest.merged_metadata(F.col("url"), F.col("title"), F.col("source_type"), F.coalesce("metadata", F.create_map().cast("map<string,string>"))).alias("metadata"))
         store.replace("chunks", graph.chunks(docs, carry=("slug", "metadata")))
         chunked = store.read("chunks").join(building.select("slug"), "slug", "left_semi")
-        paths = graph.graph_of(chunked, providers.paths)
+        paths = graph.graph_of(chunked, providers.paths, said.max_paths_per_chunk)
         store.replace("relations", paths)
         paths = store.read("relations").join(building.select("slug"), "slug", "left_semi")
         store.replace("nodes", graph.nodes(paths).select("slug", "node_id", F.lit("entity").alias("label"), F.create_map().cast("map<string,string>").alias("properties")))
-        vectors = chunked.select(F.concat(F.lit("expert-"), "slug").alias("namespace"), F.xxhash64("doc_id", "chunk_id").alias("vec_id"), providers.embed(F.col("text")).alias("embedding"), "metadata")
+        vectors = chunked.select(F.concat(F.lit(said.namespace_prefix + "-"), "slug").alias("namespace"), F.xxhash64("doc_id", "chunk_id").alias("vec_id"), providers.embed(F.col("text")).alias("embedding"), "metadata")
         (store.replace if mode == "replace" else store.append)("vectors", vectors.where("embedding is not null"))
         described = title_prompt(every).select("slug", F.concat(F.lit("Made of:\n"), "bullets").alias("made_of"))
         done = registry.finished(building, graph.graph_stats(building, paths), every).join(described, "slug", "left").withColumn("description", F.coalesce("made_of", F.concat(F.lit("All about "), "topic")))
         store.append("expert_versions", done.withColumn("version", F.lit(2 * version + 1).cast("long")))
-    except Exception:
+        store.append("progress", frames.progress(store.read("expert_versions").where(F.col("version") == 2 * version + 1)))
+    except Exception as why:
+        store.append("progress", building.select("slug", F.lit(1).cast("long").alias("seq"), F.lit(0).alias("stage"), F.lit(f"{frames.ERRORS['build']}{why}").alias("payload")))
         store.append("expert_versions", registry.failed(building).withColumn("version", F.lit(2 * version + 1).cast("long")))
         raise
     return registry.latest(store.read("expert_versions"))
 
 
+def converse(store: Store, questions: DataFrame, providers: Providers | None = None) -> DataFrame:
+    """(slug, code, answer): a whole turn of each expert that is asked. ``questions`` has slug and text, one for a slug.
+
+    What the gate refuses gets its code and leaves no trace. Else the question is stored as a message first;
+    then come the nearest chunks, one step in the graph, the last messages and the answer, which is stored
+    only where there is one: a question whose reply fails stays without.
+    """
+    providers, said = providers or Providers(), settings(store.spark)
+    experts = registry.present(registry.latest(store.read("expert_versions")))
+    asked = questions.select("slug", "text").join(experts.select("slug", "status"), "slug", "left")
+    asked = asked.withColumn("code", registry.gate_code(F.lit("chat"), F.col("status"), F.col("text"))).select("slug", "text", "code")
+    passed = asked.where("code = 200").withColumn("query_id", F.xxhash64("slug"))
+    message = lambda rows, role, content: rows.select(F.col("slug").alias("expert_slug"), F.col("seq").cast("long").alias("seq"), F.lit(role).alias("role"), F.col(content).alias("content"), F.current_timestamp().alias("ts"))
+    before = store.read("messages").select(F.col("expert_slug").alias("slug"), "seq", "role", F.col("content").alias("text"))
+    store.append("messages", message(chat.appended(before, passed.withColumn("k", F.lit(1))), "user", "text"))
+    now = store.read("messages").select(F.col("expert_slug").alias("slug"), "seq", "role", F.col("content").alias("text"))
+    turn = now.groupBy("slug").agg(F.max("seq").alias("own")).join(passed, "slug")
+    history = last_messages(now.join(turn.select("slug", "own"), "slug").where("seq < own").drop("own"), said.history)
+    namespace = F.concat(F.lit(said.namespace_prefix + "-"), "slug").alias("namespace")
+    wanted = passed.select(namespace, F.col("query_id").alias("vec_id"), providers.embed(F.col("text")).alias("embedding")).where("embedding is not null")
+    near = retrieval.top_k(wanted, store.read("vectors").select("namespace", "vec_id", "embedding"), said.top_k, ["namespace"])
+    held = store.read("chunks").select(F.xxhash64("doc_id", "chunk_id").alias("vec_id"), "slug", "text", graph.chunk_node(F.col("doc_id"), F.col("chunk_id")).alias("node"))
+    hits = near.join(held, "vec_id").select("query_id", "rank", "slug", "node", "text")
+    payloads = turn_payloads(passed.select("query_id", "slug", "text"), experts, hits, store.read("relations"), history)
+    answered = payloads.join(turn.select("query_id", "text", "own"), "query_id").select("slug", (F.col("own") + 1).alias("seq"), providers.answer(F.col("system_prompt"), F.col("text")).alias("answer"))
+    store.append("messages", message(answered.where("answer is not null"), "assistant", "answer"))
+    last = store.read("messages").groupBy(F.col("expert_slug").alias("slug")).agg(F.max(F.struct("seq", "role", "content")).alias("l"))
+    return asked.join(last, "slug", "left").select("slug", "code", F.when((F.col("code") == 200) & (F.col("l.role") == "assistant"), F.col("l.content")).alias("answer"))
+
+
+def write_courses(store: Store, requests: DataFrame, providers: Providers | None = None) -> DataFrame:
+    """(slug, difficulty, code, text): courses asked for by (slug, difficulty, focus), written piece by piece.
+
+    The pieces go to table ``course_text`` as plain text; a course that breaks off ends with what went wrong.
+    """
+    providers = providers or Providers()
+    experts = registry.present(registry.latest(store.read("expert_versions")))
+    asked = requests.select("slug", "difficulty", "focus").join(experts.select("slug", "status"), "slug", "left")
+    asked = asked.withColumn("code", registry.gate_code(F.lit("course"), F.col("status"), F.lit(""))).drop("status")
+    plans = courses.rendered(courses.plan(experts, asked.where("code = 200").select("slug", "difficulty", "focus")))
+    store.append("course_text", courses.deltas(plans, providers.deltas).withColumn("error", F.lit(None).cast("string")))
+    text = courses.plain_text(store.read("course_text"), ["slug", "difficulty"])
+    return asked.select("slug", "difficulty", "code").join(text, ["slug", "difficulty"], "left")
+
+
 def turn_payloads(questions: DataFrame, experts: DataFrame, hits: DataFrame, edges: DataFrame, history: DataFrame) -> DataFrame:
     """(query_id, slug, system_prompt, messages): what goes to a model for each question.
 

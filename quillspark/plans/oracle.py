@@ -111,6 +111,8 @@ n as (select slug, count(*) as node_count from (select slug, src from e union se
 select distinct query_id, f.slug, rel, other as node from found f join both_ways b on b.slug = f.slug and b.node = 'doc' || vec_id || '#0'""",
     "ctx_assemble_3000": f"""with {TEXTS}, j as (select query_id, string_agg(text, chr(10) order by rank) as joined from found group by query_id), c as (select query_id, case when {blank('joined')} then '' else chr(10) || chr(10) || '[knowledge]' || chr(10) || substring(joined, 1, 3000) || chr(10) || '[/knowledge]' end as context from j)
 select query_id, length(context) as n, md5(context) as context_md5 from c""",
+    "chat_answer": f"""with {TEXTS}, j as (select query_id, string_agg(text, chr(10) order by rank) as joined from found group by query_id), c as (select query_id, case when {blank('joined')} then '' else chr(10) || chr(10) || '[knowledge]' || chr(10) || substring(joined, 1, 3000) || chr(10) || '[/knowledge]' end as context from j),
+a as (select vec_id as query_id, case when {blank("context")} then 'Nothing is known about: what is ' || vec_id else substring({strip('context')}, 1, 400) end as answer from embeddings left join c on query_id = vec_id where vec_id % 20 = 0) select query_id, length(answer) as n, md5(answer) as answer_md5 from a""",
     "chat_history20": f"with {HISTORY} select slug, seq, len(h)::int as n_history, md5(array_to_string(h, '|')) as history_md5 from windowed",
     "chat_payload": f"with {HISTORY} select slug, seq, (len(h) + 1)::int as n_messages, md5(array_to_string(list_append(h, 'user:' || text), '|')) as messages_md5 from windowed where role = 'user'",
     "chat_history_list": f"with {MESSAGES} select slug, seq, role, md5(text) as text_md5 from messages",
@@ -129,6 +131,8 @@ select conv_id, turn, kind, case when kind <> 'create' and status is null then 4
     "course_modules_expand": f"with {PLAN}, m as (select slug, topic, difficulty, unnest(range(1, n_modules + 1))::int as module_no from plan) select slug, difficulty, module_no, 'Part ' || module_no || ' of ' || topic as module_title from m",
     "course_parse_markdown": f"""with {PLAN} select slug, difficulty, topic as title, n_modules, array_to_string(list_transform(range(1, n_modules + 1), lambda i: 'Part ' || i || ' of ' || topic), ';') as module_titles,
 array_to_string(list_transform(range(1, n_modules + 1), lambda i: '2'), ';') as concept_counts, 'That was it.' as conclusion from plan""",
+    "course_text": f"""with {PLAN}, whole as (select slug, difficulty, '# ' || topic || chr(10) || chr(10) || 'What is coming.' || chr(10) || chr(10) || array_to_string(list_transform(range(1, n_modules + 1), lambda i: '## Part ' || i || ' of ' || topic || chr(10) || 'Summary: what part ' || i || ' is about' || chr(10) || 'Concepts: ' || difficulty || ', ' || topic || chr(10) || chr(10) || 'Text of the part.'), chr(10) || chr(10)) || chr(10) || chr(10) || '# Conclusion' || chr(10) || chr(10) || 'That was it.' as md from plan),
+sent as (select slug, difficulty, case when difficulty = 'custom' then array_to_string(string_split(md, chr(10) || chr(10))[1:2], chr(10) || chr(10)) || chr(10) || chr(10) || chr(10) || chr(10) || '**Error:** broke off' else md end as text from whole) select slug, difficulty, length(text) as n, md5(text) as text_md5 from sent""",
     "ui_preview160": "select doc_id, case when doc_id % 9 = 0 or length(text) = 0 then 'No description yet.' when length(text) > 160 then substring(text, 1, 160) || '...' else text end as preview from documents",
     "sse_frame": "with f as (select conv_id, turn, 'data: ' || replace(text, chr(10), chr(10) || 'data: ') || chr(10) || chr(10) as raw from conversations) select conv_id, turn, length(raw) as n, md5(raw) as raw_md5 from f",
     "sse_parse": """with p as (select conv_id, turn, string_split(text, chr(10)) as lines from conversations), spec as (select 'spec' as mode, conv_id, turn, unnest(range(0, len(lines))) as line_no, lines from p),

@@ -58,8 +58,10 @@ def web_sources(hits: DataFrame) -> DataFrame:
 
 def crawled(pages: DataFrame) -> DataFrame:
     """Pages (url, html) as content; the url is a title only where the page has none at all."""
-    read = pages.withColumn("content", H.main_text(F.col("html"))).withColumn("title", F.when(F.col("html").rlike(H.TITLE), H.title(F.col("html"))).otherwise(F.col("url")))
-    return long_enough(read, "content").withColumn("content", X.cut(F.col("content"), CRAWL_CHARS)).drop("html")
+    title = F.when(F.col("html").rlike(H.TITLE), H.title(F.col("html"))).otherwise(F.col("url"))
+    # The generator keeps the filter on the content from computing it once more.
+    read = pages.select(*(c for c in pages.columns if c != "html"), title.alias("title"), F.explode(F.array(H.main_text(F.col("html")))).alias("content"))
+    return long_enough(read, "content").withColumn("content", X.cut(F.col("content"), CRAWL_CHARS))
 
 
 def enriched(sources: DataFrame, crawls: DataFrame, key: str = "url", first: int = ENRICHED) -> DataFrame:

@@ -18,6 +18,7 @@ SCHEMAS = {
     "expert_versions": "slug string, version bigint, topic string, persona_name string, description string, status string, source_count bigint, node_count bigint, relation_count bigint, created_at timestamp, storage_path string, namespace string",
     "messages": "expert_slug string, seq bigint, role string, content string, ts timestamp",
     "progress": "slug string, seq bigint, stage int, payload string",
+    "course_text": "slug string, difficulty string, k int, delta string, error string",
 }
 PARTITIONED = {"chunks": "slug", "nodes": "slug", "relations": "slug", "vectors": "namespace"}
 
