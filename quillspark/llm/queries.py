@@ -87,4 +87,27 @@ QUERIES: dict[str, Query] = {
         op10_substring_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+#: SQL for those that it can express in the time that a check has; the others are held against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_dedup": """with recursive v as (select vec_id, label, embedding::double[] as e, sqrt(list_dot_product(embedding::double[], embedding::double[])) as norm from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_dot_product(a.e, b.e) >= 0.98 * a.norm * b.norm),
+reached(a, b) as (select a, b from links union select r.a, l.b from reached r join links l on r.b = l.a),
+n as (select a, count(*) as n from links group by a), c as (select a, min(b) as b from reached group by a)
+select vec_id, coalesce(n.n, 0) as n_links, least(vec_id, coalesce(c.b, vec_id)) as component_id, vec_id = least(vec_id, coalesce(c.b, vec_id)) as kept from embeddings left join n on n.a = vec_id left join c on c.a = vec_id""",
+    "op7_jaccard_join": r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as shingle from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+links as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 75 * (x.n + y.n - common)),
+reached(a, b) as (select a, b from links union select r.a, l.b from reached r join links l on r.b = l.a), c as (select a, min(b) as b from reached group by a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(c.b, d.doc_id)) as component_id from documents d left join n on n.doc_id = d.doc_id left join c on c.a = d.doc_id""",
+    "op10_substring_dedup": r"""with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (select doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from w where len(w) >= 50)),
+firsts as (select h, min(doc_id) as first from windows group by h),
+gone as (select distinct doc_id, unnest(range(i, i + 50)) as p from windows join firsts using (h) where first < doc_id),
+every as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from w),
+kept as (select doc_id, string_agg(word, ' ' order by p) as kept, count(*) as n from every anti join gone using (doc_id, p) group by doc_id)
+select w.doc_id, len(w.w) as n_words, len(w.w) - coalesce(kept.n, 0) as n_removed, sha256(coalesce(kept.kept, '')) as kept_sha256 from w left join kept using (doc_id)""",
+}
