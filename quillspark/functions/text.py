@@ -12,8 +12,8 @@ TOKEN_BREAK = r"[ \t\n\r\x{0b}\x{0c}]+"
 #: Accented Latin-1 letters and what they fold to, in pairs. Fixed values.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
-#: An id follows "v=" or a slash; a short link has a host of its own. Fixed values.
-VIDEO_IDS = (r"(?:v=|/)([0-9A-Za-z_-]{11})", r"youtu\.be/([0-9A-Za-z_-]{11})")
+#: An id follows "v=" or a slash. Fixed value.
+VIDEO_IDS = (r"(?:v=|/)([0-9A-Za-z_-]{11})",)
 
 
 def strip(text: Column) -> Column:

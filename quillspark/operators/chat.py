@@ -14,16 +14,17 @@ HISTORY = 20
 BLOCK = 512
 
 
-def numbered(messages: DataFrame, conversations_per_block: int = 10_000) -> DataFrame:
+def numbered(messages: DataFrame, conversations_per_block: int = 10_000, turns_per_part: int = 10_000) -> DataFrame:
     """Messages (slug, conv_id, turn, role, text) with ``seq``, their number within the slug by (conv_id, turn), from 1."""
-    counts = messages.groupBy("slug", "conv_id").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("conv_id") / conversations_per_block))
+    messages = messages.withColumn("part", F.floor(F.col("turn") / turns_per_part))
+    counts = messages.groupBy("slug", "conv_id", "part").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("conv_id") / conversations_per_block))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = counts.groupBy("slug", "block").agg(F.sum("n").alias("n"))
     blocks = blocks.select("slug", "block", before(Window.partitionBy("slug").orderBy("block")).alias("block_start"))
-    starts = counts.withColumn("start", before(Window.partitionBy("slug", "block").orderBy("conv_id"))).join(blocks, ["slug", "block"])
-    starts = starts.select("slug", "conv_id", (F.col("start") + F.col("block_start")).alias("start"))
-    turn = F.row_number().over(Window.partitionBy("slug", "conv_id").orderBy("turn"))
-    return messages.withColumn("turn_no", turn).join(starts, ["slug", "conv_id"]).withColumn("seq", (F.col("start") + F.col("turn_no")).cast("long")).drop("start", "turn_no")
+    starts = counts.withColumn("start", before(Window.partitionBy("slug", "block").orderBy("conv_id", "part"))).join(blocks, ["slug", "block"])
+    starts = starts.select("slug", "conv_id", "part", (F.col("start") + F.col("block_start")).alias("start"))
+    turn = F.row_number().over(Window.partitionBy("slug", "conv_id", "part").orderBy("turn"))
+    return messages.withColumn("turn_no", turn).join(starts, ["slug", "conv_id", "part"]).withColumn("seq", (F.col("start") + F.col("turn_no")).cast("long")).drop("start", "turn_no", "part")
 
 
 def with_history(messages: DataFrame, most: int = HISTORY, block: int = BLOCK) -> DataFrame:

@@ -7,6 +7,7 @@ a run that is repeated with the same folder goes on where it stopped.
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,7 +26,12 @@ STAGES = {"view": 1, "signup": 2, "click": 3, "purchase": 4, "error": 5}
 
 
 def work_folder(spark: SparkSession, what: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A folder that the driver and all executors share; a temporary one only where all is one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{shared}/{what}-{uuid.uuid4().hex}"
 
 
@@ -58,8 +64,11 @@ def _digest(messages: list[list[str]]) -> str:
 def remember(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Keep a conversation's last messages. What is held for one conversation is bounded by HISTORY."""
     n, roles, texts = state.get if state.exists else (0, [], [])
-    new = pd.concat(list(parts)).sort_values("turn")
-    n += len(new)
+    new = pd.DataFrame({"turn": [], "role": [], "text": []})
+    for part in parts:
+        n += len(part)
+        new = pd.concat([new, part[["turn", "role", "text"]]]).nlargest(HISTORY, "turn")
+    new = new.sort_values("turn")
     roles, texts = (list(old) + new[c].tolist() for old, c in ((roles, "role"), (texts, "text")))
     roles, texts = roles[-HISTORY:], texts[-HISTORY:]
     state.update((n, roles, texts))

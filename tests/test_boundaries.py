@@ -244,3 +244,17 @@ def test_settings(spark):
     spark.conf.set("quillspark.top_k", "7")
     assert settings(spark).top_k == 7 and settings(spark).history == 20
     spark.conf.unset("quillspark.top_k")
+
+
+def test_numbers_of_a_long_conversation_come_from_its_parts(spark):
+    rows = [("s", c, t, "user", "x") for c in (1, 2, 7) for t in range(25)]
+    df = spark.createDataFrame(rows, "slug string, conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r.seq for r in chat.numbered(df, conversations_per_block=2, turns_per_part=4).collect()}
+    assert got == {(c, t): 25 * k + t + 1 for k, c in enumerate((1, 2, 7)) for t in range(25)}
+
+
+def test_many_queries_meet_vectors_in_a_shuffle(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "vec_id long, embedding array<double>")
+    few = {tuple(r) for r in retrieval.top_k(rows, rows, 3).collect()}
+    monkeypatch.setattr(retrieval, "FEW_QUERIES", 5)
+    assert {tuple(r) for r in retrieval.top_k(rows, rows, 3, query_block=16, vector_block=16).collect()} == few
