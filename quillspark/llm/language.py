@@ -15,7 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -46,10 +46,11 @@ def _per_text(part: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
         yield trigram_counts(np.frombuffer((text or "").encode(), np.uint8))
 
 
-def train(documents: DataFrame, *, max_rows: int = 6000) -> tuple[list[str], np.ndarray]:
-    """(languages, log probability of each cell) of at most ``max_rows`` labelled rows, picked by a hash of the id."""
+def train(documents: DataFrame, *, max_rows: int = 1500) -> tuple[list[str], np.ndarray]:
+    """(languages, log probability of each cell) of at most ``max_rows`` labelled rows of each language, picked by a hash of the id."""
     labelled = documents.where("lang is not null and text is not null").select("doc_id", "lang", F.lower(F.regexp_replace("text", r"[\s\d]+", " ")).alias("text"))
-    picked = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    of_each = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = labelled.where("doc_id is not null").select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(of_each)).where(F.col("rank") <= max_rows).drop("rank")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -60,7 +61,7 @@ def train(documents: DataFrame, *, max_rows: int = 6000) -> tuple[list[str], np.
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([k for k in total for _ in range(CELLS)]), pa.array(np.tile(np.arange(CELLS), len(total))), pa.array(np.concatenate(list(total.values())))], names=["lang", "cell", "n"])
 
-    counted = labelled.join(F.broadcast(picked), "doc_id").mapInArrow(count, "lang string, cell long, n double")
+    counted = labelled.join(F.broadcast(picked), ["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(count, "lang string, cell long, n double")
     rows = counted.where("n > 0").groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r.lang for r in rows})
     table = np.full((len(languages), CELLS), 0.5)
@@ -75,14 +76,15 @@ def _log_softmax(values: list[Column]) -> list[Column]:
     return [v - total for v in values]
 
 
-def language_id(pages: DataFrame, documents: DataFrame, *, host_weight: float = 5.0, suffix_weight: float = 20.0, declared_weight: float = 2.0, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", max_rows: int = 6000) -> DataFrame:
+def language_id(pages: DataFrame, documents: DataFrame, *, host_weight: float = 5.0, suffix_weight: float = 20.0, declared_weight: float = 2.0, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", max_rows: int = 1500) -> DataFrame:
     """One row per page: page_id, lang, confidence, text_lang, declared, host, suffix, n_trigrams.
 
     ``documents`` has labelled texts (doc_id, text, lang). Null or empty pages have no
     text evidence and are judged by what else is known; a missing declaration or address
     is a value of its own. Ties go to the language first in order. With fewer than two
     languages in ``documents`` that language, or null, is every page's. Repeated rows are
-    judged alike. An empty table gives an empty result.
+    judged alike, rows without an id too. Pages of any length are read whole. Other columns, whatever their
+    names, are not read. An empty table gives an empty result.
     """
     languages, table = train(documents, max_rows=max_rows)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))

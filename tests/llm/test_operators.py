@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -180,6 +182,43 @@ def test_declared_language_and_host_decide_what_text_leaves_open(spark, docs):
     assert got.where("page_id = 99").first().lang == "es"
 
 
+def test_posteriors_equal_brute_force(spark, docs):
+    """The fusion, page by page, with the page's own share taken out of every count."""
+    texts = ["los que de la en una para por con", "der die und ist nicht ein eine mit", "the of and to in is that for it", "le la les des est une dans pour", ""]
+    tags = [("es", "a.es"), ("de", "b.a.de"), (None, "a.es"), ("es", "c.fr"), ("en", "d.com"), (None, "")]
+    rows = [(i, f"https://{host}/x" if host else None, (f"<html lang='{tag}'>" if tag else "<html>") + "<p>" + texts[i % 5] * (1 + i % 3)) for i, (tag, host) in enumerate(tags * 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    languages, table = language.train(docs)
+    plain = {r.page_id: r.t for r in pages.select("page_id", language.plain_text(F.col("html")).alias("t")).collect()}
+
+    def normal(v):
+        v = np.array(v) - max(v)
+        return v - np.log(np.exp(v).sum())
+
+    counts = {i: language.trigram_counts(np.frombuffer(t.encode(), np.uint8)) for i, t in plain.items()}
+    heard = {i: normal(table @ c * min(1.0, language.EVIDENCE / max(c.sum(), 1))) for i, c in counts.items()}
+    host = {i: (u or "").removeprefix("https://").removesuffix("/x") for i, u, _ in rows}
+    keys = {i: (host[i].rpartition(".")[2], host[i], tags[i % 6][0] or "") for i in host}
+    share = (sum(np.exp(h) for h in heard.values()) + 1) / (len(rows) + len(languages))
+
+    def smoothed(i, k, towards, weight):
+        own = sum((np.exp(heard[j]) for j in heard if j != i and keys[j][k] == keys[i][k]), np.zeros(len(languages)))
+        return (own + weight * towards) / (own.sum() + weight)
+
+    got = {r.page_id: r for r in language.language_id(pages, docs).collect()}
+    for i in heard:
+        by_host = smoothed(i, 1, smoothed(i, 0, share, 20.0), 5.0)
+        all_says = normal(heard[i] + np.log(by_host) + np.log(smoothed(i, 2, share, 2.0)) - np.log(share))
+        assert got[i].lang == languages[int(np.argmax(all_says))] and got[i].confidence == pytest.approx(np.exp(all_says.max()), abs=1e-6)
+        assert got[i].text_lang == languages[int(np.argmax(heard[i]))]
+
+
+def test_a_rare_language_is_trained(spark, docs):
+    rare = spark.createDataFrame([(10**6 + i, "qwx zzk vvq " * 20, "zz") for i in range(2)], "doc_id long, text string, lang string")
+    languages, _ = language.train(docs.select("doc_id", "text", "lang").unionByName(rare), max_rows=5)
+    assert "zz" in languages and len(languages) > 2
+
+
 # 4
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -194,6 +233,24 @@ def test_quality(odd, docs, texts):
     assert quality.quality_rules(docs, PIECES, lang_col=None).where("band not in ('LATIN', 'other')").count() == 0
 
 
+def test_fertility_and_verdict_equal_brute_force(docs):
+    """Every measure word by word with the library, and the band's rules one by one."""
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for r, text, lang in ((r, r.text, r.lang) for r in quality.quality_rules(docs, PIECES).join(docs.select("doc_id", "text", "lang"), "doc_id").collect()):
+        own = brute.words(text)
+        ids = [i for w in own for i in model.encode(w)]
+        n = max(1, len(ids))
+        shares = [c / n for c in Counter(ids).values()]
+        entropy = -sum(p * math.log2(p) for p in shares)
+        chars, as_bytes = sum(map(len, own)) / n if ids else 0.0, sum(model.is_byte(i) for i in ids) / n
+        assert r.n_tokens == len(ids) and r.chars_per_token == pytest.approx(chars) and r.byte_share == pytest.approx(as_bytes) and r.token_entropy == pytest.approx(entropy, abs=1e-9)
+        assert r.band == lang
+        b = quality.BANDS[lang]
+        symbols = brute.quality(text)[2]
+        want = not brute.quality(text)[5] and b.chars_low <= chars <= b.chars_high and as_bytes <= b.bytes_high and symbols <= b.symbols_high * len(own) and (len(ids) < b.entropy_from or entropy >= b.entropy_low)
+        assert r.kept == want
+
+
 def test_fertility_rejects_noise(spark):
     clean = "The river was of the old town and in it the boats were by the shore that is with a house for her. " * 1
     prose = " ".join(f"{clean}{i} days on" for i in ("one", "two", "three", "four", "five"))
