@@ -27,6 +27,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_level() -> tuple[str, str]:
+    """The byte-level vocabulary for many languages, and its pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,7 +51,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return quality_rules(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), multi=byte_level())
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

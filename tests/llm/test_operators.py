@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import math
 import random
 from collections import Counter
@@ -11,12 +12,13 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 import sentencepiece
+import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import brute
 from conftest import TEXTS
-from quillspark.llm import embeddings, jaccard, language, lines, packing, pieces, quality, secrets, shared, substrings, toxicity, words
+from quillspark.llm import embeddings, jaccard, language, lines, packing, pieces, quality, queries, secrets, shared, substrings, toxicity, words
 
 PIECES, WORDS = P.path("piece_bpe_32k.model"), P.path("word_bpe_49k.json")
 
@@ -236,7 +238,10 @@ def test_quality(odd, docs, texts):
 def test_fertility_and_verdict_equal_brute_force(docs):
     """Every measure word by word with the library, and the band's rules one by one."""
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    for r, text, lang in ((r, r.text, r.lang) for r in quality.quality_rules(docs, PIECES).join(docs.select("doc_id", "text", "lang"), "doc_id").collect()):
+    with open(queries.byte_level()[0], "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    multi = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r, text, lang in ((r, r.text, r.lang) for r in quality.quality_rules(docs, PIECES, multi=queries.byte_level()).join(docs.select("doc_id", "text", "lang"), "doc_id").collect()):
         own = brute.words(text)
         ids = [i for w in own for i in model.encode(w)]
         n = max(1, len(ids))
@@ -247,7 +252,10 @@ def test_fertility_and_verdict_equal_brute_force(docs):
         assert r.band == lang
         b = quality.BANDS[lang]
         symbols = brute.quality(text)[2]
-        want = not brute.quality(text)[5] and b.chars_low <= chars <= b.chars_high and as_bytes <= b.bytes_high and symbols <= b.symbols_high * len(own) and (len(ids) < b.entropy_from or entropy >= b.entropy_low)
+        again = sum(len(multi.encode_ordinary(" " + w)) for w in own)
+        per_multi = sum(map(len, own)) / again if again else 0.0
+        assert r.chars_per_token_multi == pytest.approx(per_multi)
+        want = per_multi >= b.multi_low and not brute.quality(text)[5] and b.chars_low <= chars <= b.chars_high and as_bytes <= b.bytes_high and symbols <= b.symbols_high * len(own) and (len(ids) < b.entropy_from or entropy >= b.entropy_low)
         assert r.kept == want
 
 
@@ -268,7 +276,7 @@ def test_band_is_by_all_letters_of_the_text(spark):
 
 def test_labelled_good_rows_stay_and_noise_goes(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    got = quality.quality_rules(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), PIECES).join(labels, "doc_id").where("not base_failed")
+    got = quality.quality_rules(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), PIECES, multi=queries.byte_level()).join(labels, "doc_id").where("not base_failed")
     good, bad = got.where("quality = 1"), got.where("quality = 0")
     assert good.where("not kept").count() == 0 and good.count() > 100
     assert bad.where("kept").count() <= 0.1 * bad.count()
