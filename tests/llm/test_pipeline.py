@@ -11,7 +11,7 @@ import brute
 import corpus_pipeline as pipeline
 from conftest import SF_DIR, TEXTS
 from quillspark.llm.quality import quality_rules
-from quillspark.llm.queries import QUERIES, vocabulary
+from quillspark.llm.queries import QUERIES, byte_level, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,7 +23,7 @@ def texts_of(df):
 
 def test_stages(spark, docs, texts):
     kept = pipeline.quality(spark, docs, SF_DIR)
-    verdict = {r.doc_id: r.kept for r in quality_rules(docs, vocabulary("piece_bpe_32k.model")).collect()}
+    verdict = {r.doc_id: r.kept for r in quality_rules(docs, vocabulary("piece_bpe_32k.model"), multi=byte_level()).collect()}
     own = {d: t for d, t in texts.items() if verdict[d]}
     assert texts_of(kept) == own
     few = docs.where("doc_id < 60")
@@ -39,12 +39,23 @@ def test_stages(spark, docs, texts):
 
 
 def test_stages_take_odd_and_empty_tables(spark, odd):
-    own = odd.where("doc_id is not null").select(COLUMNS)
-    for table in (own, own.limit(0)):
+    for table in (odd, odd.limit(0)):
         for name, stage in pipeline.STAGES:
             out = stage(spark, table, SF_DIR)
             assert name == "best-fit packing" or out.columns == COLUMNS
-            assert out.count() <= max(1, 10 * len(TEXTS))
+            rows = out.collect()
+            assert len(rows) <= max(1, 10 * len(TEXTS)) * (table is odd)
+            assert table is not odd or any(r.doc_id is None for r in rows)
+
+
+def test_queries_apply_their_operators(spark, texts):
+    """The registered queries themselves, against the definitions."""
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op7_jaccard_join"](spark, SF_DIR).collect()}
+    assert got == brute.jaccard(texts)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in QUERIES["op10_substring_dedup"](spark, SF_DIR).collect()}
+    assert got == brute.substrings(texts)
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in QUERIES["op5_secret_scan"](spark, SF_DIR).collect()}
+    assert got == {d: brute.secrets(t)[:4] for d, t in texts.items()}
 
 
 def test_run(spark):
