@@ -150,7 +150,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     number = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("no")
     firsts = lines.select("h1", "h2", number.alias("place")).groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("times")).where("times > 1")
     firsts = written(firsts.drop("times"), "repeated-lines")
-    keyed = _keyed(_symbols(lines)).join(firsts, ["h1", "h2"], "left")
+    # Both grow with the lines, so they are joined alike at every size.
+    keyed = _keyed(_symbols(lines)).join(firsts.hint("merge"), ["h1", "h2"], "left")
     table = written(keyed.select("doc_id", "no", "own", "probes", (F.col("place") != number).alias("again")), "line-keys")
     equal = table.where("again").select("doc_id", "no")
     keyed = table.where("again is null or not again")
@@ -162,7 +163,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     to_heads = met.select("doc_id", "no", "other_doc", "other_no").distinct()
     # Texts of all that meet: the lines that probe, and those of the entries probed.
     entries = met.where("lines > 1").select("key").distinct()
-    rest = written(index.join(entries, "key").select("key", F.col("doc_id").alias("other_doc"), F.col("no").alias("other_no")), "line-entries")
+    rest = written(index.join(entries.hint("merge"), "key").select("key", F.col("doc_id").alias("other_doc"), F.col("no").alias("other_no")), "line-entries")
     wanted = met.select("doc_id", "no").union(met.select("other_doc", "other_no")).union(rest.select("other_doc", "other_no")).distinct()
     wanted = written(wanted, "line-ids")
     texts = _symbols(_lines(meeting(docs, wanted, "doc_id", "left_semi")).join(wanted, ["doc_id", "no"])).drop("line")
