@@ -95,8 +95,9 @@ def best_fit_packing(
     ``max_documents`` and ``max_attention`` default to what ``max_tokens`` implies
     (a token each, and one full-length piece), so that by themselves they cost no
     sequence. Null and empty texts are the single id ``end_id``. Repeated rows are
-    packed each on their own. An empty table gives an empty result. Ties go to the
-    longer piece, then the lower document id, piece and row.
+    packed each on their own, rows without an id too. An empty table gives an empty result. Ties go to the
+    longer piece, then the lower document id, piece and row. Texts of any length are cut whole. Other columns,
+    whatever their names, are not read.
     """
     capacity = np.array([max_tokens, max_documents or max_tokens, max_attention or float(max_tokens) ** 2], float)
     cut = written(pieces(docs, vocabulary, max_tokens=max_tokens, end_id=end_id, id_col=id_col, text_col=text_col), "pieces")
@@ -108,11 +109,12 @@ def best_fit_packing(
         own = own.sort_values(["length", "doc_id", "piece", "row"], ascending=[False, True, True, True], ignore_index=True)
         length = own["length"].to_numpy(float)
         bins, _ = vector_best_fit(np.stack([length, np.ones_like(length), length**2], 1), capacity, np.array(weights), rule)
-        own["sequence_id"] = bins * shards + int(key[0])
+        own["sequence_id"] = bins * 2 * shards + int(key[0])
         own["offset"] = own.groupby("sequence_id")["length"].cumsum() - own["length"]
         return own[[x.split()[0] for x in PACKED.split(", ")]]
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(shards))
+    # Rows without an id have shards of their own: beside them pandas would hold ids as floating point.
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(shards)) + F.when(F.col("doc_id").isNull(), shards).otherwise(0)
     packed = open_pieces.groupBy(shard.alias("shard")).applyInPandas(pack, PACKED)
     # Full-length pieces are sequences of their own, with negative ids.
     alone = full.select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

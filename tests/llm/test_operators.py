@@ -560,6 +560,16 @@ def test_packing(odd, docs, texts):
     assert packing.best_fit_packing(odd, WORDS).count() >= odd.count()
 
 
+def test_large_ids_beside_none(spark):
+    rows = [(2**60 + k, f"a{k} b c") for k in range(5)] + [(None, "x y"), (None, None)]
+    got = packing.best_fit_packing(spark.createDataFrame(rows, "doc_id long, text string"), WORDS).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(d) for d, _ in rows)
+    by_sequence = {}
+    for r in got:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(offset == sum(n for o, n in own if o < offset) for own in by_sequence.values() for offset, _ in own)
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_every_capacity_holds(rule):
     rng = np.random.default_rng(1)
