@@ -197,7 +197,8 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     held = [f"carried_{k}" for k in range(len(carry))]
     read = text_column(docs, id_col, text_col, *(F.col(c).alias(h) for c, h in zip(carry, held, strict=True)))
     dropped = repeated_lines(read.select("doc_id", "text").where("doc_id is not null and text is not null"))
-    cut = meeting(read, dropped, "doc_id").select("doc_id", "text", "gone", *held)
+    # Joined alike at every size, as ``dropped`` grows with the documents.
+    cut = meeting(read, dropped.select("doc_id"), "doc_id", "left_semi").join(dropped.hint("merge"), "doc_id").select("doc_id", "text", "gone", *held)
     whole = meeting(read, dropped, "doc_id", how="left_anti").select("doc_id", "text", F.array().cast("array<int>").alias("gone"), *held)
     every = F.split("text", "\n", -1)
     kept = F.when(F.size("gone") == 0, every).otherwise(F.filter(every, lambda line, no: ~F.array_contains("gone", no)))
