@@ -181,7 +181,8 @@ def _measured(path: str, multi: tuple[str, str] | None, bands: dict[str, dict]):
         byte_share = n_bytes / np.maximum(n_tokens, 1)
         per_multi = np.full(n, np.nan)
         if multi:
-            again = total(np.fromiter(map(len, _byte_level(*multi).encode_ordinary_batch([" " + w for w in unique], num_threads=1)), np.int64, len(unique)))
+            encode = _byte_level(*multi).encode_ordinary
+            again = total(np.fromiter((len(encode(" " + w)) for w in unique), np.int64, len(unique)))
             per_multi = np.where(again > 0, chars / np.maximum(again, 1), 0.0)
         named = [x if x in bands else "other" for x in langs]
         unknown = np.flatnonzero([x not in bands for x in langs])
