@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import cross_tokenizer_alignment
+from .clustering import centroid_clustering
 from .embeddings import embedding_dedup
 from .jaccard import jaccard_join
 from .language import language_id
 from .lines import line_dedup
+from .nearest import approximate_nearest
 from .packing import best_fit_packing
 from .pieces import sentencepiece_encode
 from .quality import quality_rules
@@ -79,6 +82,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return approximate_nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering(table(spark, sf_dir, "embeddings"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokenizer_alignment(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")).documents
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -92,9 +108,28 @@ QUERIES: dict[str, Query] = {
         op8_line_dedup,
         op9_best_fit_packing,
         op10_substring_dedup,
+        op11_nearest_neighbours,
+        op12_centroid_clustering,
+        op13_tokenizer_alignment,
     )
 }
 
+def clustering_sql(rounds: int = 5) -> str:
+    """Each round as two tables: every vector's least (distance, number), and the floored means; what has no vectors stays."""
+    assigned = "select vec_id, any_value(v) as v, min({'d': d, 'k': k}) as own from (select vec_id, rid, x.v, k, list_sum(list_transform(list_zip(x.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d from x cross join %s c) group by vec_id, rid"
+    parts = ["""x as materialized (select vec_id, row_number() over () as rid, list_transform(embedding, lambda e: floor(256 * e::double)::bigint) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is null or isnan(e) or isinf(e))) = 0)""",
+        "c0 as materialized (select row_number() over (order by sha256('2:' || vec_id), v) - 1 as k, v from x where vec_id is not null order by sha256('2:' || vec_id), v limit 40)"]
+    for i in range(rounds):
+        parts.append(f"a{i} as materialized ({assigned % f'c{i}'})")
+        parts.append(f"""m{i} as (select k, list(m order by dim) as v from (select own.k as k, dim, sum(e) as s, count(*) as n, (s - ((s % n) + n) % n) // n as m from (select own, unnest(v) as e, unnest(range(64)) as dim from a{i}) group by all) group by k)""")
+        parts.append(f"c{i + 1} as materialized (select c.k, coalesce(m.v, c.v)::bigint[] as v from c{i} c left join m{i} m on m.k = c.k)")
+    parts.append(f"last as materialized ({assigned % f'c{rounds}'})")
+    return f"""with {", ".join(parts)}
+select vec_id, own.k::int as cluster, own.d as distance, (sum(own.d) over (partition by own.k))::bigint as cluster_inertia, (sum(own.d) over ())::bigint as inertia, sha256(array_to_string(c.v, ',')) as centroid_sha256
+from last join c{rounds} c on c.k = own.k"""
+
+
 #: SQL for those that it can express in the time that a check has; the others are held against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op2_embedding_dedup": """with recursive v as (select vec_id, label, embedding::double[] as e, sqrt(list_dot_product(embedding::double[], embedding::double[])) as norm from embeddings
@@ -117,4 +152,5 @@ gone as (select distinct doc_id, unnest(range(i, i + 50)) as p from windows join
 every as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from w),
 kept as (select doc_id, string_agg(word, ' ' order by p) as kept, count(*) as n from every anti join gone using (doc_id, p) group by doc_id)
 select w.doc_id, len(w.w) as n_words, len(w.w) - coalesce(kept.n, 0) as n_removed, sha256(coalesce(kept.kept, '')) as kept_sha256 from w left join kept using (doc_id)""",
+    "op12_centroid_clustering": clustering_sql(),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -145,3 +146,68 @@ def cosine_links(vectors, threshold):
                 n[i] += 1
                 n[j] += 1
     return {i: (n[i], groups.find(i)) for i in vectors}
+
+
+def usable(v):
+    return v is not None and len(v) > 0 and all(x is not None and abs(x) < float("inf") for x in v) and any(v)
+
+
+def nearest(vectors, query, k):
+    """The k nearest of {id: vector} to the vector of one id: (id, cosine), equal cosines by id."""
+    import math
+
+    cos = lambda a, b: math.fsum(x * y for x, y in zip(a, b)) / math.sqrt(math.fsum(x * x for x in a)) / math.sqrt(math.fsum(x * x for x in b))  # noqa: E731,B905
+    own = vectors[query]
+    found = [(-cos(own, v), i) for i, v in vectors.items() if i != query and len(v) == len(own)]
+    return [(i, -c) for c, i in sorted(found)[:k]]
+
+
+def clusters(rows, width=64, clusters=40, rounds=5, scale=256, seed=2):
+    """[(id, cluster, distance, inertia of the cluster, of all, digest)] of [(id, vector)]."""
+    import math
+
+    kept = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if v is not None and len(v) == width and all(x is not None and abs(x) < float("inf") for x in v)]
+    first = sorted((hashlib.sha256(f"{seed}:{i}".encode()).hexdigest(), v) for i, v in kept if i is not None)[:clusters]
+    centroids = [v for _, v in first]
+
+    def assigned():
+        return [min((sum((x - y) ** 2 for x, y in zip(v, c, strict=True)), k) for k, c in enumerate(centroids)) for _, v in kept]
+
+    for _ in range(rounds):
+        own = assigned()
+        for k in range(len(centroids)):
+            mine = [v for (_, v), (_, c) in zip(kept, own, strict=True) if c == k]
+            if mine:
+                centroids[k] = [sum(x) // len(mine) for x in zip(*mine, strict=True)]
+    own = assigned() if centroids else []
+    of = Counter()
+    for d, k in own:
+        of[k] += d
+    return sorted(((i, k, d, of[k], sum(of.values()), hashlib.sha256(",".join(map(str, centroids[k])).encode()).hexdigest()) for (i, _), (d, k) in zip(kept, own, strict=True)), key=repr)
+
+
+def alignments(texts, first, second, a_bytes, b_bytes):
+    """{place: (n_a, n_b, n_groups, n_links, n_best, count_sum, digest)} of [text]; ``first`` and ``second`` code a text, the others give an id's bytes."""
+    told, linked = [], []
+    for text in texts:
+        text = text or ""
+        a, b = (first(" " + text), second(text)) if text else ([], [])
+        if b"".join(map(a_bytes, a)) != (" " + text).encode() or b"".join(map(b_bytes, b)) != (" " + text).encode():
+            a = b = []
+        ends = lambda ids, of: list(itertools.accumulate(len(of(x)) for x in ids))
+        a_ends, b_ends = ends(a, a_bytes), ends(b, b_bytes)
+        groups, i, j = [], 0, 0
+        for cut in sorted(set(a_ends) & set(b_ends)):
+            groups.append((a[i : a_ends.index(cut, i) + 1], b[j : b_ends.index(cut, j) + 1]))
+            i, j = i + len(groups[-1][0]), j + len(groups[-1][1])
+        told.append((len(a), len(b), groups))
+        linked.append(Counter((x, y) for left, right in groups for x in left for y in right))
+    counts = Counter(pair for own in linked for pair in own)
+    best = {}
+    for (x, _), n in counts.items():
+        best[x] = max(best.get(x, 0), n)
+    out = {}
+    for i, ((n_a, n_b, groups), own) in enumerate(zip(told, linked, strict=True)):
+        text = ";".join(",".join(map(str, left)) + "|" + ",".join(map(str, right)) for left, right in groups)
+        out[i] = (n_a, n_b, len(groups), sum(own.values()), sum(n for p, n in own.items() if counts[p] == best[p[0]]), sum(n * counts[p] for p, n in own.items()), hashlib.sha256(text.encode()).hexdigest() if text else "")
+    return out

@@ -64,4 +64,4 @@ def test_run(spark):
 
 
 def test_registered_operators():
-    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 14)]
