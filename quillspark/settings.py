@@ -14,8 +14,14 @@ class Settings:
     storage: str = "storage"
     namespace_prefix: str = "expert"
     max_sources: int = 20
+    crawls: int = 5
+    papers: int = 5
     max_paths_per_chunk: int = 15
+    chunk_tokens: int = 512
+    chunk_overlap: int = 64
     top_k: int = 5
+    context_chars: int = 3000
+    near_nodes: int = 20
     history: int = 20
 
 

@@ -1,4 +1,4 @@
-"""Tables of the engine: reading, upserts by appending versions, partition overwrite.
+"""Tables of the engine: reading, upserts by appending versions, partition overwrite, and the files that decide who wins.
 
 Built-in file sources have no MERGE; the expert registry is a log of versions and its
 latest view, which also removes the lost updates of rewriting one file.
@@ -10,17 +10,18 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 SCHEMAS = {
+    "targets": "slug string, namespace string",
     "sources": "slug string, rank int, url string, title string, content string, source_type string, metadata map<string,string>",
     "chunks": "slug string, doc_id bigint, chunk_id int, n_tokens int, text string, metadata map<string,string>",
     "nodes": "slug string, node_id string, label string, properties map<string,string>",
     "relations": "slug string, src string, rel string, dst string, doc_id bigint, chunk_id int",
     "vectors": "namespace string, vec_id bigint, embedding array<float>, metadata map<string,string>",
     "expert_versions": "slug string, version bigint, topic string, persona_name string, description string, status string, source_count bigint, node_count bigint, relation_count bigint, created_at timestamp, storage_path string, namespace string",
-    "messages": "expert_slug string, seq bigint, role string, content string, ts timestamp",
+    "messages": "expert_slug string, seq bigint, role string, content string, ts timestamp, turn string",
     "progress": "slug string, seq bigint, stage int, payload string",
     "course_text": "slug string, difficulty string, k int, delta string, error string",
 }
-PARTITIONED = {"chunks": "slug", "nodes": "slug", "relations": "slug", "vectors": "namespace"}
+PARTITIONED = {"chunks": "slug", "nodes": "slug", "relations": "slug", "vectors": "namespace", "messages": "turn"}
 
 
 class Store:
@@ -33,25 +34,30 @@ class Store:
         return f"{self.folder}/{name}"
 
     def read(self, name: str, must_exist: bool = False) -> DataFrame:
-        """The table; one that was never written is empty, or an error for an index that must exist."""
+        """The table: what was appended, and what published builds hold. One that was never written is empty, or an error for an index that must exist."""
+        from .builds import published
+
+        held = published(self, name)
         try:
-            return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
+            own = self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
         except AnalysisException as e:
-            if must_exist or e.getCondition() != "PATH_NOT_FOUND":
+            if e.getCondition() != "PATH_NOT_FOUND" or (must_exist and held is None):
                 raise
-            return self.spark.createDataFrame([], SCHEMAS[name])
+            own = None
+        if held is None:
+            return self.spark.createDataFrame([], SCHEMAS[name]) if own is None else own
+        return held if own is None else own.unionByName(held)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self._writer(name, rows).mode("append").parquet(self.path(name))
+        self.writer(name, rows).mode("append").parquet(self.path(name))
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """The partitions that ``rows`` has are replaced, others stay; a table without partitions is replaced whole."""
-        self._writer(name, rows).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path(name))
+        self.writer(name, rows).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path(name))
 
-    def _writer(self, name: str, rows: DataFrame):
+    def writer(self, name: str, rows: DataFrame):
         by = PARTITIONED.get(name)
-        columns = [x.split()[0] for x in _fields(SCHEMAS[name])]
-        writer = rows.select(*columns).write
+        writer = rows.select(*fields(SCHEMAS[name])).write
         return writer.partitionBy(by) if by else writer
 
     def create_vector_table(self, table: str) -> bool:
@@ -61,12 +67,53 @@ class Store:
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} (vec_id BIGINT, embedding ARRAY<FLOAT>, metadata MAP<STRING,STRING>, namespace STRING) USING parquet PARTITIONED BY (namespace)")
         return True
 
+    # Files, through the file system that Spark itself uses for the folder.
+
+    def _file(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def create(self, path: str) -> bool:
+        """Create an empty file unless it is there; of several writers one alone is told that it did."""
+        system, at = self._file(path)
+        system.mkdirs(at.getParent())
+        if system.getScheme() == "file":  # Hadoop's own local files look first and then write
+            return self.spark._jvm.java.io.File(system.makeQualified(at).toUri().getPath()).createNewFile()
+        try:
+            system.create(at, False).close()
+        except Exception as e:
+            if "AlreadyExists" in str(e):
+                return False
+            raise
+        return True
+
+    def exists(self, path: str) -> bool:
+        system, at = self._file(path)
+        return system.exists(at)
+
+    def listed(self, path: str) -> list[str]:
+        """Names in a folder; none if it isn't there."""
+        system, at = self._file(path)
+        return sorted(f.getPath().getName() for f in system.listStatus(at) if not f.getPath().getName().startswith((".", "_"))) if system.exists(at) else []
+
+    def rename(self, old: str, new: str) -> None:
+        system, at = self._file(old)
+        to = self.spark._jvm.org.apache.hadoop.fs.Path(new)
+        system.mkdirs(to.getParent())
+        if not system.rename(at, to):
+            raise OSError(f"{old} can't be renamed to {new}")
+
+    def delete(self, path: str) -> bool:
+        system, at = self._file(path)
+        return system.delete(at, True)
+
 
-def _fields(schema: str) -> list[str]:
+def fields(schema: str) -> list[str]:
+    """The column names of a schema."""
     out, depth, start = [], 0, 0
     for i, c in enumerate(schema):
         depth += (c == "<") - (c == ">")
         if c == "," and not depth:
             out.append(schema[start:i].strip())
             start = i + 1
-    return [*out, schema[start:].strip()]
+    return [x.split()[0] for x in (*out, schema[start:].strip())]
