@@ -38,8 +38,10 @@ from .words import sliced, text_column
 SPACE = "▁"
 #: Classes of first ids, and the records that a run and one part of a merge hold.
 CLASSES, RUN_RECORDS, MERGED_RECORDS = 32, 1_000_000, 4_000_000
-#: Characters of words whose tokens a worker remembers; with what hangs on them about 40 bytes each.
-REMEMBERED = 3_000_000
+#: Text in a slice: the more, the fewer words are coded again.
+SLICE_BYTES = 4 << 20
+#: Words that are coded as one text, and the links of a group beyond which equal tokens of it are counted first.
+TOGETHER, LARGE_GROUP = 1000, 4096
 DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 RUNS = f"row long, class int, run long, base long, n long, pairs binary, links binary, {DIGEST}"
 CUT = re.compile(r"(?<! )(?= [^\s])")
@@ -53,20 +55,33 @@ def byte_alphabet() -> dict[str, int]:
 
 
 @dataclass
-class Word:
-    """A word's alignment: its groups as told, and its pairs (first id << 32 | second id) with their links."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    told: str
-    pairs: list[int]
-    links: list[int]
-    exact: bool
+class Words:
+    """Alignments of some words: of each the number of its tokens of either side, groups and links, its groups as told (each with a ``;`` at
+    its end), whether both sides give it back, and, of its links, the pairs (first id << 32 | second id) and how many."""
+
+    counts: np.ndarray
+    told: list[str]
+    exact: np.ndarray
+    starts: np.ndarray
+    pairs: np.ndarray
+    links: np.ndarray
+
+    @staticmethod
+    def joined(parts: list[Words]) -> Words:
+        if not parts:
+            return Words(np.zeros((0, 4), np.int64), [], np.zeros(0, bool), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        sizes = np.concatenate([np.diff(w.starts) for w in parts])
+        counts, exact, pairs, links = (np.concatenate([getattr(w, x) for w in parts]) for x in ("counts", "exact", "pairs", "links"))
+        return Words(counts, [t for w in parts for t in w.told], exact, np.r_[0, np.cumsum(sizes)], pairs, links)
+
+    def taken(self, order: np.ndarray) -> Words:
+        sizes = np.diff(self.starts)[order]
+        at = ragged(self.starts[order], sizes)
+        return Words(self.counts[order], [self.told[i] for i in order.tolist()], self.exact[order], np.r_[0, np.cumsum(sizes)], self.pairs[at], self.links[at])
 
 
 class Aligner:
-    """Both tokenizers, and words lately met."""
+    """Both tokenizers, with what each of their ids is."""
 
     def __init__(self, byte_level: str, pieces: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -83,8 +98,12 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
         # Words can be coded alone if no piece reaches over a space.
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in names)
-        self.known: dict[str, Word] = {}
-        self.held = 0
+        sizes = lambda x: np.array([len(x.get(i, b"")) for i in range(max(x) + 1)], np.int64)
+        self.a_size, self.b_size = sizes(self.a_bytes), sizes(dict(enumerate(self.b_bytes)))
+        self.a_opens = np.array([self.a_bytes.get(i, b"")[:1] == b" " for i in range(len(self.a_size))], bool)
+        self.b_opens = np.array([x[:1] == b" " for x in self.b_bytes], bool)
+        # An id in decimal with what may follow it: another of its side, the other side, the next group.
+        self.a_told, self.b_told = ([np.array([f"{i}{x}" for i in range(len(n))], object) for x in ends] for n, ends in ((self.a_size, ",|"), (self.b_size, ",;")))
 
     def words(self, text: str) -> list[str]:
         """The parts of a text, which starts with a space: cut before single spaces where a word follows."""
@@ -108,16 +127,18 @@ class Aligner:
             parts = [] if blank[i] else self.words(" " + texts[i].as_py())
             own[i] = np.array([names.setdefault(w, len(names)) for w in parts], np.int64)
         sizes = np.array([len(x) for x in own], np.int64)
-        used, codes = np.unique(np.concatenate([*own, np.zeros(0, np.int64)]), return_inverse=True)
+        codes = np.concatenate([*own, np.zeros(0, np.int64)])
+        used = np.flatnonzero(np.bincount(codes, minlength=len(names)))
+        place = np.zeros(len(names), np.int64)
+        place[used] = np.arange(len(used))
         names = list(names)
-        return [names[i] for i in used], codes, sizes
+        return [names[i] for i in used.tolist()], place[codes], sizes
 
-    def aligned(self, text: str, a_ids: list[int]) -> Word:
-        """The alignment of a text that starts with a space."""
-        b_ids = self.second.encode(text[1:])
+    def aligned(self, text: str) -> Words:
+        """The alignment of one text that starts with a space, whatever it is."""
+        a_ids, b_ids = self.first.encode(text, add_special_tokens=False).ids, self.second.encode(text[1:])
         a_parts, b_parts = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-        raw = text.encode("utf-8", "replace")
-        exact = b"".join(a_parts) == raw == b"".join(b_parts)
+        exact = b"".join(a_parts) == text.encode("utf-8", "replace") == b"".join(b_parts)
         told, pairs, n_groups = [], {}, 0
         a = b = a_end = b_end = i = j = 0
         while exact and i < len(a_ids):
@@ -127,29 +148,52 @@ class Aligner:
                     a_end, i = a_end + len(a_parts[i]), i + 1
                 else:
                     b_end, j = b_end + len(b_parts[j]), j + 1
-            left, right, n_groups = a_ids[a:i], b_ids[b:j], n_groups + 1
-            told.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-            if len(left) == len(right) == 1:
-                x = left[0] << 32 | right[0]
-                pairs[x] = pairs.get(x, 0) + 1
-            else:
-                for u, k in _counted(left):
-                    for v, n in _counted(right):
-                        pairs[u << 32 | v] = pairs.get(u << 32 | v, 0) + k * n
+            n_groups += 1
+            told.append(",".join(map(str, a_ids[a:i])) + "|" + ",".join(map(str, b_ids[b:j])) + ";")
+            for u, k in _counted(a_ids[a:i]):
+                for v, n in _counted(b_ids[b:j]):
+                    pairs[u << 32 | v] = pairs.get(u << 32 | v, 0) + k * n
             a, b = i, j
-        return Word(len(a_ids), len(b_ids), n_groups, ";".join(told), list(pairs), list(pairs.values()), exact)
+        counts = np.array([[len(a_ids), len(b_ids), n_groups, sum(pairs.values())]], np.int64)
+        return Words(counts, ["".join(told)], np.array([exact]), np.array([0, len(pairs)]), np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64))
 
-    def alignments(self, words: list[str]) -> list[Word]:
-        out = [self.known.get(w) for w in words]
-        new = [i for i, x in enumerate(out) if x is None]
-        for at in range(0, len(new), 1000):
-            some = new[at : at + 1000]
-            for i, e in zip(some, self.first.encode_batch_fast([words[i] for i in some], add_special_tokens=False), strict=True):
-                out[i] = self.aligned(words[i], e.ids)
-                if self.held + len(words[i]) <= REMEMBERED:
-                    self.held += len(words[i])
-                    self.known[words[i]] = out[i]
-        return out
+    def many(self, words: list[str]) -> Words:
+        """The alignments of plain words (a space, then none), coded as one text: tokens that start with a space are words' first ones."""
+        text = "".join(words)
+        a, b = np.array(self.first.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64), np.array(self.second.encode(text[1:]), np.int64)
+        raw = text.encode("utf-8", "replace")
+        plain = b"".join(map(self.a_bytes.__getitem__, a.tolist())) == raw == b"".join(map(self.b_bytes.__getitem__, b.tolist()))
+        if not plain or self.a_opens[a].sum() != len(words) or self.b_opens[b].sum() != len(words):
+            return Words.joined([self.aligned(w) for w in words])
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        cuts = a_end[np.isin(a_end, b_end, assume_unique=True)]
+        a_group, b_group = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
+        n_a, n_b = np.bincount(a_group, minlength=len(cuts)), np.bincount(b_group, minlength=len(cuts))
+        if (n_a * n_b).max() > LARGE_GROUP:
+            return Words.joined([self.aligned(w) for w in words])
+        # Each token of the one side with each of the other in its group.
+        a_from, b_from = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        right = ragged(b_from[a_group], n_b[a_group])
+        pairs = np.repeat(a, n_b[a_group]) << 32 | b[right]
+        # The words of groups; a group lies in one word.
+        first = np.flatnonzero(self.a_opens[a])
+        of_group = np.searchsorted(first, a_from, side="right") - 1
+        n = len(words)
+        of_word = lambda x: np.bincount(of_group, x, minlength=n).astype(np.int64)
+        counts = np.stack([of_word(n_a), of_word(n_b), of_word(np.ones(len(cuts))), of_word(n_a * n_b)], 1)
+        # Groups as told: the ids in order, each with what follows it.
+        a_last, b_last = np.r_[a_group[1:] != a_group[:-1], True], np.r_[b_group[1:] != b_group[:-1], True]
+        told = np.empty(len(a) + len(b), object)
+        told[np.arange(len(a)) + b_from[a_group]] = np.where(a_last, self.a_told[1][a], self.a_told[0][a])
+        told[np.arange(len(b)) + (a_from + n_a)[b_group]] = np.where(b_last, self.b_told[1][b], self.b_told[0][b])
+        flat, ends = told.tolist(), np.r_[0, np.cumsum(counts[:, 0] + counts[:, 1])].tolist()
+        return Words(counts, ["".join(flat[x:y]) for x, y in zip(ends, ends[1:], strict=False)], np.ones(n, bool), np.r_[0, np.cumsum(counts[:, 3])], pairs, np.ones(len(pairs), np.int64))
+
+    def alignments(self, words: list[str]) -> Words:
+        plain = np.array([self.by_word and len(w) > 1 and w[0] == " " and not w[1].isspace() and " " not in w[1:] and SPACE not in w for w in words], bool)
+        some, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+        parts = [self.many([words[i] for i in some[at : at + TOGETHER].tolist()]) for at in range(0, len(some), TOGETHER)]
+        return Words.joined([*parts, *(self.aligned(words[i]) for i in others.tolist())]).taken(np.argsort(np.r_[some, others], kind="stable"))
 
 
 def _counted(ids: list[int]) -> list[tuple[int, int]]:
@@ -253,46 +297,37 @@ def _coded(byte_level: str, pieces: str):
             for run in _spilt(base, key, row - base, links):
                 yield batch(1, {"run": [base + run["class"]]} | {k: [v] for k, v in run.items()})
 
-        for part in sliced(batches):
+        for part in sliced(batches, limit=SLICE_BYTES):
             ids, rows = part.column(0).to_pylist(), part.column(2).to_numpy()
             words, codes, sizes = both.cut(part.column(1))
             found = both.alignments(words)
             bounds = np.r_[0, np.cumsum(sizes)]
-            exact = np.array([w.exact for w in found], bool)
-            sums = np.array([(w.n_a, w.n_b, w.n_groups, sum(w.links)) for w in found], np.int64).reshape(-1, 4)
-            told = [w.told for w in found]
-            starts = np.cumsum([0, *(len(w.pairs) for w in found)])
-            pairs = np.array([p for w in found for p in w.pairs], np.int64)
-            links = np.array([n for w in found for n in w.links], np.int64)
-            out, docs, of_code, times = [], [], [], []
-            for i in range(part.num_rows):
-                own = codes[bounds[i] : bounds[i + 1]]
-                if not len(own):
-                    out.append((0, 0, 0, 0, ""))
-                    continue
-                if exact[own].all():
-                    code, n = np.unique(own, return_counts=True)
-                    docs.append(np.full(len(code), i))
-                    of_code.append(code)
-                    times.append(n)
-                    out.append((*(n @ sums[code]).tolist(), hashlib.sha256(";".join([told[c] for c in own.tolist()]).encode()).hexdigest()))
-                else:
+            doc = np.repeat(np.arange(part.num_rows), sizes)
+            lacking = np.bincount(doc, ~found.exact[codes], minlength=part.num_rows) > 0
+            sums = np.stack([np.bincount(doc, found.counts[codes, k], minlength=part.num_rows) for k in range(4)], 1).astype(np.int64)
+            told, listed, hashes = found.told, codes.tolist(), []
+            for i, (x, y) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
+                groups = "".join(map(told.__getitem__, listed[x:y]))
+                if lacking[i]:
                     # Bytes that a word lacks may be made up for by another one: the whole text decides.
-                    text = " " + part.column(1)[i].as_py()
-                    whole = both.aligned(text, both.first.encode(text, add_special_tokens=False).ids)
-                    out.append((whole.n_a, whole.n_b, whole.n_groups, sum(whole.links), hashlib.sha256(whole.told.encode()).hexdigest()) if whole.exact else (0, 0, 0, 0, ""))
-                    if whole.exact:
-                        held.append((np.sort(x := np.array(whole.pairs, np.int64)), np.full(len(x), rows[i]), np.array(whole.links, np.int64)[np.argsort(x)]))
-            yield batch(len(out), {"row": rows, "class": np.full(len(out), -1)} | dict(zip(digest, [ids, *zip(*out, strict=True)], strict=True)))
-            if docs:
-                docs, of_code, times = np.concatenate(docs), np.concatenate(of_code), np.concatenate(times)
-                lengths = np.diff(starts)[of_code]
-                at = ragged(starts[of_code], lengths)
-                doc, key, n = np.repeat(docs, lengths), pairs[at], np.repeat(times, lengths) * links[at]
-                order = np.lexsort((key, doc))
-                doc, key, n = doc[order], key[order], n[order]
-                first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+                    whole = both.aligned(" " + part.column(1)[i].as_py())
+                    groups, sums[i] = (whole.told[0], whole.counts[0]) if whole.exact[0] else ("", 0)
+                    order = np.argsort(whole.pairs)
+                    held.append((whole.pairs[order], np.full(len(order), rows[i]), whole.links[order]))
+                hashes.append(hashlib.sha256(groups[:-1].encode()).hexdigest() if groups else "")
+            yield batch(part.num_rows, {"row": rows, "class": np.full(part.num_rows, -1)} | dict(zip(digest, [ids, *sums.T, hashes], strict=True)))
+            # The words of each document with their times, then their pairs.
+            used, times = np.unique((doc * len(words) + codes)[~lacking[doc]], return_counts=True)
+            doc, codes = used // max(1, len(words)), used % max(1, len(words))
+            lengths = np.diff(found.starts)[codes]
+            at = ragged(found.starts[codes], lengths)
+            doc, key, n = np.repeat(doc, lengths), found.pairs[at], np.repeat(times, lengths) * found.links[at]
+            order = np.lexsort((key, doc))
+            doc, key, n = doc[order], key[order], n[order]
+            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])][: len(key)])
+            if len(first):
                 held.append((key[first], rows[doc[first]], np.add.reduceat(n, first)))
+            held[:] = [x for x in held if len(x[0])]
             if held:
                 base = min(int(x[1].min()) for x in held)
                 if sum(len(x[0]) for x in held) >= RUN_RECORDS:

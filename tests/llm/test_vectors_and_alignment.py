@@ -174,7 +174,9 @@ def test_alignment(spark):
     assert {i: got[ids[i]] for i in range(len(ids))} == wanted
 
 
-def test_alignment_of_odd_texts(spark, monkeypatch):
+@pytest.mark.parametrize("large", [4096, 1])
+def test_alignment_of_odd_texts(spark, monkeypatch, large):
+    monkeypatch.setattr(alignment, "LARGE_GROUP", large)
     rng = random.Random(4)
     texts = ODD + TEXTS + ["".join(rng.choice(" abc\n\t▁é日.,'s ") for _ in range(30)) for _ in range(200)]
     compared(spark, texts)
@@ -209,7 +211,7 @@ def test_alignment_in_many_runs_and_parts(spark, monkeypatch):
     """Small runs, of classes dealt to several parts, among them a pair that all documents hold."""
     monkeypatch.setattr(alignment, "RUN_RECORDS", 20)
     monkeypatch.setattr(alignment, "MERGED_RECORDS", 50)
-    monkeypatch.setattr(alignment, "REMEMBERED", 10)
+    monkeypatch.setattr(alignment, "TOGETHER", 7)
     rng = random.Random(6)
     compared(spark, ["the " + " ".join(rng.choice(("river", "of", "Straße", "don't", "x-1", "the")) for _ in range(12)) for _ in range(120)])
 
