@@ -16,6 +16,7 @@ from ..functions import html as H
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import chat, courses, frames, graph, registry, retrieval
+from . import flows
 from ..providers import Providers, paragraphs
 from ..sources import ingest
 
@@ -470,3 +471,53 @@ def stream_chat_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.jobs import chat_stream
 
     return chat_stream(spark, f"{sf_dir}/conversations.parquet")
+
+
+@query
+def stream_chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories kept as a stream's state; every eighth conversation begins by resetting its expert's."""
+    from ..streaming.conversations import history_stream
+    from ..streaming.jobs import input_stream
+
+    rows = input_stream(spark, f"{sf_dir}/conversations.parquet")
+    slug = F.concat(F.lit("expert-"), (F.col("conv_id") % 5).cast("string"))
+    # Turns of a conversation stay far below the factor.
+    seq = (F.col("conv_id") * 1_000_000 + F.col("turn")).cast("long")
+    asked = rows.select(slug.alias("slug"), seq.alias("seq"), "role", F.col("text").alias("content"), ((F.col("conv_id") % 8 == 0) & (F.col("turn") == 0)).alias("reset"))
+    return history_stream(spark, asked).select("slug", "seq", "n_history", "history_md5")
+
+
+@query
+def build_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Experts of all documents built in two halves, the first of which fails before its vectors and is built again, taking over what was finished."""
+    from ..sources.builds import Log
+    from ..sources.store import Store
+    from ..streaming.jobs import work_folder
+
+    store = Store(spark, work_folder(spark, "build"))
+    sources = as_sources(documents(spark, sf_dir))
+    topics = sources.select(F.col("slug").alias("topic")).distinct()
+    halves = [topics.where(F.crc32("topic") % 2 == k) for k in (0, 1)]
+    none = sources.limit(0)
+
+    def broken(text: Column) -> Column:
+        raise RuntimeError("no service")
+
+    def build(half: DataFrame, providers: Providers, resume: int | None = None) -> None:
+        limit = spark.conf.get("quillspark.max_sources", None)
+        spark.conf.set("quillspark.max_sources", str(2**31 - 1))
+        try:
+            flows.build_experts(store, half, sources.withColumn("slug", X.slug(F.col("slug"))), none.select("url", "title", "content"), none, providers, resume=resume)
+        finally:
+            spark.conf.unset("quillspark.max_sources") if limit is None else spark.conf.set("quillspark.max_sources", limit)
+
+    try:
+        build(halves[0], Providers(embed=broken))
+    except RuntimeError:
+        build(halves[0], Providers(), Log(store).begun()[-1])
+    build(halves[1], Providers())
+    count = lambda name, key: store.read(name).groupBy(F.regexp_replace(key, "^expert-", "").alias("slug")).agg(F.count("*").alias(f"n_{name}"))
+    own = registry.latest(store.read("expert_versions")).select("slug", "status", "source_count", "node_count", "relation_count")
+    for name, key in (("sources", "slug"), ("chunks", "slug"), ("nodes", "slug"), ("vectors", "namespace")):
+        own = own.join(count(name, key), "slug", "left")
+    return own.na.fill(0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,12 +18,21 @@ from ..sources.store import Store
 
 
 def build_experts(
-    store: Store, topics: DataFrame, sources: DataFrame, crawls: DataFrame, papers: DataFrame, providers: Providers | None = None, version: int = 1, mode: str = "append", resume: int | None = None
+    store: Store,
+    topics: DataFrame,
+    sources: DataFrame | Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]],
+    crawls: DataFrame | None = None,
+    papers: DataFrame | None = None,
+    providers: Providers | None = None,
+    version: int = 1,
+    mode: str = "append",
+    resume: int | None = None,
 ) -> DataFrame:
     """Build every expert of ``topics`` (topic) that isn't ready: sources, chunks, graph, vectors, registry.
 
     ``sources`` and ``papers`` have the columns of source documents, ``crawls`` (url,
-    title, content). All experts are built by one set of jobs, as one transaction: readers see all of a build's tables or none, and
+    title, content); or ``sources`` is a function that gives all three for the experts being built (slug, topic), and fails the build if it
+    fails. All experts are built by one set of jobs, as one transaction: readers see all of a build's tables or none, and
     a build that failed leaves nothing behind that a later one would count. Its number is the next of the log, ``version`` at least. ``mode``
     says whether a rebuilt expert's vectors are added to what is there or replace it; its other tables are always replaced. What a build
     tells goes to table ``progress``. If a job fails, the experts are marked failed, a last frame says why, and the error
@@ -46,7 +56,7 @@ def build_experts(
         if resume is not None and _same_targets(building, Build(store, resume)):
             build.adopt(resume)
         targets = build.stage("targets", lambda: building.select("slug", F.concat(F.lit(said.namespace_prefix + "-"), "slug").alias("namespace")))
-        every = build.stage("sources", lambda: _all_sources(targets, sources, crawls, papers, said))
+        every = build.stage("sources", lambda: _all_sources(targets, *(sources(building) if callable(sources) else (sources, crawls, papers)), said))
         chunked = build.stage("chunks", lambda: graph.chunks(_documents(every), said.chunk_tokens, said.chunk_overlap, ("slug", "metadata")))
         paths = build.stage("relations", lambda: graph.graph_of(chunked, providers.paths, said.max_paths_per_chunk))
         build.stage("nodes", lambda: graph.nodes(paths).select("slug", "node_id", F.lit("entity").alias("label"), F.create_map().cast("map<string,string>").alias("properties")))
@@ -113,8 +123,7 @@ def converse(store: Store, questions: DataFrame, providers: Providers | None = N
     only = (lambda rows, column, prefix="": rows.where(F.col(column).isin([prefix + x for x in named]))) if len(named) <= NAMED else (lambda rows, *_: rows)
     message = lambda rows, role, content, name: rows.select(F.col("slug").alias("expert_slug"), F.col("seq").cast("long").alias("seq"), F.lit(role).alias("role"), F.col(content).alias("content"), F.current_timestamp().alias("ts"), F.lit(name).alias("turn"))
     told = lambda: only(store.read("messages"), "expert_slug").select(F.col("expert_slug").alias("slug"), "seq", "role", F.col("content").alias("text"), "turn")
-    for name in (asked_as, answered_as):  # an empty table would replace nothing
-        store.delete(f"{store.path('messages')}/turn={name}")
+    forget_turn(store, turn)  # an empty table would replace nothing
     before = told().where(~F.col("turn").isin(asked_as, answered_as))
     store.replace("messages", message(chat.appended(before, passed.withColumn("k", F.lit(1))), "user", "text", asked_as))
     own = told().where(F.col("turn") == asked_as).groupBy("slug").agg(F.max("seq").alias("own"))
@@ -132,18 +141,24 @@ def converse(store: Store, questions: DataFrame, providers: Providers | None = N
     return asked.join(last, "slug", "left").select("slug", "code", "answer")
 
 
+def forget_turn(store: Store, turn: str) -> None:
+    """Delete what a turn of this name stored."""
+    for what in ("asked", "answered"):
+        store.delete(f"{store.path('messages')}/turn={turn}-{what}")
+
+
 def write_courses(store: Store, requests: DataFrame, providers: Providers | None = None) -> DataFrame:
     """(slug, difficulty, code, text): courses asked for by (slug, difficulty, focus), written piece by piece.
 
     The pieces go to table ``course_text`` as plain text; a course that breaks off ends with what went wrong.
     """
-    providers = providers or Providers()
+    providers, batch = providers or Providers(), uuid.uuid4().hex
     experts = registry.present(registry.latest(store.read("expert_versions")))
     asked = requests.select("slug", "difficulty", "focus").join(experts.select("slug", "status"), "slug", "left")
     asked = asked.withColumn("code", registry.gate_code(F.lit("course"), F.col("status"), F.lit(""))).drop("status")
     plans = courses.rendered(courses.plan(experts, asked.where("code = 200").select("slug", "difficulty", "focus")))
-    store.append("course_text", courses.deltas(plans, providers.deltas).withColumn("error", F.lit(None).cast("string")))
-    text = courses.plain_text(store.read("course_text"), ["slug", "difficulty"])
+    store.append("course_text", courses.deltas(plans, providers.deltas).select("*", F.lit(None).cast("string").alias("error"), F.lit(batch).alias("batch")))
+    text = courses.plain_text(store.read("course_text").where(F.col("batch") == batch), ["slug", "difficulty"])
     return asked.select("slug", "difficulty", "code").join(text, ["slug", "difficulty"], "left")
 
 

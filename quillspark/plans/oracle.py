@@ -147,4 +147,12 @@ select slug, stage::int as stage, stage || '/5 ' || what || ': ' || case stage w
     "stream_progress": """with f as (select 'u' || user_id as slug, case event_type when 'view' then 1 when 'signup' then 2 when 'click' then 3 when 'purchase' then 4 when 'error' then 5 end as stage, event_type from events)
 select slug, stage::int as stage, count(*) as n_frames, sum(length('data: ' || stage || '/5 ' || event_type) + 2)::bigint as n_chars from f where stage is not null group by slug, stage""",
     "stream_chat_state": """select conv_id, count(*) as n_messages, least(count(*), 20)::int as n_history, arg_max(role, turn) as last_role, md5(array_to_string(list_slice(list(role || ':' || text order by turn), -20, -1), '|')) as history_md5 from conversations group by conv_id""",
+    "stream_chat_history": """with m as (select 'expert-' || (conv_id % 5) as slug, conv_id * 1000000 + turn as seq, role, text, conv_id % 8 = 0 and turn = 0 as reset from conversations),
+parts as (select *, count(*) filter (where reset) over (partition by slug order by seq) as part from m),
+windowed as (select *, coalesce(list(role || ':' || text) over (partition by slug, part order by seq rows between 20 preceding and 1 preceding), []) as h from parts)
+select slug, seq, len(h)::int as n_history, md5(array_to_string(h, '|')) as history_md5 from windowed""",
+    "build_restart": f"""with {PATHS}, ends as (select slug, src as n from paths union select slug, dst from paths), n as (select slug, count(*) as c from ends group by slug),
+r as (select slug, count(*) as c from (select distinct slug, src, rel, dst from paths) group by slug), k as (select slug, count(*) as c from chunks group by slug), d as (select source as slug, count(*) as c from documents group by source)
+select {slug('d.slug')} as slug, 'ready' as status, d.c as source_count, coalesce(n.c, 0) as node_count, coalesce(r.c, 0) as relation_count, d.c as n_sources, coalesce(k.c, 0) as n_chunks, coalesce(n.c, 0) as n_nodes, coalesce(k.c, 0) as n_vectors
+from d left join n using (slug) left join r using (slug) left join k using (slug)""",
 }

@@ -23,6 +23,7 @@ class Settings:
     context_chars: int = 3000
     near_nodes: int = 20
     history: int = 20
+    max_tokens: int = 8192
 
 
 def settings(spark: SparkSession) -> Settings:

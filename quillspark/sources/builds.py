@@ -143,4 +143,4 @@ def vacuum(store: Store, keep: tuple[int, ...] = ()) -> list[int]:
     return gone
 
 
-assert set(TABLES) <= set(SCHEMAS) and set(PARTITIONED) <= {*TABLES, "messages"}
+assert set(TABLES) <= set(SCHEMAS) and set(PARTITIONED) <= {*TABLES, "messages", "course_text"}

@@ -6,6 +6,8 @@ latest view, which also removes the lost updates of rewriting one file.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +21,9 @@ SCHEMAS = {
     "expert_versions": "slug string, version bigint, topic string, persona_name string, description string, status string, source_count bigint, node_count bigint, relation_count bigint, created_at timestamp, storage_path string, namespace string",
     "messages": "expert_slug string, seq bigint, role string, content string, ts timestamp, turn string",
     "progress": "slug string, seq bigint, stage int, payload string",
-    "course_text": "slug string, difficulty string, k int, delta string, error string",
+    "course_text": "slug string, difficulty string, k int, delta string, error string, batch string",
 }
-PARTITIONED = {"chunks": "slug", "nodes": "slug", "relations": "slug", "vectors": "namespace", "messages": "turn"}
+PARTITIONED = {"chunks": "slug", "nodes": "slug", "relations": "slug", "vectors": "namespace", "messages": "turn", "course_text": "batch"}
 
 
 class Store:
@@ -67,6 +69,9 @@ class Store:
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} (vec_id BIGINT, embedding ARRAY<FLOAT>, metadata MAP<STRING,STRING>, namespace STRING) USING parquet PARTITIONED BY (namespace)")
         return True
 
+    def scratch(self) -> Scratch:
+        return Scratch(self)
+
     # Files, through the file system that Spark itself uses for the folder.
 
     def _file(self, path: str):
@@ -108,6 +113,20 @@ class Store:
         return system.delete(at, True)
 
 
+class Scratch:
+    """Tables of one run, written and reread; ``forget`` deletes them."""
+
+    def __init__(self, store: Store):
+        self.store, self.folder = store, f"{store.folder}/scratch/{uuid.uuid4().hex}"
+
+    def __call__(self, name: str, rows: DataFrame) -> DataFrame:
+        rows.write.parquet(f"{self.folder}/{name}")
+        return self.store.spark.read.schema(rows.schema).parquet(f"{self.folder}/{name}")
+
+    def forget(self) -> None:
+        self.store.delete(self.folder)
+
+
 def fields(schema: str) -> list[str]:
     """The column names of a schema."""
     out, depth, start = [], 0, 0

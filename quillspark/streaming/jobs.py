@@ -35,9 +35,11 @@ def work_folder(spark: SparkSession, what: str) -> str:
     return f"{shared}/{what}-{uuid.uuid4().hex}"
 
 
-def input_stream(spark: SparkSession, path: str) -> DataFrame:
+def input_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Parquet files under a path, or the one file there; a stream takes a single file only as a pattern."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def progress_frames(events: DataFrame) -> DataFrame:
