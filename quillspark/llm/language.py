@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from .words import sliced
 CELLS = 1 << 14
 #: Trigrams of one text count as at most so many independent ones.
 EVIDENCE = 150.0
+#: Pages scored at once; 8 * CELLS bytes each.
+SCORED_ROWS = 128
 
 
 def plain_text(html: Column) -> Column:
@@ -76,6 +79,21 @@ def _log_softmax(values: list[Column]) -> list[Column]:
     return [v - total for v in values]
 
 
+def _scored(table: np.ndarray):
+    """Log likelihoods of pages (page_id, host, suffix, declared, text) by language. A page's counts are a dense row, so slices hold few rows as well as few bytes."""
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, "text"):
+            for at, rows in enumerate(batched(_per_text(part, 4), SCORED_ROWS)):
+                counts = np.stack(rows)
+                n = counts.sum(1)
+                ll = counts @ table.T * np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]
+                own = part.slice(at * SCORED_ROWS, len(rows))
+                yield pa.RecordBatch.from_arrays([*own.columns[:4], pa.array(n.astype(np.int64)), *(pa.array(ll[:, k]) for k in range(len(table)))], names=["page_id", "host", "suffix", "declared", "n_trigrams", *(f"l{k}" for k in range(len(table)))])
+
+    return score
+
+
 def language_id(pages: DataFrame, documents: DataFrame, *, host_weight: float = 5.0, suffix_weight: float = 20.0, declared_weight: float = 2.0, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", max_rows: int = 1500) -> DataFrame:
     """One row per page: page_id, lang, confidence, text_lang, declared, host, suffix, n_trigrams.
 
@@ -100,16 +118,9 @@ def language_id(pages: DataFrame, documents: DataFrame, *, host_weight: float =
         only = F.lit(languages[0] if languages else None).cast("string")
         return read.select("page_id", only.alias("lang"), F.lit(1.0).alias("confidence"), only.alias("text_lang"), "declared", "host", "suffix", F.lit(0).cast("long").alias("n_trigrams"))
 
-    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batches, "text"):
-            counts = np.stack(list(_per_text(part, 4)))
-            n = counts.sum(1)
-            ll = counts @ table.T * np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]
-            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(n.astype(np.int64)), *(pa.array(ll[:, k]) for k in range(len(languages)))], names=["page_id", "host", "suffix", "declared", "n_trigrams", *(f"l{k}" for k in range(len(languages)))])
-
     every = range(len(languages))
     schema = "page_id long, host string, suffix string, declared string, n_trigrams long" + "".join(f", l{k} double" for k in every)
-    heard = read.mapInArrow(score, schema)
+    heard = read.mapInArrow(_scored(table), schema)
     heard = heard.select("page_id", "host", "suffix", "declared", "n_trigrams", *(x.alias(f"l{k}") for k, x in enumerate(_log_softmax([F.col(f"l{k}") for k in every]))))
     heard = written(heard.withColumns({f"p{k}": F.exp(f"l{k}") for k in every}), "text-evidence")
 

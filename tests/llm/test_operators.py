@@ -606,3 +606,18 @@ def test_substrings_of_odd_rows(odd):
     rows = by_id(substrings.substring_dedup(odd.sparkSession.createDataFrame([(None, long), (5, long), (3, long)], "doc_id long, text string")), "n_removed")
     assert rows == {None: (0,), 5: (80,), 3: (0,)}
     assert substrings.substring_dedup(odd.limit(0)).count() == 0
+
+
+def test_many_small_pages_take_little_memory():
+    import tracemalloc
+
+    n = 10_000
+    rows = pa.RecordBatch.from_arrays([pa.array(range(n)), *(pa.array(["h"] * n) for _ in range(3)), pa.array(["", None, "some words", "x"] * (n // 4))], names=["page_id", "host", "suffix", "declared", "text"])
+    table = np.log(np.random.default_rng(0).random((3, language.CELLS)))
+    tracemalloc.start()
+    got = list(language._scored(table)([rows]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in got) == n and most < 100 << 20
+    whole = pa.Table.from_batches(got)
+    assert whole["page_id"].to_pylist() == list(range(n)) and whole["n_trigrams"].to_pylist()[:4] == [0, 0, 8, 0]
