@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import chat, courses, frames, graph, registry, retrieval
+from ..operators import chat, courses, frames, graph, registry, retrieval, sentences
 from ..operators.courses import persona_prompt, title_prompt
-from ..providers import Providers
+from ..providers import Providers, chosen
 from ..settings import Settings, settings
 from ..sources import ingest
 from ..sources.builds import Build, Log
@@ -39,7 +39,7 @@ def build_experts(
     is raised; ``resume`` names such a build of the same topics and the same input, whose finished tables are taken over.
     Limits come from the session's settings. Gives the registry's latest rows.
     """
-    providers, said, log = providers or Providers(), settings(store.spark), Log(store)
+    providers, said, log = providers or chosen(store.spark), settings(store.spark), Log(store)
     known = registry.latest(store.read("expert_versions"))
     wanted = registry.new_expert(topics.select("topic").distinct(), said.namespace_prefix, said.storage)
     # Topics that differ in signs alone are one expert, by the least of them.
@@ -57,7 +57,7 @@ def build_experts(
             build.adopt(resume)
         targets = build.stage("targets", lambda: building.select("slug", F.concat(F.lit(said.namespace_prefix + "-"), "slug").alias("namespace")))
         every = build.stage("sources", lambda: _all_sources(targets, *(sources(building) if callable(sources) else (sources, crawls, papers)), said))
-        chunked = build.stage("chunks", lambda: graph.chunks(_documents(every), said.chunk_tokens, said.chunk_overlap, ("slug", "metadata")))
+        chunked = build.stage("chunks", lambda: _chunks(_documents(every), said))
         paths = build.stage("relations", lambda: graph.graph_of(chunked, providers.paths, said.max_paths_per_chunk))
         build.stage("nodes", lambda: graph.nodes(paths).select("slug", "node_id", F.lit("entity").alias("label"), F.create_map().cast("map<string,string>").alias("properties")))
         build.stage("vectors", lambda: _vectors(chunked, providers, said))
@@ -96,6 +96,16 @@ def _documents(every: DataFrame) -> DataFrame:
     return ingest.indexable(every).select("slug", F.xxhash64("slug", "rank").alias("doc_id"), F.col("content").alias("text"), merged.alias("metadata"))
 
 
+def _chunks(docs: DataFrame, said: Settings) -> DataFrame:
+    """Windows of words, or, as the settings say, chunks that end where sentences do."""
+    sizes = (docs, said.chunk_tokens, said.chunk_overlap, ("slug", "metadata"))
+    if said.chunks == "sentences":
+        return sentences.sentence_chunks(*sizes, vocabulary=said.chunk_vocabulary or None)
+    if said.chunks != "windows":
+        raise ValueError(f"quillspark.chunks must be windows or sentences, not {said.chunks!r}")
+    return graph.chunks(*sizes)
+
+
 def _vectors(chunked: DataFrame, providers: Providers, said: Settings) -> DataFrame:
     namespace = F.concat(F.lit(said.namespace_prefix + "-"), "slug").alias("namespace")
     return chunked.select(namespace, F.xxhash64("doc_id", "chunk_id").alias("vec_id"), providers.embed(F.col("text")).alias("embedding"), "metadata").where("embedding is not null")
@@ -113,7 +123,7 @@ def converse(store: Store, questions: DataFrame, providers: Providers | None = N
     only where there is one: a question whose reply fails stays without. A turn that is run again under the same name
     (``turn``) replaces the messages that it stored before, so it counts once.
     """
-    providers, said, turn = providers or Providers(), settings(store.spark), turn or uuid.uuid4().hex
+    providers, said, turn = providers or chosen(store.spark), settings(store.spark), turn or uuid.uuid4().hex
     asked_as, answered_as = f"{turn}-asked", f"{turn}-answered"
     experts = registry.present(registry.latest(store.read("expert_versions")))
     asked = questions.select("slug", "text").join(experts.select("slug", "status"), "slug", "left")
@@ -152,7 +162,7 @@ def write_courses(store: Store, requests: DataFrame, providers: Providers | None
 
     The pieces go to table ``course_text`` as plain text; a course that breaks off ends with what went wrong.
     """
-    providers, batch = providers or Providers(), uuid.uuid4().hex
+    providers, batch = providers or chosen(store.spark), uuid.uuid4().hex
     experts = registry.present(registry.latest(store.read("expert_versions")))
     asked = requests.select("slug", "difficulty", "focus").join(experts.select("slug", "status"), "slug", "left")
     asked = asked.withColumn("code", registry.gate_code(F.lit("course"), F.col("status"), F.lit(""))).drop("status")

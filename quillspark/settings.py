@@ -17,6 +17,8 @@ class Settings:
     crawls: int = 5
     papers: int = 5
     max_paths_per_chunk: int = 15
+    chunks: str = "windows"
+    chunk_vocabulary: str = ""
     chunk_tokens: int = 512
     chunk_overlap: int = 64
     top_k: int = 5
