@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,13 @@ TOKEN_BREAK = r"[ \t\n\r\x{0b}\x{0c}]+"
 #: Accented Latin-1 letters and what they fold to, in pairs. Fixed values.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Other letters that one letter stands for: more of Latin, Greek, Cyrillic. Fixed values.
+OTHERS = "øðđħıłŧāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżžșț" + "αάβγδεέζηήιίϊκλμνξοόπρσςτυύϋωώ" + "абвгдезийклмнопрстуфыэіѕ"
+FOLDED_OTHERS = "oddhiltaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzzst" + "aabgdeezeeiiiklmnxooprsstuuuoo" + "abvgdeziiklmnoprstufyeis"
+#: Letters that several stand for. Fixed values.
+SPELT = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "θ": "th", "φ": "ph", "χ": "kh", "ψ": "ps", "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "iu", "я": "ia", "ё": "io", "ї": "yi", "є": "ie", "ґ": "g", "ў": "u"}
+#: Letters that nothing stands for. Fixed values.
+SILENT = "ъь"
 #: An id follows "v=" or a slash. Fixed value.
 VIDEO_IDS = (r"(?:v=|/)([0-9A-Za-z_-]{11})",)
 
@@ -38,8 +47,9 @@ def or_else(text: Column, other: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    """Lower case, accents folded, other runs a hyphen, none at the ends; null where nothing is left."""
-    plain = F.regexp_replace(F.translate(F.lower(text), ACCENTED, FOLDED), "[^a-z0-9]+", "-")
+    """Lower case, accents folded, Greek and Cyrillic spelt in Latin, other runs a hyphen, none at the ends; null where nothing is left."""
+    spelt = reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), SPELT.items(), F.translate(F.lower(text), ACCENTED + OTHERS + SILENT, FOLDED + FOLDED_OTHERS))
+    plain = F.regexp_replace(spelt, "[^a-z0-9]+", "-")
     return F.nullif(F.regexp_replace(plain, "^-|-$", ""), F.lit(""))
 
 

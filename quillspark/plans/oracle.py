@@ -23,7 +23,10 @@ def video(x: str) -> str:
 
 
 def slug(x: str) -> str:
-    return f"nullif(regexp_replace(regexp_replace(translate(lower({x}), '{X.ACCENTED}', '{X.FOLDED}'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), '')"
+    spelt = f"translate(lower({x}), '{X.ACCENTED + X.OTHERS + X.SILENT}', '{X.FOLDED + X.FOLDED_OTHERS}')"
+    for letter, others in X.SPELT.items():
+        spelt = f"replace({spelt}, '{letter}', '{others}')"
+    return f"nullif(regexp_replace(regexp_replace({spelt}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), '')"
 
 
 def ws_tokens(x: str) -> str:

@@ -9,7 +9,9 @@ that replaced them. A build that fails leaves partitions that nothing reads; ano
 
 from __future__ import annotations
 
+import hashlib
 import re
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,6 +129,40 @@ def published(store: Store, name: str) -> DataFrame | None:
     return rows.select(*columns)
 
 
+def compare_and_set(store: Store, slug: str, expected: int | None, **changes: object) -> int:
+    """Write a new version of one expert if its last one is still ``expected`` (none: it mustn't be there); gives the version.
+
+    Of several writers who have seen the same version one alone wins, by creating the file that claims what comes after it; the others get
+    ``Conflict`` and may look again. A version that is claimed but never written, by a writer that was lost, is taken over by ``retake``.
+    """
+    from ..operators.registry import latest
+
+    now = latest(store.read("expert_versions").where(F.col("slug") == slug)).collect()
+    found = now[0].version if now else None
+    if found != expected:
+        raise Conflict(f"{slug} is at version {found}, not {expected}")
+    names = fields(SCHEMAS["expert_versions"])
+    if wrong := set(changes) - set(names):
+        raise ValueError(f"an expert has no {', '.join(sorted(wrong))}")
+    if not store.create(claim_of(store, slug, expected)):
+        raise Conflict(f"version {expected} of {slug} has been followed by another writer")
+    version = 2 * Log(store).begin((expected or 0) // 2 + 1)
+    held = {c: now[0][c] for c in names} if now else {"status": "pending", "created_at": datetime.now(UTC), "source_count": 0, "node_count": 0, "relation_count": 0, "description": ""}
+    row = {**dict.fromkeys(names), **held, **changes, "slug": slug, "version": version}
+    store.append("expert_versions", store.spark.createDataFrame([tuple(row[c] for c in names)], SCHEMAS["expert_versions"]))
+    return version
+
+
+def retake(store: Store, slug: str, expected: int | None) -> bool:
+    """Withdraw the claim of a writer that is known to be lost; whether there was one."""
+    return store.delete(claim_of(store, slug, expected))
+
+
+def claim_of(store: Store, slug: str, expected: int | None) -> str:
+    """The file that claims the version after ``expected``."""
+    return f"{store.folder}/log/claims/{hashlib.sha256(slug.encode()).hexdigest()}-{expected or 0:020d}"
+
+
 def vacuum(store: Store, keep: tuple[int, ...] = ()) -> list[int]:
     """Delete builds that were begun and never published, but for those of ``keep`` (still running, or to be adopted); published
     ones that no expert's tables rest on any longer are deleted too. Gives the numbers."""

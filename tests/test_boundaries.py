@@ -81,6 +81,8 @@ def test_video_id(spark):
 
 
 def test_slug(spark):
+    spelt = {"Straße Ærø": "strasse-aero", "Ελλάδα θάλασσα": "ellada-thalassa", "Москва, щука и объём": "moskva-shchuka-i-obiom", "Łódź Şişli": "lodz-sisli", "Жюль Верн": "zhiul-vern", "Київ": "kiyiv", "日本": None}
+    assert column(spark, list(spelt), X.slug) == list(spelt.values())
     assert column(spark, ["Crème Brûlée!", "  ", "a--B", "¿?", None, "Ünïcode 42"], X.slug) == ["creme-brulee", None, "a-b", None, None, "unicode-42"]
 
 
