@@ -621,3 +621,18 @@ def test_many_small_pages_take_little_memory():
     assert sum(b.num_rows for b in got) == n and most < 100 << 20
     whole = pa.Table.from_batches(got)
     assert whole["page_id"].to_pylist() == list(range(n)) and whole["n_trigrams"].to_pylist()[:4] == [0, 0, 8, 0]
+
+
+def test_lines_of_three_edits(spark):
+    """Three words of a hundred, three characters of ninety: near. Four, or three of forty: not."""
+    words_of = lambda n: [f"w{i}" for i in range(n)]
+
+    def other(own, places):
+        return [f"x{i}" if i in places else w for i, w in enumerate(own)]
+
+    char = lambda n: [chr(97 + i * 7 % 26) for i in range(n)]
+    pairs = [(" ".join(words_of(100)), " ".join(other(words_of(100), (3, 50, 98))), True), (" ".join(words_of(100)), " ".join(other(words_of(100), (3, 50, 70, 98))), False), (" ".join(words_of(40)), " ".join(other(words_of(40), (3, 20, 38))), False)]
+    pairs += [("".join(char(90)), "".join(c.upper() if i in (2, 40, 88) else c for i, c in enumerate(char(90))), True), ("".join(char(90)), "".join(c.upper() if i in (2, 30, 40, 88) else c for i, c in enumerate(char(90))), False)]
+    for a, b, near in pairs:
+        docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+        assert by_id(lines.line_dedup(docs), "n_removed") == {1: (0,), 2: (int(near),)}
