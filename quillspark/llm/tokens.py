@@ -16,8 +16,8 @@ import pyarrow as pa
 from .quality import ragged
 from .words import Words
 
-#: Words a worker remembers, the first that it meets; about 200 bytes each.
-CACHED_WORDS = 800_000
+#: Bytes of the words that a worker remembers, the first that it meets, with their ids and what Python keeps for each.
+CACHED_BYTES, BYTES_EACH = 64 << 20, 150
 
 
 @cache
@@ -32,6 +32,7 @@ def tokenizer(path: str):
 
 
 _known: dict[str, dict[bytes, bytes]] = {}
+_held: dict[str, int] = {}
 
 
 def encoded(path: str, words: list[bytes]) -> list[bytes]:
@@ -57,10 +58,14 @@ def word_ids(path: str, words: list[bytes]) -> list[bytes]:
     known = _known.setdefault(path, {})
     out = [known.get(w) for w in words]
     missing = [i for i, x in enumerate(out) if x is None]
+    held = _held.get(path, 0)
     for i, ids in zip(missing, encoded(path, [words[i] for i in missing]), strict=True):
         out[i] = ids
-        if len(known) < CACHED_WORDS:
+        size = len(words[i]) + len(ids) + BYTES_EACH
+        if held + size <= CACHED_BYTES:
             known[words[i]] = ids
+            held += size
+    _held[path] = held
     return out
 
 

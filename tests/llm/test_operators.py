@@ -636,3 +636,15 @@ def test_lines_of_three_edits(spark):
     for a, b, near in pairs:
         docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
         assert by_id(lines.line_dedup(docs), "n_removed") == {1: (0,), 2: (int(near),)}
+
+
+def test_remembered_words_are_bounded_by_bytes(monkeypatch):
+    from quillspark.llm import tokens
+
+    monkeypatch.setattr(tokens, "_known", {})
+    monkeypatch.setattr(tokens, "_held", {})
+    monkeypatch.setattr(tokens, "CACHED_BYTES", 3000)
+    many = [f"word{i}".encode() for i in range(40)] + [b"x" * 5000, b"", b"word1"]
+    first = tokens.word_ids(WORDS, many)
+    assert 10 < len(tokens._known[WORDS]) < 20 and b"x" * 5000 not in tokens._known[WORDS]
+    assert tokens.word_ids(WORDS, many) == first and tokens._held[WORDS] <= 3000
