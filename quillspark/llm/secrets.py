@@ -23,6 +23,7 @@ from re import _parser as parser
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .words import _offsets, per_slice, text_column
 
@@ -216,8 +217,9 @@ def secret_scan(docs: DataFrame, more_rules: tuple[Rule, ...] = MORE_RULES, *, m
 
     Null and empty texts have no spans and keep their null or empty text. Spans are
     ordered by start, then kind as listed; base spans stay whatever else is found.
-    Repeated rows are scanned each on their own. An empty table gives an empty result.
-    ``carry`` names columns to return besides.
+    Spans that tie in start and kind are the same span. Texts of any length are scanned whole. Repeated rows are scanned each on
+    their own, rows without an id too. An empty table gives an empty result. ``carry`` names columns to return besides; one that has the name of
+    a column of the result comes back as ``carried_`` and its name. Other columns, whatever their names, are not read.
     """
     rules = BASE_RULES + tuple(more_rules)
     n_base = len(BASE_RULES)
@@ -243,9 +245,12 @@ def secret_scan(docs: DataFrame, more_rules: tuple[Rule, ...] = MORE_RULES, *, m
                 pa.array(clean, pa.string()),
                 *part.columns[2:],
             ],
-            names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans", "clean_text", *carry],
+            names=[*own_names, *carried],
         )
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long, clean_text string"
-    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return text_column(docs, id_col, text_col, *carry).mapInArrow(per_slice(run), schema)
+    own_names = [c.split()[0] for c in schema.split(", ")]
+    carried = [f"carried_{c}" if c in own_names else c for c in carry]
+    schema += "".join(f", `{name}` {docs.schema[c].dataType.simpleString()}" for c, name in zip(carry, carried, strict=True))
+    held = (F.col(c).alias(f"held_{k}") for k, c in enumerate(carry))
+    return text_column(docs, id_col, text_col, *held).mapInArrow(per_slice(run), schema)

@@ -174,7 +174,8 @@ def substring_dedup(docs: DataFrame, *, base: int = 25, levels: int = 1, id_col:
     Windows have ``base * 2 ** levels`` words. Null texts have no words; texts shorter
     than a window lose nothing. Among exact copies the smallest id keeps its words. Rows
     that share an id are one document: none removes from another, and each loses the
-    words at the same starts. An empty table gives an empty result.
+    words at the same starts. Rows without an id stay whole and remove nothing elsewhere. Texts of any length are read whole.
+    Other columns, whatever their names, are not read. An empty table gives an empty result.
     """
     read = text_column(docs, id_col, text_col)
     starts, copies = repeated_windows(read.where("doc_id is not null"), base, levels)

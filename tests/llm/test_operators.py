@@ -648,3 +648,20 @@ def test_remembered_words_are_bounded_by_bytes(monkeypatch):
     first = tokens.word_ids(WORDS, many)
     assert 10 < len(tokens._known[WORDS]) < 20 and b"x" * 5000 not in tokens._known[WORDS]
     assert tokens.word_ids(WORDS, many) == first and tokens._held[WORDS] <= 3000
+
+
+def test_carried_columns_may_have_any_name(spark, odd):
+    own = odd.withColumns({"spans": F.lit(7), "clean_text": F.lit("c"), "held_0": F.lit(1.5)})
+    out = secrets.secret_scan(own, carry=("spans", "clean_text", "held_0", "text"))
+    assert out.columns[-4:] == ["carried_spans", "carried_clean_text", "held_0", "text"]
+    rows = out.collect()
+    assert len(rows) == odd.count() and {(r.carried_spans, r.carried_clean_text, r.held_0) for r in rows} == {(7, "c", 1.5)} and all(r.text == r.clean_text for r in rows)
+
+
+def test_decoding_odd_rows(spark):
+    rows = [(1, []), (1, []), (None, None), (2, [1, 2, 0]), (None, [15043] * 3)]
+    table = spark.createDataFrame(rows, "doc_id long, ids array<int>").withColumn("text", F.lit("clash"))
+    got = sorted((str(r.doc_id), r.text or "") for r in pieces.sentencepiece_decode(table, PIECES).collect())
+    known = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert got == sorted([("1", ""), ("1", ""), ("None", ""), ("2", known.decode([1, 2, 0])), ("None", known.decode([15043] * 3))])
+    assert pieces.sentencepiece_decode(table.limit(0), PIECES).count() == 0
