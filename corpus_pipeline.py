@@ -51,7 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark, overlapping ones by one; every document stays. Null texts stay null."""
+    """Secrets are replaced by a mark, overlapping ones by one; every document stays, rows without an id too. Null texts stay null, empty ones empty."""
     return rewritten(secret_scan(docs, carry=("lang", "source")), "clean_text")
 
 
