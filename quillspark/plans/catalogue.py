@@ -276,6 +276,14 @@ def chat_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(context, "query_id", "left").select("query_id", answer.alias("answer")).select("query_id", F.length("answer").alias("n"), F.md5("answer").alias("answer_md5"))
 
 
+@query
+def chat_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is answered to each query from all its hits' texts, in packs, and from the packs' answers."""
+    asked = _vectors(spark, sf_dir).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("what is "), F.col("vec_id").cast("string")).alias("question"))
+    out = retrieval.synthesised(_hit_texts(spark, sf_dir), asked, Providers().answer)
+    return out.select("query_id", F.length("answer").alias("n"), F.md5("answer").alias("answer_md5"))
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").withColumn("slug", F.concat(F.lit("expert-"), (F.col("conv_id") % 5).cast("string")))
 

@@ -144,9 +144,16 @@ def converse(store: Store, questions: DataFrame, providers: Providers | None = N
     near = retrieval.top_k(wanted, only(store.read("vectors"), "namespace", said.namespace_prefix + "-").select("namespace", "vec_id", "embedding"), said.top_k, ["namespace"])
     held = only(store.read("chunks"), "slug").select(F.xxhash64("doc_id", "chunk_id").alias("vec_id"), "slug", "text", graph.chunk_node(F.col("doc_id"), F.col("chunk_id")).alias("node"))
     hits = near.join(held, "vec_id").select("query_id", "rank", "slug", "node", "text")
-    payloads = turn_payloads(passed.select("query_id", "slug", "text"), experts, hits, only(store.read("relations"), "slug"), history, said.near_nodes, said.context_chars)
+    if said.synthesis not in ("first", "packs"):
+        raise ValueError(f"quillspark.synthesis must be first or packs, not {said.synthesis!r}")
+    scratch, context = store.scratch(), None
+    if said.synthesis == "packs":
+        told = retrieval.synthesised(scratch("hits", hits), passed.select("query_id", F.col("text").alias("question")), providers.answer, said.context_chars, keep=scratch)
+        context = retrieval.framed(told.select("query_id", F.col("answer").alias("joined")))
+    payloads = turn_payloads(passed.select("query_id", "slug", "text"), experts, hits, only(store.read("relations"), "slug"), history, said.near_nodes, said.context_chars, context)
     answered = payloads.join(turns.select("query_id", "text", "own"), "query_id").select("slug", (F.col("own") + 1).alias("seq"), providers.answer(F.col("system_prompt"), F.col("text")).alias("answer"))
     store.replace("messages", message(answered.where("answer is not null"), "assistant", "answer", answered_as))
+    scratch.forget()
     last = store.read("messages").where(F.col("turn") == answered_as).select(F.col("expert_slug").alias("slug"), F.col("content").alias("answer"))
     return asked.join(last, "slug", "left").select("slug", "code", "answer")
 
@@ -172,16 +179,16 @@ def write_courses(store: Store, requests: DataFrame, providers: Providers | None
     return asked.select("slug", "difficulty", "code").join(text, ["slug", "difficulty"], "left")
 
 
-def turn_payloads(questions: DataFrame, experts: DataFrame, hits: DataFrame, edges: DataFrame, history: DataFrame, near_nodes: int = 20, context_chars: int = retrieval.CONTEXT_CHARS) -> DataFrame:
+def turn_payloads(questions: DataFrame, experts: DataFrame, hits: DataFrame, edges: DataFrame, history: DataFrame, near_nodes: int = 20, context_chars: int = retrieval.CONTEXT_CHARS, context: DataFrame | None = None) -> DataFrame:
     """(query_id, slug, system_prompt, messages): what goes to a model for each question.
 
     ``questions`` has query_id, slug and text; ``hits`` query_id, rank, node and text of
     what was found; ``edges`` the expert's relations; ``history`` (slug, messages before).
     What the graph holds one step from a hit is named after the hits' texts, ``near_nodes`` names at most, first by the alphabet; of the
-    hits' texts ``context_chars`` characters are told.
+    hits' texts ``context_chars`` characters are told, or ``context`` (query_id, context) instead.
     """
     near = graph.expand(hits.select("query_id", "slug", "node"), edges).groupBy("query_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("node")), 1, near_nodes), ", ").alias("near"))
-    context = retrieval.assembled(hits, most=context_chars).join(near, "query_id", "left")
+    context = (retrieval.assembled(hits, most=context_chars) if context is None else context).join(near, "query_id", "left")
     full = questions.join(context, "query_id", "left").join(experts.select("slug", "topic", "description"), "slug", "left").join(history, "slug", "left")
     prompt = F.concat(persona_prompt(F.coalesce("topic", "slug"), F.col("description")), F.coalesce("context", F.lit("")), F.coalesce(F.concat(F.lit("\nNear by: "), "near"), F.lit("")))
     own = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))

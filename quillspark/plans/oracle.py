@@ -158,4 +158,8 @@ select slug, seq, len(h)::int as n_history, md5(array_to_string(h, '|')) as hist
 r as (select slug, count(*) as c from (select distinct slug, src, rel, dst from paths) group by slug), k as (select slug, count(*) as c from chunks group by slug), d as (select source as slug, count(*) as c from documents group by source)
 select {slug('d.slug')} as slug, 'ready' as status, d.c as source_count, coalesce(n.c, 0) as node_count, coalesce(r.c, 0) as relation_count, d.c as n_sources, coalesce(k.c, 0) as n_chunks, coalesce(n.c, 0) as n_nodes, coalesce(k.c, 0) as n_vectors
 from d left join n using (slug) left join r using (slug) left join k using (slug)""",
+    "chat_synthesis": f"""with {TEXTS}, kept as (select query_id, rank, text from found where not {blank('text')}), packs as (select *, coalesce(sum(length(text)) over (partition by query_id order by rank rows between unbounded preceding and 1 preceding), 0) // 3000 as pack from kept),
+one as (select query_id, pack, substring({strip("string_agg(text, chr(10) order by rank)")}, 1, 400) as answer from packs group by query_id, pack),
+two as (select query_id, substring({strip("string_agg(answer, chr(10) order by pack)")}, 1, 400) as answer from one group by query_id)
+select vec_id as query_id, length(answer) as n, md5(answer) as answer_md5 from embeddings left join two on query_id = vec_id where vec_id % 20 = 0""",
 }

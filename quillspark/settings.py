@@ -23,6 +23,7 @@ class Settings:
     chunk_overlap: int = 64
     top_k: int = 5
     context_chars: int = 3000
+    synthesis: str = "first"
     near_nodes: int = 20
     history: int = 20
     max_tokens: int = 8192

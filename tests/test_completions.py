@@ -9,7 +9,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import chat
+from quillspark.operators import chat, retrieval
 from quillspark.plans import flows
 from quillspark.providers import Providers, scripted
 from quillspark.sources.store import Store
@@ -194,3 +194,27 @@ def test_turns_as_a_stream(spark, store, tmp_path, monkeypatch):
     spark.createDataFrame([("deep-sea", 4, "three")], schema).write.mode("append").parquet(place)
     conversations.turn_stream(store, questions(), folder, said)
     assert told() == [*want, (5, "user", "three"), (6, "assistant", "re: three")]
+
+
+def test_every_hit_counts_in_a_synthesis(spark):
+    """Answers that keep the first word of each line: all hits are told of in the end, in any number of rounds."""
+    hits = spark.createDataFrame([(q, r, f"w{q}x{r} " + "and so on " * 10) for q in (1, 2) for r in range(1, 12 * q)] + [(3, 1, " "), (4, 1, "single")], "query_id long, rank int, text string")
+    asked = spark.createDataFrame([(q, "?") for q in range(1, 6)], "query_id long, question string")
+    firsts = lambda context, _: F.array_join(F.transform(F.split(context, "\n"), lambda line: F.array_join(F.transform(F.filter(F.split(line, " "), lambda w: w.rlike("[0-9x]")), lambda w: w), " ")), " ")
+    got = {r.query_id: r.answer for r in retrieval.synthesised(hits, asked, firsts, 250).collect()}
+    assert got[1].split() == [f"w1x{r}" for r in range(1, 12)] and got[2].split() == [f"w2x{r}" for r in range(1, 24)]
+    assert got[3] is None and got[5] is None and got[4] == ""
+    # Answers as long as what they answer still end.
+    same = {r.query_id: r.answer for r in retrieval.synthesised(hits, asked, lambda context, _: context, 250).collect()}
+    assert same[2].count("w2x") == 23
+
+
+def test_a_turn_told_by_packs(spark, store):
+    asked = spark.createDataFrame([("deep-sea", "do whales dive")], "slug string, text string")
+    spark.conf.set("quillspark.synthesis", "packs")
+    try:
+        got = flows.converse(store, asked, turn="packs").collect()
+    finally:
+        spark.conf.unset("quillspark.synthesis")
+    assert got[0].code == 200 and "whales dive" in got[0].answer
+    assert store.listed(f"{store.folder}/scratch") == []
