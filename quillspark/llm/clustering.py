@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import forget, written
 
 #: Larger integers could make a squared distance of 64 components pass 64 bits.
 LARGEST = 1 << 27
@@ -111,6 +111,7 @@ def centroid_clustering(vectors: DataFrame, *, clusters: int = 40, rounds: int =
             break
         centroids = after
     found = written(kept.mapInArrow(_assigned(centroids), schema), "assigned")
+    forget(kept)
     sums = found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()
     fits = lambda x: x if x < 1 << 63 else None
     whole = fits(sum(int(r.s) for r in sums))
