@@ -19,7 +19,7 @@ from quillspark.llm.packing import best_fit_packing
 from quillspark.llm.quality import quality_rules
 from quillspark.llm.queries import byte_level, vocabulary
 from quillspark.llm.secrets import secret_scan
-from quillspark.llm.shared import meeting, written
+from quillspark.llm.shared import forget, meeting, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -68,9 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = written(docs, "stage")
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage")
+        if before is not None:  # nothing reads the stage before any longer
+            forget(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
