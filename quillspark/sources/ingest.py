@@ -83,7 +83,14 @@ def paper(title: Column, authors: Column, abstract: Column, published: Column) -
 
 
 def transcripts(segments: DataFrame, by: str, order: str, text: str) -> DataFrame:
-    """Segments joined by spaces in order; long enough ones, cut."""
+    """Segments joined by spaces in order; long enough ones, cut.
+
+    Only segments that the cut, or the least length, can reach are gathered, so that a long one's rest isn't.
+    """
+    w = Window.partitionBy(by).orderBy(order, text).rowsBetween(Window.unboundedPreceding, -1)
+    sofar = lambda length: F.coalesce(F.sum(length).over(w), F.lit(0))
+    solid = F.length(F.regexp_replace(text, X.SPACES, ""))
+    segments = segments.select(by, order, text, sofar(F.length(text) + 1).alias("before"), sofar(solid).alias("solid_before")).where((F.col("before") <= CRAWL_CHARS) | (F.col("solid_before") < LEAST_CHARS))
     joined = segments.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda s: s[text]), " ").alias("content"))
     return long_enough(joined, "content").withColumn("content", X.cut(F.col("content"), CRAWL_CHARS))
 

@@ -260,3 +260,16 @@ def test_many_queries_meet_vectors_in_a_shuffle(spark, monkeypatch):
     few = {tuple(r) for r in retrieval.top_k(rows, rows, 3).collect()}
     monkeypatch.setattr(retrieval, "FEW_QUERIES", 5)
     assert {tuple(r) for r in retrieval.top_k(rows, rows, 3, query_block=16, vector_block=16).collect()} == few
+
+
+def test_transcripts_gather_what_the_cut_can_reach(spark):
+    rows = [(1, k, "x" * 99) for k in range(400)] + [(2, k, " " * 500) for k in range(60)] + [(2, 60 + k, "word" * 9) for k in range(4)]
+    rows += [(3, 0, "a" * 50), (3, 1, None), (3, 2, "b" * 49), (4, 0, "a" * 49), (4, 1, "b" * 49), (5, 0, " "), (6, 0, "t" * 200), (6, 0, "s" * 200)]
+    df = spark.createDataFrame(rows, "k long, seq int, text string")
+    got = {r.k: r.content for r in ingest.transcripts(df, "k", "seq", "text").collect()}
+    want = {}
+    for k in range(1, 7):
+        whole = " ".join(t for _, _, t in sorted((r for r in rows if r[0] == k and r[2] is not None)))
+        if len(whole.strip()) >= 100:
+            want[k] = whole[:15_000]
+    assert got == want and set(got) == {1, 2, 3, 6}
