@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .words import Words, per_slice, text_column, windows_inside
 
 SYMBOLS = "#*$%&|<>"
+#: Text in a slice: a slice holds the ids of its distinct words by two vocabularies.
+SLICE_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -217,4 +219,4 @@ def quality_rules(docs: DataFrame, vocabulary: str, bands: dict[str, Band] | Non
     """
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     held = {k: asdict(v) for k, v in (bands or BANDS).items()}
-    return text_column(docs, id_col, text_col, lang.alias("lang")).mapInArrow(per_slice(_measured(vocabulary, multi, held)), SCHEMA)
+    return text_column(docs, id_col, text_col, lang.alias("lang")).mapInArrow(per_slice(_measured(vocabulary, multi, held), limit=SLICE_BYTES), SCHEMA)

@@ -136,11 +136,11 @@ def windows_inside(counts: np.ndarray, width: int) -> np.ndarray:
     return at[at + width <= ends]
 
 
-def per_slice(run: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text"):
+def per_slice(run: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text", limit: int = SLICE_BYTES):
     """A function for mapInArrow that applies ``run`` to each bounded slice."""
 
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batches, column):
+        for part in sliced(batches, column, limit):
             out = run(part)
             if out is not None and out.num_rows:
                 yield out
