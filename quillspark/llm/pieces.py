@@ -260,7 +260,7 @@ def sentencepiece_encode(docs: DataFrame, model_file: str, *, id_col: str = "doc
 def sentencepiece_decode(encoded: DataFrame, model_file: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per input row: doc_id, text. Null ids give a null text, no ids an empty one.
 
-    Lists of any length are decoded whole. Rows that repeat a document id, or have none, are decoded each on their own. Other columns,
+    Lists of any length are decoded whole. The unknown piece gives its name. Rows that repeat a document id, or have none, are decoded each on their own. Other columns,
     whatever their names, are not read; an empty table gives an empty result.
     """
 
