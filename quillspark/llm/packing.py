@@ -27,6 +27,8 @@ from .shared import written
 from .tokens import text_ids
 from .words import per_slice, text_column
 
+#: Text in a slice: a slice holds the ids of its words, and Python objects for the distinct ones.
+SLICE_BYTES = 2 << 20
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES.replace("row long, ", "") + ", sequence_id long, offset long"
 
@@ -46,7 +48,7 @@ def pieces(docs: DataFrame, vocabulary: str, *, max_tokens: int = 2048, end_id:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 2 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 
     read = text_column(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    return read.mapInArrow(per_slice(run), PIECES)
+    return read.mapInArrow(per_slice(run, limit=SLICE_BYTES), PIECES)
 
 
 def vector_best_fit(demand: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule: str = "norm") -> tuple[np.ndarray, int]:

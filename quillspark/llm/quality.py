@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .words import Words, per_slice, text_column, windows_inside
+from .worker import hold
 
 SYMBOLS = "#*$%&|<>"
 #: Text in a slice: a slice holds the ids of its distinct words by two vocabularies.
@@ -90,6 +91,11 @@ def _byte_level(path: str, pattern: str):
     return tiktoken.Encoding("byte level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def clear() -> None:
+    _model.cache_clear()
+    _byte_level.cache_clear()
+
+
 @cache
 def _script(char: str) -> str | None:
     """The script of a letter; None for other characters."""
@@ -152,6 +158,7 @@ def duplicate_lines(text: str | None) -> int:
 
 def _measured(path: str, multi: tuple[str, str] | None, bands: dict[str, dict]):
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        hold("quality rules", clear)
         model, is_byte = _model(path)
         texts, langs = part.column(1), part.column(2).to_pylist()
         words = Words(texts)

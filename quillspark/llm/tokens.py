@@ -15,6 +15,7 @@ import pyarrow as pa
 
 from .quality import ragged
 from .words import Words
+from .worker import hold
 
 #: Bytes of the words that a worker remembers, the first that it meets, with their ids and what Python keeps for each.
 CACHED_BYTES, BYTES_EACH = 64 << 20, 150
@@ -35,6 +36,12 @@ _known: dict[str, dict[bytes, bytes]] = {}
 _held: dict[str, int] = {}
 
 
+def clear() -> None:
+    _known.clear()
+    _held.clear()
+    tokenizer.cache_clear()
+
+
 def encoded(path: str, words: list[bytes]) -> list[bytes]:
     """Each word's ids as little-endian 32-bit integers. Words go to the tokenizer as few long texts, each followed by a special token."""
     found, mark, number = tokenizer(path)
@@ -71,6 +78,7 @@ def word_ids(path: str, words: list[bytes]) -> list[bytes]:
 
 def text_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, bounds): text i has ids[bounds[i]:bounds[i + 1]]."""
+    hold("token ids", clear)
     words = Words(texts)
     ids = word_ids(path, words.unique.to_pylist())
     sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4

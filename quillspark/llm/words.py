@@ -15,6 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .worker import release
+
 SLICE_BYTES = 4 << 20
 #: Odd multiplier of the rolling hashes (the 64-bit golden ratio).
 BASE = 0x9E3779B97F4A7C15
@@ -140,9 +142,12 @@ def per_slice(run: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: st
     """A function for mapInArrow that applies ``run`` to each bounded slice."""
 
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in sliced(batches, column, limit):
             out = run(part)
             if out is not None and out.num_rows:
                 yield out
+        part = out = None
+        release()
 
     return over
