@@ -75,7 +75,9 @@ def probes(t: int, more: int) -> list[tuple[int, int]]:
 
 def _keyed(lines: DataFrame) -> DataFrame:
     """``lines`` with the keys that each is indexed by (``own``), and those that it probes."""
-    n, by_word, symbols = F.col("n"), F.col("by_word"), F.col("symbols")
+    # Each symbol is hashed once; a segment's key is the hash of its symbols' hashes.
+    lines = lines.withColumn("hashes", F.transform("symbols", lambda x: F.xxhash64(x)))
+    n, by_word, hashes = F.col("n"), F.col("by_word"), F.col("hashes")
     none = F.array().cast("array<bigint>")
     # Of a line of ``more`` symbols fewer: the edits allowed, and where its segments start, the later ones being longer.
     for more in range(MOST + 1):
@@ -90,14 +92,16 @@ def _keyed(lines: DataFrame) -> DataFrame:
         starts = F.col(f"starts{more}")
         at = lambda s: F.get(starts, s["k"])
         specs = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(k + 1).alias("next"), F.lit(shift + 1).alias("shift")) for k, shift in places))
-        return F.transform(specs, lambda s: F.xxhash64(by_word, n - more, s["k"], F.slice(symbols, at(s) + s["shift"], F.get(starts, s["next"]) - at(s))))
+        return F.transform(specs, lambda s: F.xxhash64(by_word, n - more, s["k"], F.slice(hashes, at(s) + s["shift"], F.get(starts, s["next"]) - at(s))))
 
-    def chosen(more: int, places) -> Column:
-        cases = [(F.col(f"t{more}") == t, keys(more, places(t))) for t in range(max(1, more), MOST + 1)]
+    def chosen(more: int, pick) -> Column:
+        cases = [(F.col(f"t{more}") == t, pick(t)) for t in range(max(1, more), MOST + 1)]
         return reduce(lambda c, x: c.when(*x), cases[1:], F.when(*cases[0])).otherwise(none)
 
-    probing = F.concat(*(chosen(more, lambda t, more=more: probes(t, more)) for more in range(MOST + 1)))
-    own = chosen(0, lambda t: [(k, 0) for k in range(t + 1)])
+    # A line's own segments are among those that it probes for lines of its length.
+    lines = lines.withColumn("same", chosen(0, lambda t: keys(0, probes(t, 0))))
+    own = chosen(0, lambda t: F.array(*(F.get("same", i) for i, (_, shift) in enumerate(probes(t, 0)) if shift == 0)))
+    probing = F.concat("same", *(chosen(more, lambda t, more=more: keys(more, probes(t, more))) for more in range(1, MOST + 1)))
     return lines.select("doc_id", "no", "h1", "h2", own.alias("own"), F.array_distinct(probing).alias("probes"))
 
 
