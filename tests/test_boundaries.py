@@ -229,6 +229,18 @@ def test_providers(spark):
     assert column(spark, ["  c ", ""], lambda c: extract(c, F.lit("q"))) == ["c", "Nothing is known about: q"]
 
 
+def test_an_embedding_reads_its_text_once(spark):
+    words = [f"w{k % 37}" for k in range(600)]
+    (got,) = column(spark, [" ".join(words)], hashed_embedding)
+    cells = [r.c for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.pmod(F.xxhash64("w"), F.lit(128)).alias("c")).collect()]
+    counts = [cells.count(i) - cells.count(i + 64) for i in range(64)]
+    length = sum(x * x for x in counts) ** 0.5
+    assert got == pytest.approx([x / length for x in counts], rel=1e-6)
+    # What stands inside a function of an array is computed for each of its elements, so no expression may be written out again there.
+    plan = spark.range(1).select(hashed_embedding(F.col("id").cast("string")).alias("v"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("xxhash64(") == 1
+
+
 def test_chat_stream_over_batches_equals_one(spark, tmp_path):
     rows = spark.createDataFrame([(c, t, "user" if t % 2 == 0 else "assistant", f"{c}.{t}") for c in range(3) for t in range(30)], "conv_id long, turn long, role string, text string")
     rows.where("turn < 17").coalesce(1).write.parquet(str(tmp_path / "in"))
