@@ -48,6 +48,8 @@ LONGEST = 24
 TELLING = 14.0
 #: Cost of a unit on the wrong side.
 COST = 0.1
+#: Rows that training turns to double precision at once.
+BLOCK = 4096
 #: Words of a sentence that no mark ends.
 SENTENCE = 32
 _SIZE = len(ALPHABET) + 1
@@ -187,14 +189,24 @@ def suspicion(words: Words, table: np.ndarray, bias: float) -> np.ndarray:
     return np.stack([best, amount, np.log1p(count)], 1)
 
 
+def blocks(z: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """BLOCK rows at a time, in double precision and with a one behind each."""
+    for at in range(0, len(z), BLOCK):
+        own = slice(at, min(at + BLOCK, len(z)))
+        yield own, np.c_[z[own].astype(float), np.ones(own.stop - at)]
+
+
 def fit_svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss, by Newton steps on the rows inside the margin."""
-    x = np.c_[z, np.ones(len(z))]
-    w, ridge = np.zeros(x.shape[1]), np.r_[np.ones(z.shape[1]), 1e-3]
+    """A linear machine with squared hinge loss, by Newton steps on the rows inside the margin. Beside ``z`` only a block of it is held."""
+    w, ridge = np.zeros(z.shape[1] + 1), np.r_[np.ones(z.shape[1]), 1e-3]
     for _ in range(rounds):
-        inside = y * (x @ w) < 1
-        xi, ci = x[inside], cost[inside][:, None]
-        new = np.linalg.solve(np.diag(ridge) + 2 * xi.T @ (ci * xi), 2 * xi.T @ (cost[inside] * y[inside]))
+        left, right = np.diag(ridge), np.zeros(len(w))
+        for own, x in blocks(z):
+            inside = y[own] * (x @ w) < 1
+            xi, yi, ci = x[inside], y[own][inside], cost[own][inside]
+            left = left + 2 * xi.T @ (ci[:, None] * xi)
+            right = right + 2 * xi.T @ (ci * yi)
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new if _ < 5 else 0.5 * (w + new)
@@ -225,14 +237,14 @@ def _unit_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(own.units, pa.string()), *(pa.array(c, pa.int64()) for c in counts)], names=["unit", "toxic", "clean"])
 
 
-def _suspects(numbers: np.ndarray, vectors: np.ndarray, whiten: np.ndarray, telling: int, most: int):
-    """(toxic, rows): Nyström features of the units of each text that have most in common with any of the first ``telling`` landmarks."""
+def _suspects(numbers: np.ndarray, nearest: np.ndarray, features_of: np.ndarray, most: int):
+    """(toxic, rows): Nyström features (``features_of`` each subsequence number) of the units of each text that weigh most by ``nearest``."""
     tables: list[np.ndarray] = []
 
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not tables:
             tables.append(np.zeros(_SIZE**ORDER, np.float32))
-            tables[0][numbers] = vectors[:, :telling].max(1)
+            tables[0][numbers] = nearest
         for part in sliced(batches):
             own = sentences_of(Words(part.column(1)))
             alike = unit_values(own.units, tables[0])
@@ -243,7 +255,7 @@ def _suspects(numbers: np.ndarray, vectors: np.ndarray, whiten: np.ndarray, tell
             taken = np.arange(len(text)) - np.searchsorted(text, text) < most
             text, unit = text[taken], unit[taken]
             some, place = np.unique(unit, return_inverse=True)
-            z = (_against([own.units[u] for u in some], numbers, vectors) @ whiten).astype(np.float32)
+            z = _against([own.units[u] for u in some], numbers, features_of).astype(np.float32)
             toxic = np.asarray(part.column(2))
             for i in np.unique(text):
                 yield pa.RecordBatch.from_arrays([pa.array([int(toxic[i])], pa.int32()), pa.array([z[place[text == i]].tobytes()])], names=["toxic", "rows"])
@@ -255,13 +267,15 @@ def fit_sentences(rows: list[np.ndarray], toxic: np.ndarray, rounds: int = 5) ->
     """The machine, from the suspects of each text and the texts' labels."""
     x, text = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     positive = toxic[text] == 1
+    y, margin = np.where(positive, 1.0, -1.0), np.zeros(len(x))
     stands, w, bias = positive.copy(), np.zeros(x.shape[1]), 0.0
     for _ in range(rounds):
-        used = stands | ~positive
-        y = np.where(positive[used], 1.0, -1.0)
         n_toxic = max(1, int(stands.sum()))
-        w, bias = fit_svm(x[used], y, COST * np.where(y > 0, max(1.0, (~positive).sum() / n_toxic / 4), 1.0))
-        margin = x @ w + bias
+        cost = COST * np.where(positive, max(1.0, (~positive).sum() / n_toxic / 4), 1.0)
+        # What costs nothing has no part in the machine.
+        w, bias = fit_svm(x, y, np.where(stands | ~positive, cost, 0.0))
+        for own, some in blocks(x):
+            margin[own] = some @ np.r_[w, bias]
         best = np.full(len(rows), -np.inf)
         np.maximum.at(best, text, margin)
         before, stands = stands, positive & ((margin > 0) | (margin >= best[text]))
@@ -301,13 +315,16 @@ def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 2000, max_clea
     value, basis = np.linalg.eigh(_against(landmarks, numbers, vectors))
     good = np.flatnonzero(value > 1e-6 * value.max())[-max_features:]
     whiten = basis[:, good] / np.sqrt(value[good])
-    told = sample.mapInArrow(_suspects(numbers, vectors, whiten, len(telling), max_suspects), "toxic int, rows binary").collect()
-    rows = [np.frombuffer(r.rows, np.float32).reshape(-1, len(good)).astype(float) for r in told]
+    nearest, features_of = vectors[:, : len(telling)].max(1), vectors @ whiten
+    del vectors
+    told = sample.mapInArrow(_suspects(numbers, nearest, features_of, max_suspects), "toxic int, rows binary").collect()
+    rows = [np.frombuffer(r.rows, np.float32).reshape(-1, len(good)) for r in told]
     toxic = np.array([r.toxic for r in told])
+    del told
     if len(set(toxic.tolist())) < 2:
         return share
     w, bias = fit_sentences(rows, toxic)
-    machine = Machine(numbers, (vectors @ (whiten @ w)).astype(np.float32), bias, np.zeros(4))
+    machine = Machine(numbers, (features_of @ w).astype(np.float32), bias, np.zeros(4))
     seen = sample.mapInArrow(_scoring(machine, ("toxic",)), f"{TOLD}, toxic int")
     seen = np.array([tuple(r) for r in seen.select("best", "amount", "extent", "toxic").collect()], float)
     machine.curve = fit_logistic(seen[:, :3], seen[:, 3])

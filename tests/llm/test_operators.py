@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -329,6 +330,24 @@ def insulted(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, toxic int")
 
 
+def test_toxicity_trains_in_blocks():
+    rng = np.random.default_rng(5)
+    toxic = (np.arange(2000) % 3 == 0).astype(int)
+    rows = [(rng.normal(size=(8, 64)) + 2 * t * (np.arange(8) == 0)[:, None]).astype(np.float32) for t in toxic]
+    tracemalloc.start()
+    w, bias = toxicity.fit_sentences(rows, toxic)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The rows joined once, and what a block takes in double precision.
+    assert most < 2 * sum(r.nbytes for r in rows) + 6 * toxicity.BLOCK * 65 * 8
+    assert ((np.array([(r @ w).max() for r in rows]) + bias > 0) == (toxic == 1)).mean() > 0.99
+    # One step by all rows at once and by blocks.
+    z, y, cost = np.concatenate(rows), np.repeat(np.where(toxic == 1, 1.0, -1.0), 8), np.full(16000, 0.1)
+    x, v = np.c_[z.astype(float), np.ones(len(z))], np.r_[toxicity.fit_svm(z, y, cost)]
+    inside = y * (x @ v) < 1
+    assert np.abs(np.r_[v[:-1], 1e-3 * v[-1]] - 2 * x[inside].T @ (cost[inside] * (y[inside] - x[inside] @ v))).max() < 1e-2
+
+
 def test_toxicity(spark, insulted, odd):
     docs, labels = insulted.select("doc_id", "text"), insulted.select("doc_id", "toxic")
     got = toxicity.toxicity(docs, labels).join(labels, "doc_id")
