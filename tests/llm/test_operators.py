@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 import brute
 from conftest import TEXTS
-from quillspark.llm import embeddings, jaccard, language, lines, packing, pieces, quality, queries, secrets, shared, substrings, toxicity, words
+from quillspark.llm import embeddings, jaccard, language, lines, packing, pieces, quality, queries, secrets, shared, substrings, tokens, toxicity, words
 
 PIECES, WORDS = P.path("piece_bpe_32k.model"), P.path("word_bpe_49k.json")
 
@@ -330,6 +330,33 @@ def insulted(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, toxic int")
 
 
+def test_ids_of_words_without_marks_between(monkeypatch):
+    rng = random.Random(3)
+    odd = ["<|startoftext|>", "x<|startoftext|>y", "<|endoftext|>", "a\u00a0b", "\u2003", "e\u0301\u0327", "\u0301a", "İstanbul", "ΣΑΣ", "ﬁ", "가나", "\u1100\u1161", "😀don't", "it's", "\u200b", "\x85", "\x1c", "\x00", "</w>", "a</w>", "½3", "日本", "\ufffd", "K"]
+    given = ["".join(rng.choice("abcdeéß'1.,<>/wÄ") for _ in range(rng.randint(1, 9))) for _ in range(4500)]
+    for at, w in enumerate(odd):  # some among plain words, all together in the last batch
+        given[90 * at] = w
+    given += odd
+    found = Tokenizer.from_file(WORDS)
+    want = [found.encode(w, add_special_tokens=False).ids for w in given]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encoded(WORDS, [w.encode() for w in given])] == want
+    # Plain words are sent with a space between and nothing else.
+    real, sent = tokens.tokenizer(WORDS), []
+
+    class Told:
+        def __getattr__(self, name):
+            return getattr(real[0], name)
+
+        def encode_batch_fast(self, texts, **more):
+            sent.extend(texts)
+            return real[0].encode_batch_fast(texts, **more)
+
+    monkeypatch.setattr(tokens, "tokenizer", lambda path: (Told(), *real[1:]))
+    plain = [w for w in given if w.isprintable() and w not in odd]
+    tokens.encoded(WORDS, [w.encode() for w in plain])
+    assert sum(map(len, sent)) <= sum(len(w) + 1 for w in plain)
+
+
 def test_toxicity_trains_in_blocks():
     rng = np.random.default_rng(5)
     toxic = (np.arange(2000) % 3 == 0).astype(int)
