@@ -75,7 +75,9 @@ def probes(t: int, more: int) -> list[tuple[int, int]]:
 
 def _keyed(lines: DataFrame) -> DataFrame:
     """``lines`` with the keys that each is indexed by (``own``), and those that it probes."""
-    n, by_word, symbols = F.col("n"), F.col("by_word"), F.col("symbols")
+    n, by_word, hashes = F.col("n"), F.col("by_word"), F.col("hashes")
+    # A symbol is in many segments, so each is hashed once.
+    lines = lines.withColumn("hashes", F.transform("symbols", lambda x: F.xxhash64(x)))
     none = F.array().cast("array<bigint>")
     # Of a line of ``more`` symbols fewer: the edits allowed, and where its segments start, the later ones being longer.
     for more in range(MOST + 1):
@@ -90,7 +92,7 @@ def _keyed(lines: DataFrame) -> DataFrame:
         starts = F.col(f"starts{more}")
         at = lambda s: F.get(starts, s["k"])
         specs = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(k + 1).alias("next"), F.lit(shift + 1).alias("shift")) for k, shift in places))
-        return F.transform(specs, lambda s: F.xxhash64(by_word, n - more, s["k"], F.slice(symbols, at(s) + s["shift"], F.get(starts, s["next"]) - at(s))))
+        return F.transform(specs, lambda s: F.xxhash64(by_word, n - more, s["k"], F.slice(hashes, at(s) + s["shift"], F.get(starts, s["next"]) - at(s))))
 
     def chosen(more: int, places) -> Column:
         cases = [(F.col(f"t{more}") == t, keys(more, places(t))) for t in range(max(1, more), MOST + 1)]
@@ -153,7 +155,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     # Both grow with the lines, so they are joined alike at every size.
     keyed = _keyed(_symbols(lines)).join(firsts.hint("merge"), ["h1", "h2"], "left")
     table = written(keyed.select("doc_id", "no", "own", "probes", (F.col("place") != number).alias("again")), "line-keys")
-    equal = table.where("again").select("doc_id", "no")
+    forget(firsts)
+    equal = written(table.where("again").select("doc_id", "no"), "equal-lines")
     keyed = table.where("again is null or not again")
     index = keyed.select(F.explode("own").alias("key"), "doc_id", "no")
     heads = written(index.groupBy("key").agg(F.min(place).alias("head"), F.count("*").alias("lines")).select("key", "lines", F.col("head.doc_id").alias("other_doc"), F.col("head.no").alias("other_no")), "line-heads")
@@ -166,8 +169,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     rest = written(index.join(entries.hint("merge"), "key").select("key", F.col("doc_id").alias("other_doc"), F.col("no").alias("other_no")), "line-entries")
     wanted = met.select("doc_id", "no").union(met.select("other_doc", "other_no")).union(rest.select("other_doc", "other_no")).distinct()
     wanted = written(wanted, "line-ids")
+    forget(table, heads)
     texts = _symbols(_lines(meeting(docs, wanted, "doc_id", "left_semi")).join(wanted, ["doc_id", "no"])).drop("line")
     texts = written(texts.dropDuplicates(["doc_id", "no"]).withColumns({f"parity{k}": _parity(F.col("symbols"), k) for k in (0, 1)}), "line-texts")
+    forget(wanted)
     near = _near(to_heads, texts)
     # What is still undecided meets the rest of its entries.
     sketch = texts.join(near.withColumn("gone", F.lit(True)), ["doc_id", "no"], "left").select("doc_id", "no", "n", "by_word", "parity0", "parity1", F.col("gone").isNull().alias("open"))
@@ -180,7 +185,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     to_rest = left.join(right, "key").where(fit).select("doc_id", "no", "other_doc", "other_no").distinct()
     more = _near(to_rest, texts)
     gone = written(equal.union(near).union(more).groupBy("doc_id").agg(F.collect_set("no").alias("gone")), "dropped-lines")
-    forget(firsts, table, heads, met, rest, wanted, texts, near, more)
+    forget(equal, met, rest, texts, near, more)
     return gone
 
 

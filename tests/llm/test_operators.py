@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 import random
 import tracemalloc
 from collections import Counter
@@ -579,6 +580,22 @@ def test_a_near_line_always_probes_the_index(spark):
         assert short[1] & long[2]
 
 
+def test_keys_of_lines_go_before_their_texts_come(docs, monkeypatch):
+    real, names = lines.written, {}
+
+    def told(df, what):
+        if what == "line-texts":
+            folder = os.path.dirname(names["line-keys"])
+            names["left"] = {x.rpartition("-")[0] for x in os.listdir(folder) if f"{folder}/{x}" in names.values()}
+        out = real(df, what)
+        names[what] = out.kept_at.removeprefix("file:")
+        return out
+
+    monkeypatch.setattr(lines, "written", told)
+    lines.repeated_lines(docs.select("doc_id", "text").where("doc_id is not null and text is not null"))
+    assert names["left"] == {"equal-lines", "line-probes", "line-entries", "line-ids"}
+
+
 def test_lines_run_without_python(docs):
     told = lines.line_dedup(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in told and "Arrow" not in told
