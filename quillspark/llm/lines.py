@@ -54,7 +54,7 @@ def _symbols(lines: DataFrame) -> DataFrame:
     # Three bytes a character on average: a script that uses no or few spaces.
     by_word = (F.size("words") >= WORDS) & (F.octet_length("line") <= 2 * F.length("line"))
     lines = lines.withColumn("by_word", by_word)
-    symbols = F.when(F.col("by_word"), F.col("words")).otherwise(F.filter(F.split("line", ""), lambda c: c != ""))
+    symbols = F.when(F.col("by_word"), F.col("words")).otherwise(F.array_remove(F.split("line", ""), ""))
     return lines.withColumn("symbols", symbols).drop("words").withColumn("n", F.size("symbols"))
 
 
@@ -78,29 +78,26 @@ def _keyed(lines: DataFrame) -> DataFrame:
     n, by_word, hashes = F.col("n"), F.col("by_word"), F.col("hashes")
     # A symbol is in many segments, so each is hashed once.
     lines = lines.withColumn("hashes", F.transform("symbols", lambda x: F.xxhash64(x)))
-    none = F.array().cast("array<bigint>")
-    # Of a line of ``more`` symbols fewer: the edits allowed, and where its segments start, the later ones being longer.
-    for more in range(MOST + 1):
-        t = allowed(n - more, by_word)
-        size, short = F.floor((n - more) / (t + 1)).cast("int"), t + 1 - (n - more) % (t + 1)
-        lines = lines.withColumns({f"t{more}": t, f"size{more}": size, f"short{more}": short})
-    for more in range(MOST + 1):
-        starts = F.array(*(F.lit(k) * F.col(f"size{more}") + F.greatest(F.lit(0), F.lit(k) - F.col(f"short{more}")) for k in range(MOST + 2)))
-        lines = lines.withColumn(f"starts{more}", starts)
-
-    def keys(more: int, places: list[tuple[int, int]]) -> Column:
-        starts = F.col(f"starts{more}")
-        at = lambda s: F.get(starts, s["k"])
-        specs = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(k + 1).alias("next"), F.lit(shift + 1).alias("shift")) for k, shift in places))
-        return F.transform(specs, lambda s: F.xxhash64(by_word, n - more, s["k"], F.slice(hashes, at(s) + s["shift"], F.get(starts, s["next"]) - at(s))))
-
-    def chosen(more: int, places) -> Column:
-        cases = [(F.col(f"t{more}") == t, keys(more, places(t))) for t in range(max(1, more), MOST + 1)]
-        return reduce(lambda c, x: c.when(*x), cases[1:], F.when(*cases[0])).otherwise(none)
-
-    probing = F.concat(*(chosen(more, lambda t, more=more: probes(t, more)) for more in range(MOST + 1)))
-    own = chosen(0, lambda t: [(k, 0) for k in range(t + 1)])
-    return lines.select("doc_id", "no", "h1", "h2", own.alias("own"), F.array_distinct(probing).alias("probes"))
+    mores, segments = range(MOST + 1), range(MOST + 1)
+    # Of a line of ``more`` symbols fewer: the edits allowed, and where its segments start and how long they are, the later ones being longer.
+    lines = lines.withColumns({f"t{more}": allowed(n - more, by_word) for more in mores} | {f"of{more}": F.xxhash64(by_word, n - more) for more in mores})
+    for more in mores:
+        parts = F.col(f"t{more}") + 1
+        size = F.floor((n - more) / parts).cast("int")
+        lines = lines.withColumns({f"size{more}": size, f"short{more}": parts - (n - more) + size * parts})
+    lines = lines.withColumns({f"start{more}_{k}": k * F.col(f"size{more}") + F.greatest(F.lit(0), k - F.col(f"short{more}")) for more in mores for k in segments})
+
+    def key(more: int, k: int, shift: int, least: int) -> Column:
+        """Null if fewer edits than ``least`` are allowed. Written out for each place, as Spark compiles such expressions, but no lambda."""
+        length = F.col(f"size{more}") + (F.col(f"short{more}") <= k).cast("int")
+        return F.when(F.col(f"t{more}") >= least, F.xxhash64(F.col(f"of{more}").bitwiseXOR(F.lit(k)), F.slice("hashes", F.col(f"start{more}_{k}") + shift + 1, length)))
+
+    # What is probed with some edits allowed is probed with more of them, too.
+    places = {(more, k, shift): min(t for t in range(max(1, more), MOST + 1) if (k, shift) in probes(t, more)) for more in mores for k, shift in probes(MOST, more)}
+    # With a lambda, which ``array_compact`` has, beside it, the long array isn't put into the one method of a whole stage, which the JVM would leave interpreted.
+    own = F.array_compact(F.array(*(key(0, k, 0, max(1, k)) for k in segments)))
+    probing = F.array_except(F.array(*(key(*place, least) for place, least in places.items())), F.array(F.lit(None).cast("long")))
+    return lines.select("doc_id", "no", "h1", "h2", own.alias("own"), probing.alias("probes"))
 
 
 def edit_distance(a: Column, b: Column) -> Column:
@@ -108,8 +105,22 @@ def edit_distance(a: Column, b: Column) -> Column:
 
     ``r[e]`` has bit ``d + MOST`` set if ``i`` symbols of ``a`` become ``i + d`` symbols of ``b`` by ``e`` edits. With
     the next symbol of ``a``, a diagonal goes on where symbols match; an edit leads on along the diagonal
-    (replace), from the one above (delete) or, without a symbol of ``a``, to the next (insert).
+    (replace), from the one above (delete) or, without a symbol of ``a``, to the next (insert). What both begin
+    and end with alike is left out first, which changes no distance.
     """
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    # From 1; 0 if they are equal.
+    differ = lambda x, y: F.array_position(F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q)), True).cast("int")
+
+    def between(at: Column) -> Column:
+        ends = F.least(at["back"], F.size(a) - at["front"] + 2, F.size(b) - at["front"] + 2) - 1
+        middle = lambda x: F.slice(x, at["front"], F.size(x) - at["front"] + 1 - ends)
+        return F.when(at["front"] == 0, 0).otherwise(let(F.struct(middle(a).alias("a"), middle(b).alias("b")), lambda m: _banded(m["a"], m["b"])))
+
+    return let(F.struct(differ(a, b).alias("front"), differ(F.reverse(a), F.reverse(b)).alias("back")), between)
+
+
+def _banded(a: Column, b: Column) -> Column:
     width = (1 << (2 * MOST + 1)) - 1
     match = lambda x, i: reduce(lambda m, d: m.bitwiseOR(F.when(x.eqNullSafe(F.when(i + d >= 0, F.get(b, i + d))), 1 << (d + MOST)).otherwise(0)), range(-MOST, MOST + 1), F.lit(0))
 
@@ -135,11 +146,17 @@ def _parity(symbols: Column, half: int) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda p, b: p.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
 
 
+def _apart() -> Column:
+    """In how many parities two lines differ: by each edit in two at most."""
+    return reduce(lambda a, b: a + b, (F.bit_count(F.col(f"parity{k}").bitwiseXOR(F.col(f"other_parity{k}"))) for k in (0, 1)))
+
+
 def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of (doc_id, no, other_doc, other_no), the later line of each pair that is within the edits allowed."""
-    others = texts.select(F.col("doc_id").alias("other_doc"), F.col("no").alias("other_no"), F.col("symbols").alias("other"))
-    both = pairs.join(texts.select("doc_id", "no", "symbols", "by_word"), ["doc_id", "no"]).join(others, ["other_doc", "other_no"])
-    close = both.where(edit_distance(F.col("symbols"), F.col("other")) <= allowed(F.least(F.size("symbols"), F.size("other")), F.col("by_word")))
+    others = texts.select(F.col("doc_id").alias("other_doc"), F.col("no").alias("other_no"), F.col("symbols").alias("other"), F.col("parity0").alias("other_parity0"), F.col("parity1").alias("other_parity1"))
+    both = pairs.join(texts.select("doc_id", "no", "symbols", "by_word", "parity0", "parity1"), ["doc_id", "no"]).join(others, ["other_doc", "other_no"])
+    most = allowed(F.least(F.size("symbols"), F.size("other")), F.col("by_word"))
+    close = both.where((_apart() <= 2 * most) & (edit_distance(F.col("symbols"), F.col("other")) <= most))
     later = F.greatest(F.struct("doc_id", "no"), F.struct(F.col("other_doc").alias("doc_id"), F.col("other_no").alias("no")))
     return written(close.select(later.alias("l")).select("l.*").distinct(), "near-lines")
 
@@ -153,16 +170,18 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     firsts = lines.select("h1", "h2", number.alias("place")).groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("times")).where("times > 1")
     firsts = written(firsts.drop("times"), "repeated-lines")
     # Both grow with the lines, so they are joined alike at every size.
-    keyed = _keyed(_symbols(lines)).join(firsts.hint("merge"), ["h1", "h2"], "left")
+    keyed = _keyed(_symbols(lines)).join(firsts.hint("shuffle_hash"), ["h1", "h2"], "left")
     table = written(keyed.select("doc_id", "no", "own", "probes", (F.col("place") != number).alias("again")), "line-keys")
     forget(firsts)
     equal = written(table.where("again").select("doc_id", "no"), "equal-lines")
     keyed = table.where("again is null or not again")
     index = keyed.select(F.explode("own").alias("key"), "doc_id", "no")
-    heads = written(index.groupBy("key").agg(F.min(place).alias("head"), F.count("*").alias("lines")).select("key", "lines", F.col("head.doc_id").alias("other_doc"), F.col("head.no").alias("other_no")), "line-heads")
+    heads = written(index.groupBy("key").agg(F.min(number).alias("head"), F.count("*").alias("lines")), "line-heads")
+    other_no = F.pmod("head", F.lit(1 << 31).cast("decimal(11,0)"))
+    other_doc = ((F.col("head") - other_no) / F.lit(1 << 31).cast("decimal(11,0)")).cast("long")
     # First against the first line of each entry.
-    met = keyed.select(F.explode("probes").alias("key"), "doc_id", "no").join(heads, "key").where("doc_id <> other_doc or no <> other_no")
-    met = written(met, "line-probes")
+    met = keyed.select(F.explode("probes").alias("key"), "doc_id", "no").join(heads.hint("shuffle_hash"), "key").where(F.col("head") != number)
+    met = written(met.select("key", "lines", "doc_id", "no", other_doc.alias("other_doc"), other_no.cast("int").alias("other_no")), "line-probes")
     to_heads = met.select("doc_id", "no", "other_doc", "other_no").distinct()
     # Texts of all that meet: the lines that probe, and those of the entries probed.
     entries = met.where("lines > 1").select("key").distinct()
@@ -179,9 +198,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     left = met.where("lines > 1").select("key", "doc_id", "no").join(sketch, ["doc_id", "no"])
     right = rest.join(sketch.select(*(F.col(c).alias(f"other_{c}") for c in sketch.columns)).withColumnRenamed("other_doc_id", "other_doc"), ["other_doc", "other_no"])
     behind = F.struct("other_doc", "other_no") < place
-    apart = sum(F.bit_count(F.col(f"parity{k}").bitwiseXOR(F.col(f"other_parity{k}"))) for k in (0, 1))
     fit = F.when(behind, F.col("open")).otherwise(F.col("other_open")) & ((F.col("doc_id") != F.col("other_doc")) | (F.col("no") != F.col("other_no")))
-    fit = fit & (apart <= 2 * allowed(F.least("n", "other_n"), F.col("by_word")))
+    fit = fit & (_apart() <= 2 * allowed(F.least("n", "other_n"), F.col("by_word")))
     to_rest = left.join(right, "key").where(fit).select("doc_id", "no", "other_doc", "other_no").distinct()
     more = _near(to_rest, texts)
     gone = written(equal.union(near).union(more).groupBy("doc_id").agg(F.collect_set("no").alias("gone")), "dropped-lines")

@@ -580,6 +580,32 @@ def test_a_near_line_always_probes_the_index(spark):
         assert short[1] & long[2]
 
 
+def test_edit_distance_of_lines_alike_at_their_ends(spark):
+    rng = random.Random(16)
+    pairs = []
+    for _ in range(300):
+        begin, end = ([rng.choice("ab") for _ in range(rng.randrange(0, 9))] for _ in range(2))
+        pairs.append(tuple(begin + [rng.choice("ab") for _ in range(rng.randrange(0, 5))] + end for _ in range(2)))
+    got = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, a array<string>, b array<string>").select("i", lines.edit_distance(F.col("a"), F.col("b")).alias("e")).collect()
+    assert [r.e for r in sorted(got)] == [next((e for e in range(lines.MOST + 1) if brute.edits(a, b, e)), None) for a, b in pairs]
+
+
+def test_keys_of_lines_are_not_sorted(spark, monkeypatch):
+    """Neither to find the first line of each entry, nor to meet the probes; and keys aren't made by lambdas, which Spark interprets."""
+    real, plans = lines.written, {}
+
+    def told(df, what):
+        plans[what] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, what)
+
+    monkeypatch.setattr(lines, "written", told)
+    rows = near_rows(9) | {-5: "a line of a document whose number is less than nought"}
+    got = by_id(lines.line_dedup(spark.createDataFrame(list(rows.items()), "doc_id long, text string")), "kept_text")
+    assert got == {d: (t,) for d, t in brute.lines(rows).items()}
+    assert not [what for what in ("line-keys", "line-heads", "line-probes") if "Sort" in plans[what]]
+    assert "lambda" not in plans["line-keys"].partition("array_except(")[2].partition(" AS probes")[0]
+
+
 def test_keys_of_lines_go_before_their_texts_come(docs, monkeypatch):
     real, names = lines.written, {}
 
