@@ -44,6 +44,8 @@ _BLOCK = 4096
 TRIE_MEMBERS = 4096
 #: Groups on a path. Sets that are still alike then are compared as a whole.
 NAMED = 16
+#: Groups before that go with a path: pairs that share one of them have met there.
+BEFORE = 8
 #: Sets walk a trie together as long as they have so many partners in all, or one alone.
 PARTNERS = 1 << 20
 
@@ -307,13 +309,30 @@ class Trie:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def met_before(x: np.ndarray, y: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Whether the sets of each pair share one of the groups ``before``, of which there is one row for each set, filled up with -1."""
+    out = np.zeros(len(x), bool)
+    for at in range(0, len(x), 1 << 16):
+        a, b = before[x[at : at + (1 << 16)]], before[y[at : at + (1 << 16)]]
+        for k in range(before.shape[1]):
+            out[at : at + (1 << 16)] |= ((b == a[:, k : k + 1]) & (b >= 0)).any(1)
+    return out
+
+
 def _met(percent: int):
-    """Pairs of each block of a group's sets; rows come sorted by block, side and path. Small blocks are taken together."""
+    """Pairs of each block of a group's sets; rows come sorted by block, side and path. Small blocks are taken together.
+
+    A pair meets in each group that its sets share, but only the first can't be told to be lost: there, all that they
+    share is still ahead. So pairs known to have met in a group before are left to that.
+    """
 
     def pairs(own: list[tuple]) -> pa.RecordBatch:
         side, doc, label, n, reach, total = (np.array([r[k] for r in own], np.int64) for k in range(1, 7))
         block = np.array([r[0] for r in own], np.int64)
         paths, weights = [[-r[0], *r[8]] for r in own], [[r[7], *r[9]] for r in own]
+        before = np.full((len(own), BEFORE), -1, np.int64)
+        for k, r in enumerate(own):
+            before[k, : len(r[10])] = r[10]
         # A block with one side meets itself.
         alone = np.bincount(block, side)[block] == 0
         left, right = np.flatnonzero(side == 0), np.flatnonzero(alone | (side == 1))
@@ -326,7 +345,9 @@ def _met(percent: int):
             x, y = some[probe], right[path]
             good = (shared >= enough(n[x], n[y], percent)) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (label[x] != label[y])
             good &= (~alone[x] | (label[x] < label[y])) & ((100 + percent) * np.minimum(reach[x], reach[y]) >= percent * (n[x] + n[y]))
-            found.append(np.stack([doc[x[good]], doc[y[good]]]))
+            x, y = x[good], y[good]
+            new = ~met_before(x, y, before)
+            found.append(np.stack([doc[x[new]], doc[y[new]]]))
         both = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["head", "doc_id"])
 
@@ -339,7 +360,7 @@ def _met(percent: int):
                         yield pairs(own)
                         number, own = 0, []
                     key, number = row[:3], number + 1
-                own.append((number, *row[3:]))
+                own.append((number, *row[3:12], row[12] if len(row) > 12 else ()))
         if own:
             yield pairs(own)
 
@@ -445,23 +466,25 @@ def jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 75, id_col:
     named = written(named, "labelled-groups")
     apart = named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("sets")).where("a <> b").drop("a", "b")
     apart = written(apart, "apart")
-    of_doc = named.join(apart.select("token"), "token").groupBy("doc_id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("token", F.col("times").cast("long").alias("times"), "place"))).alias("own"))
+    # With what is known of each group, so that the longer rows of paths needn't be joined with it.
+    of_doc = named.join(apart, "token").groupBy("doc_id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("token", F.col("times").cast("long").alias("times"), "place", "sets", "least", "most"))).alias("own"))
     # From each group on, what the set still holds. What comes before is lost to all that meet first there; sets that
     # then can't share enough with a set of any size there is are left.
-    paths = of_doc.select("doc_id", "label", "n", F.posexplode("own").alias("k", "g"), "own").select("doc_id", "label", "n", "g.*", F.slice("own", F.col("k") + 2, F.greatest(F.lit(0), F.size("own") - F.col("k") - 1)).alias("path"))
-    paths = paths.select("token", "doc_id", "label", "n", (F.col("n") - F.col("place")).alias("reach"), "times", F.transform("path", lambda g: g["token"]).alias("path"), F.transform("path", lambda g: g["times"]).alias("weights"))
+    paths = of_doc.select("doc_id", "label", "n", F.posexplode("own").alias("k", "g"), "own").select("doc_id", "label", "n", "g.*", F.slice("own", F.col("k") + 2, F.greatest(F.lit(0), F.size("own") - F.col("k") - 1)).alias("path"), F.slice("own", F.greatest(F.lit(1), F.col("k") + 1 - BEFORE), F.least("k", F.lit(BEFORE))).alias("before"))
+    known_of = ["token", "sets", "least", "most", "doc_id", "label", "n"]
+    paths = paths.select(*known_of, (F.col("n") - F.col("place")).alias("reach"), "times", F.transform("before", lambda g: g["token"]).alias("before"), F.transform("path", lambda g: g["token"]).alias("path"), F.transform("path", lambda g: g["times"]).alias("weights"))
     # All that it still holds counts, the next groups are named: those are enough to tell most sets apart.
     weighed = F.aggregate("weights", F.lit(0).cast("long"), lambda a, b: a + b)
-    paths = paths.select("token", "doc_id", "label", "n", "reach", (F.col("times") + weighed).alias("total"), "times", F.slice("path", 1, NAMED).alias("path"), F.slice("weights", 1, NAMED).alias("weights"))
+    paths = paths.select(*known_of, "reach", (F.col("times") + weighed).alias("total"), "times", F.slice("path", 1, NAMED).alias("path"), F.slice("weights", 1, NAMED).alias("weights"), "before")
     total = F.col("total")
     smaller, larger = F.least("n", F.greatest("least", F.floor(F.col("n") * percent / 100))), F.greatest("n", F.least("most", F.floor(F.col("n") * 100 / percent) + 1))
     never = F.lit(1 << 40)
     asked = F.least(F.when(F.col("least") <= F.col("n"), lacking("n", smaller, percent)).otherwise(never), F.when(F.col("most") >= F.col("n"), lacking("n", larger, percent)).otherwise(never)) - 1
-    branches = paths.join(apart, "token").where((total >= asked) & (F.col("reach") >= needed("n", F.least("n", smaller), percent)))
+    branches = paths.where((total >= asked) & (F.col("reach") >= needed("n", F.least("n", smaller), percent)))
     branches = branches.withColumn("blocks", F.ceil(F.col("sets") / TRIE_MEMBERS).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # Block i meets each block j >= i once: as side 0 where it is the lower, as side 1 where it is the higher.
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("low"), F.greatest("own", j).alias("high"), (F.col("own") > j).cast("int").alias("side")))
-    rows = ["doc_id", "label", "n", "reach", "total", "times", "path", "weights"]
+    rows = ["doc_id", "label", "n", "reach", "total", "times", "path", "weights", "before"]
     dealt = branches.select("token", *rows, F.explode(meets).alias("m")).select("token", "m.low", "m.high", "m.side", *rows)
     met = dealt.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "side", "path").mapInArrow(_met(percent), "head long, doc_id long").distinct()
     more = _verified(met, reps, width, percent, level)

@@ -494,6 +494,15 @@ def test_trie_finds_what_all_pairs_find():
         assert got == want and want
 
 
+def test_pairs_that_share_many_groups_are_given_once():
+    """Sets alike in all their groups meet in each of them; only the first gives their pairs."""
+    groups = list(range(1, 11))
+    columns = ["token", "low", "high", "side", "doc_id", "label", "n", "reach", "total", "times", "path", "weights", "before"]
+    rows = [(t, 0, 0, 0, doc, doc, 20, 20 - k, 20 - 2 * k, 2, groups[k + 1 :], [2] * (9 - k), groups[max(0, k - jaccard.BEFORE) : k]) for k, t in enumerate(groups) for doc in range(5)]
+    given = [(r["head"], r["doc_id"]) for row in groups for b in jaccard._met(75)([pa.RecordBatch.from_pylist([dict(zip(columns, r, strict=True)) for r in rows if r[0] == row])]) for r in b.to_pylist()]
+    assert sorted(given) == [(a, b) for a in range(5) for b in range(a + 1, 5)]
+
+
 def test_a_passage_in_many_short_documents(spark):
     """Documents that share one passage and little else, some of them near copies, and rows without an id."""
     rng = random.Random(5)
