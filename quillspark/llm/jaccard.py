@@ -15,9 +15,11 @@ if they share one of their first shingles (the prefix filter), so:
    down the trie together and share the overlap of each beginning; a subtree is left as
    soon as all of it belongs to the set's component, or its sizes and what remains of the
    prefixes can't reach the threshold.
-4. Pairs left are verified on whole sets, sorted below their head as another trie.
+4. Pairs left are told apart by marks of their sets, 256 bytes each, as far as those can.
+   What then is left is verified on whole sets, sorted below their head as another trie.
 
-Only prefixes are shuffled for all documents; whole sets only for candidates. Shingles
+Only prefixes are shuffled for all documents; whole sets only for candidates that marks
+don't tell apart. Shingles
 that the sketch finds frequent are grouped by partial aggregation and joined back; the
 members of a hot group or head are dealt to as many tasks as they need, in pairs of
 blocks, each with its own trie.
@@ -48,6 +50,8 @@ NAMED = 16
 BEFORE = 8
 #: Sets walk a trie together as long as they have so many partners in all, or one alone.
 PARTNERS = 1 << 20
+#: Bits of a set's mark. In sets of many more shingles all are set, and such pairs are compared as a whole.
+MARK_BITS = 2048
 
 
 def shingles(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -138,6 +142,37 @@ def _sets(width: int, level):
     return over
 
 
+def mark(own: np.ndarray) -> bytes:
+    """Which cells, of ``MARK_BITS``, a set has shingles in."""
+    cells = np.zeros(MARK_BITS, bool)
+    cells[(own >> np.uint64(30)).astype(np.int64) & (MARK_BITS - 1)] = True
+    return np.packbits(cells).tobytes()
+
+
+def _marks(width: int, level):
+    def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches):
+            own = [ordered(x, level.value) for x in shingles(part.column(1), width)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([mark(x) for x in own], pa.binary())], names=["doc_id", "n", "mark"])
+
+    return over
+
+
+def _unlike(percent: int):
+    """Leaves out pairs whose marks show that they can't link: in each cell that one set alone is in lies a shingle that the other lacks."""
+
+    def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n, m = (batch.column(k).to_numpy() for k in (2, 4))
+                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, MARK_BITS // 64) for k in (3, 5))
+                both = np.minimum(n - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), m - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
+                good = pa.array(similar(n, m, both, percent))
+                yield pa.RecordBatch.from_arrays([batch.column(k).filter(good) for k in (0, 1)], names=["head", "doc_id"])
+
+    return over
+
+
 def similar(a: int, b: int, both: int, percent: int) -> bool:
     return 100 * both >= percent * (a + b - both)
 
@@ -395,18 +430,34 @@ def promising(n: str, m: str, shared: str, percent: int):
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, level) -> DataFrame:
     """Of (head, doc_id), the links, as a written table (u, v)."""
     pairs = written(pairs.select("head", "doc_id"), "set-pairs")
-    wanted = written(pairs.select("doc_id").union(pairs.select("head")).distinct(), "candidates")
-    sets = meeting(docs, wanted, "doc_id", how="left_semi").mapInArrow(_sets(width, level), "doc_id long, set binary").dropDuplicates(["doc_id"])
-    sets = written(sets, "sets")
-    salts = pairs.groupBy("head").agg(F.ceil(F.count("*") / F.lit(TRIE_MEMBERS)).cast("int").alias("salts"))
-    members = pairs.join(salts, "head").select("head", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), "doc_id").join(sets, "doc_id").select("head", "salt", "doc_id", "set")
-    roots = salts.join(sets, salts["head"] == sets["doc_id"]).select("head", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("doc_id"), "set")
+    wanted, marks = _of_sets(pairs, docs, _marks(width, level), "n long, mark binary", "marks")
+    members, roots = _dealt(pairs, marks, "n", "mark")
+    likely = members.join(roots.select("head", "salt", F.col("n").alias("m"), F.col("mark").alias("other")), ["head", "salt"]).select("head", "doc_id", "n", "mark", "m", "other")
+    likely = written(likely.mapInArrow(_unlike(percent), "head long, doc_id long"), "likely-pairs")
+    forget(pairs, wanted, marks)
+    wanted, sets = _of_sets(likely, docs, _sets(width, level), "set binary", "sets")
+    members, roots = _dealt(likely, sets, "set")
     order = ["head", "salt", F.col("doc_id").isNotNull(), "set"]
     links = written(members.union(roots).repartition("head", "salt").sortWithinPartitions(*order).mapInArrow(_walked(percent), "u long, v long"), "links")
-    forget(pairs, wanted, sets)
+    forget(likely, wanted, sets)
     return links
 
 
+def _of_sets(pairs: DataFrame, docs: DataFrame, what, columns: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """The documents in pairs, and what ``what`` makes of each; both written."""
+    wanted = written(pairs.select("doc_id").union(pairs.select("head")).distinct(), "candidates")
+    made = meeting(docs, wanted, "doc_id", how="left_semi").mapInArrow(what, f"doc_id long, {columns}").dropDuplicates(["doc_id"])
+    return wanted, written(made, name)
+
+
+def _dealt(pairs: DataFrame, made: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """Members of each head and the heads themselves (without doc_id), (head, salt, doc_id, columns), in as many parts of a head as it needs."""
+    salts = pairs.groupBy("head").agg(F.ceil(F.count("*") / F.lit(TRIE_MEMBERS)).cast("int").alias("salts"))
+    members = pairs.join(salts, "head").select("head", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), "doc_id").join(made, "doc_id").select("head", "salt", "doc_id", *columns)
+    roots = salts.join(made, salts["head"] == made["doc_id"]).select("head", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("doc_id"), *columns)
+    return members, roots
+
+
 def _token_groups(tokens: DataFrame) -> DataFrame:
     """(token, doc_id, head, place, times): documents by the prefix tokens that two of them share, head being the least, place how many of its tokens come before.
 

@@ -503,6 +503,41 @@ def test_pairs_that_share_many_groups_are_given_once():
     assert sorted(given) == [(a, b) for a in range(5) for b in range(a + 1, 5)]
 
 
+def test_marks_lose_no_link():
+    """Pairs of small and of large sets, from alike to unlike."""
+    rng = np.random.default_rng(6)
+    rows, links = [], set()
+    for k in range(300):
+        size = int(rng.integers(1, 9000 if k % 10 == 0 else 300))
+        a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        b = np.unique(np.r_[rng.choice(a, max(1, int(len(a) * rng.uniform(0.6, 1))), replace=False), rng.integers(0, 1 << 63, int(len(a) * rng.uniform(0, 0.3))).astype(np.uint64)])
+        rows.append({"head": k, "doc_id": 1000 + k, "n": len(a), "mark": jaccard.mark(a), "m": len(b), "other": jaccard.mark(b)})
+        if jaccard.similar(len(a), len(b), len(np.intersect1d(a, b)), 75):
+            links.add(k)
+    kept = {r["head"] for b in jaccard._unlike(75)([pa.RecordBatch.from_pylist(rows)]) for r in b.to_pylist()}
+    assert links and links <= kept and len(kept) < 250
+
+
+def test_whole_sets_go_only_where_marks_leave_a_doubt(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = {i: " ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for i in range(40)}
+    rows |= {40 + i: rows[i] + " more words" for i in range(3)}
+    level = spark.sparkContext.broadcast(np.zeros(1 << jaccard.SKETCH_BITS, np.uint64))
+    kept, whole = jaccard.written, {}
+
+    def counted(df, what):
+        out = kept(df, what)
+        whole[what] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    monkeypatch.setattr(jaccard, "TRIE_MEMBERS", 5)
+    pairs = spark.createDataFrame([(a, b) for a in rows for b in rows if a < b], "head long, doc_id long")
+    links = jaccard._verified(pairs, spark.createDataFrame(list(rows.items()), "doc_id long, text string"), 5, 75, level)
+    assert sorted(map(tuple, links.collect())) == [(i, 40 + i) for i in range(3)]
+    assert whole["sets"] == 6
+
+
 def test_a_passage_in_many_short_documents(spark):
     """Documents that share one passage and little else, some of them near copies, and rows without an id."""
     rng = random.Random(5)
