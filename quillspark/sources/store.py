@@ -51,7 +51,22 @@ class Store:
         return held if own is None else own.unionByName(held)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self.writer(name, rows).mode("append").parquet(self.path(name))
+        """Add rows. Spark's own appends to one folder keep unfinished files in one place, which the first of several to end deletes;
+        so each is written in a folder of its own, and its files, whose names no other write has, go to the table when all are finished."""
+        aside = f"{self.folder}/appending/{uuid.uuid4().hex}"
+        try:
+            self.writer(name, rows).parquet(aside)
+            system, at = self._file(aside)
+            base = system.makeQualified(at).toString()
+            system.mkdirs(self._file(self.path(name))[1])
+            files, found = system.listFiles(at, True), []
+            while files.hasNext():
+                found.append(files.next().getPath())
+            for file in found:
+                if not file.getName().startswith((".", "_")):
+                    self.rename(file.toString(), self.path(name) + file.toString().removeprefix(base))
+        finally:
+            self.delete(aside)
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """The partitions that ``rows`` has are replaced, others stay; a table without partitions is replaced whole."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
@@ -145,6 +146,38 @@ def test_racing_builds_are_seen_whole(spark, tmp_path, clean):
     assert len(set(versions)) == len(versions)
 
 
+def test_racing_appends_lose_no_rows(spark, tmp_path):
+    """To a table without partitions, and to one whose partitions' names need escapes."""
+    store = Store(spark, str(tmp_path))
+
+    def add(k):
+        store.append("progress", spark.createDataFrame([(f"s{k}", k, 1, "x")], "slug string, seq long, stage int, payload string"))
+        store.append("course_text", spark.createDataFrame([(f"s{k}", "hard", 1, "x", None, f"a/b:{k % 2} %c")], "slug string, difficulty string, k int, delta string, error string, batch string"))
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(add, range(16)))
+    assert sorted(r.seq for r in store.read("progress").collect()) == list(range(16))
+    assert sorted((r.slug, r.batch) for r in store.read("course_text").collect()) == sorted((f"s{k}", f"a/b:{k % 2} %c") for k in range(16))
+    assert store.listed(f"{store.folder}/appending") == []
+    # An append without rows makes a table of none.
+    store.append("messages", store.read("messages"))
+    assert store.read("messages", must_exist=True).count() == 0
+
+
+def test_an_append_outlives_the_end_of_others(spark, tmp_path):
+    """What Spark deletes in a table's folder as each append to it ends is nothing that another still needs."""
+    store = Store(spark, str(tmp_path))
+    late = F.udf(lambda k: time.sleep(2) or k, "long")
+    rows = spark.range(0, 1, 1, 1).select(F.lit("a").alias("slug"), late("id").alias("seq"), F.lit(1).alias("stage"), F.lit("x").alias("payload"))
+    with ThreadPoolExecutor(1) as pool:
+        slow = pool.submit(store.append, "progress", rows)
+        while not slow.done():
+            store.delete(f"{store.path('progress')}/_temporary")
+            time.sleep(0.02)
+        slow.result()
+    assert [r.seq for r in store.read("progress").collect()] == [0]
+
+
 def test_a_turn_that_runs_again_counts_once(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     flows.build_experts(store, *inputs(spark))
