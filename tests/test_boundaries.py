@@ -285,3 +285,17 @@ def test_transcripts_gather_what_the_cut_can_reach(spark):
         if len(whole.strip()) >= 100:
             want[k] = whole[:15_000]
     assert got == want and set(got) == {1, 2, 3, 6}
+
+
+def test_a_text_whose_words_cancel_has_a_vector(spark):
+    """Of each pair the hashes are the same component with other signs."""
+    values = ["sand salt", "Salt sand sand SALT", "they stones sand salt", "sand salt salt", " \n", None]
+    cell = {r.w: r.c for r in spark.createDataFrame([(w,) for w in ("sand", "salt", "they", "stones")], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(128)).cast("int").alias("c")).collect()}
+    assert abs(cell["sand"] - cell["salt"]) == abs(cell["they"] - cell["stones"]) == 64
+    a, b = cell["sand"] % 64, cell["they"] % 64
+    one, two = ([1.0 if i == a else 0.0 for i in range(64)], [0.5**0.5 if i in (a, b) else 0.0 for i in range(64)])
+    got = column(spark, values, hashed_embedding)
+    assert got[0] == got[1] == one and got[2] == pytest.approx(two, rel=1e-6)
+    # One that doesn't cancel keeps its signs.
+    assert got[3] == [x * (1 if cell["salt"] < 64 else -1) for x in one]
+    assert got[4] is None and got[5] is None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 
 from compare import connect, differences
@@ -24,6 +25,18 @@ def test_equal(spark, con, name):
     assert differences(catalogue.QUERIES[name](spark, SF_DIR), con, oracle.SQL[name]) == ""
 
 
+def test_restarted_builds_have_a_vector_of_each_chunk(spark, tmp_path):
+    """Of short texts too, whose words' hashes cancel each other; sources may begin as namespaces do."""
+    rows = [(0, "sand salt", "src0"), (1, "They stones", "src1"), (2, "sand salt they stones", "expert-a"), (3, "sand salt sand", "src0"), (4, " \n", "src1"), (5, "x " * 600, "expert-a")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = catalogue.build_restart(spark, str(tmp_path))
+    assert differences(got, con, oracle.SQL["build_restart"]) == ""
+    assert {(r.slug, r.n_sources, r.n_vectors) for r in got.collect()} == {("src0", 2, 2), ("src1", 2, 1), ("expert-a", 2, 3)}
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
